@@ -1,0 +1,315 @@
+"""Balancing, splitting, sampling, feature preparation, classification."""
+
+from __future__ import annotations
+
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog import Query, big, rounded, table
+from catalog.accidents import CTE, accidents
+from tallyframe import presets as P
+from tallyframe.operators import balance as b
+from tallyframe.operators import evaluate, features
+from tallyframe.operators.clean import sentinel_to_null
+from tallyframe.operators.profile import row_count
+from tallyframe.plans import classify
+from tallyframe.plans.prepare import prepare_model
+
+
+def _class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return b.class_counts(table(spark, sf, "labels"), "quality")
+
+
+def _class_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    return b.class_ratios(table(spark, sf, "labels"), "quality", 0).withColumn("ratio", rounded("ratio"))
+
+
+_UNIT_SQL = "('0x' || substr(md5('42:' || {key}::VARCHAR), 9, 8))::BIGINT / 4294967296::DOUBLE"
+_COPIES_SQL = """WITH counts AS (SELECT {label} AS class, count(*) AS n FROM {table} GROUP BY ALL),
+  ratios AS (SELECT class, (SELECT n FROM counts WHERE class = {target})::DOUBLE / n AS ratio FROM counts),
+  copies AS (SELECT t.*, floor(ratio)::BIGINT + CASE WHEN {unit} < ratio - floor(ratio) THEN 1 ELSE 0 END AS copies
+    FROM {table} t JOIN ratios ON {label} = class)"""
+
+
+def _copies_sql(table_: str, key: str, label: str, target: str) -> str:
+    return _COPIES_SQL.format(table=table_, label=label, target=target, unit=_UNIT_SQL.format(key=key))
+
+
+def _copies_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return b.copies_by_hash(labels, ["doc_id"], "quality", 1)
+
+
+def _balance_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("event_id", "event_type")
+    return b.balance_by_hash(events, ["event_id"], "event_type", "click")
+
+
+def _balance_small_class(spark: SparkSession, sf: str) -> DataFrame:
+    # The smaller class is drawn several times over, the larger one stays whole.
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return b.balance_by_hash(labels, ["doc_id"], "quality", 1).groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"), F.max("copy").alias("most")
+    )
+
+
+def _balance(spark: SparkSession, sf: str) -> DataFrame:
+    return b.class_counts(b.balance(table(spark, sf, "labels"), "quality", 0, P.SEED), "quality")
+
+
+def _split(parts: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
+    train, test = (df.select(key) for df in parts)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+def _split_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return _split(b.split_by_hash(table(spark, sf, "orders"), ["o_orderkey"]), "o_orderkey")
+
+
+def _split_random(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _split(b.split_random(table(spark, sf, "orders")), "o_orderkey")
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sample_points(spark: SparkSession, sf: str) -> DataFrame:
+    return b.sample_points(table(spark, sf, "events"), ["user_id", "value"], P.SAMPLE_FRACTION, P.SAMPLE_CAP, P.SEED)
+
+
+def _frequency_index_sql(source: str, col: str) -> str:
+    return f"""(SELECT {col} AS v, (row_number() OVER (ORDER BY count(*) DESC, {col}::VARCHAR) - 1)::DOUBLE AS idx
+      FROM {source} GROUP BY {col})"""
+
+
+def _label_index(spark: SparkSession, sf: str) -> DataFrame:
+    return features.index_label(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
+
+
+def _category_index(spark: SparkSession, sf: str) -> DataFrame:
+    return features.index_categories(
+        table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"),
+        ["o_orderstatus", "o_orderpriority"],
+    ).select("o_orderkey", "o_orderstatus_idx", "o_orderpriority_idx")
+
+
+def _impute_mean(spark: SparkSession, sf: str) -> DataFrame:
+    items = sentinel_to_null(table(spark, sf, "lineitem"), ["l_discount", "l_tax"], 0.0)
+    out = features.impute_mean(items, ["l_discount", "l_tax"])
+    return out.select(
+        "l_orderkey",
+        "l_linenumber",
+        rounded("l_discount_imputed").alias("l_discount_imputed"),
+        rounded("l_tax_imputed").alias("l_tax_imputed"),
+    )
+
+
+def _standardise(spark: SparkSession, sf: str) -> DataFrame:
+    out = features.standardise(table(spark, sf, "events"), ["value"])
+    return out.select("event_id", rounded("value_scaled").alias("value_scaled"))
+
+
+def _one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    out = features.one_hot(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
+    return out.select("o_orderkey", *[F.get("o_orderstatus_ohe", F.lit(i)).alias(f"slot{i}") for i in range(4)])
+
+
+def _feature_vector(spark: SparkSession, sf: str) -> DataFrame:
+    cfg = classify.ModelConfig(label="o_orderpriority", categorical=["o_orderstatus"], numeric=["o_totalprice"])
+    orders = table(spark, sf, "orders")
+    pipeline = classify.forest_pipeline(orders, cfg)
+    steps = pipeline.getStages()[:-1]
+    vectors = pipeline.copy().setStages(steps).fit(orders).transform(orders)
+    out = features.vector_columns(vectors, "features", [f"f{i}" for i in range(5)])
+    return out.select("o_orderkey", "label", rounded("f0").alias("f0"), "f1", "f2", "f3", "f4")
+
+
+def _ruled(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    rule = F.when(price > 300000, "F").when(price > 150000, "O").otherwise("P")
+    return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("label"), rule.alias("prediction"))
+
+
+_RULED_SQL = """WITH ruled AS (SELECT o_orderstatus AS label,
+  CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' ELSE 'P' END AS prediction FROM orders)"""
+_SCORES_SQL = (
+    _RULED_SQL
+    + """, scores AS (SELECT c AS class, count(*) FILTER (WHERE label = c) AS support,
+  count(*) FILTER (WHERE prediction = c) AS predicted, count(*) FILTER (WHERE label = c AND prediction = c) AS tp
+  FROM ruled, (VALUES ('F'), ('O'), ('P')) v(c) GROUP BY c),
+  rated AS (SELECT *, tp / predicted::DOUBLE AS precision, tp / support::DOUBLE AS recall,
+    2 * tp / (support + predicted)::DOUBLE AS f1 FROM scores)"""
+)
+
+
+def _confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.confusion_matrix(_ruled(spark, sf))
+
+
+def _prepared(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare_model(accidents(spark, sf))
+
+
+def _prepare_model(spark: SparkSession, sf: str) -> DataFrame:
+    cfg = classify.ModelConfig(reference_order=True)
+    rows = classify.model_rows(_prepared(spark, sf), cfg)
+    return rows.groupBy("Accident_Severity", big("Urban_or_Rural_Area").alias("Area"), "Hour").agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("Longitude"), 4).alias("longitude"), F.sum("Month").alias("months")
+    )
+
+
+_SMALL = classify.ModelConfig(num_trees=10, max_depth=5)
+
+
+@cache
+def _trained(spark: SparkSession, sf: str) -> classify.Trained:
+    return classify.train(_prepared(spark, sf), _SMALL)
+
+
+def _random_forest(spark: SparkSession, sf: str) -> DataFrame:
+    trained = _trained(spark, sf)
+    return evaluate.confusion_matrix(classify.predict(trained.model, trained.test))
+
+
+def _model_f1(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.weighted_f1(_random_forest(spark, sf))
+
+
+def _train_test(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = classify.train_test(_prepared(spark, sf), _SMALL)
+    return row_count(train).withColumn("part", F.lit("train")).unionByName(row_count(test).withColumn("part", F.lit("test")))
+
+
+def _model_report(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.model_report(spark, _trained(spark, sf).model)
+
+
+def _label_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.label_mapping(spark, _trained(spark, sf).model, P.SEVERITY_NAMES)
+
+
+def _tune(spark: SparkSession, sf: str) -> DataFrame:
+    cfg = classify.ModelConfig(
+        label="o_orderstatus",
+        target="F",
+        categorical=["o_orderpriority"],
+        numeric=["o_totalprice"],
+        key=["o_orderkey"],
+        num_trees=3,
+    )
+    depths = [2, 4]
+    search = classify.tune(table(spark, sf, "orders"), cfg, {"maxDepth": depths}, folds=2)
+    return spark.createDataFrame(
+        [(d, float(f1)) for d, f1 in zip(depths, search.avgMetrics, strict=True)], "max_depth int, f1 double"
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "class_counts": Query(_class_counts, "SELECT quality AS class, count(*) AS n FROM labels GROUP BY ALL"),
+    "class_ratios": Query(
+        _class_ratios,
+        """SELECT quality AS class, count(*) AS n,
+        round((SELECT count(*) FROM labels WHERE quality = 0)::DOUBLE / count(*), 6) AS ratio FROM labels GROUP BY ALL""",
+    ),
+    "copies_by_hash": Query(
+        _copies_by_hash,
+        _copies_sql("labels", "doc_id", "quality", "1") + " SELECT doc_id, quality, copies FROM copies",
+    ),
+    "balance_by_hash": Query(
+        _balance_by_hash,
+        _copies_sql("events", "event_id", "event_type", "'click'")
+        + " SELECT event_id, event_type, unnest(generate_series(1, copies)) AS copy FROM copies",
+    ),
+    "balance_small_class": Query(
+        _balance_small_class,
+        _copies_sql("labels", "doc_id", "quality", "1")
+        + """ SELECT quality, count(*) AS n, count(DISTINCT doc_id) AS docs, max(copy) AS most
+        FROM (SELECT doc_id, quality, unnest(generate_series(1, copies)) AS copy FROM copies) GROUP BY ALL""",
+    ),
+    # Random draws have no SQL twin; the tests check the sizes of the result.
+    "balance": Query(_balance),
+    "split_by_hash": Query(
+        _split_by_hash,
+        """SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('42:' || o_orderkey::VARCHAR), 1, 8))::BIGINT % 100 < 70
+        THEN 'train' ELSE 'test' END AS part FROM orders""",
+    ),
+    "split_random": Query(_split_random),
+    "sample_points": Query(_sample_points),
+    "label_index": Query(
+        _label_index,
+        f"""SELECT o_orderkey, o_orderpriority, idx AS label
+        FROM orders JOIN {_frequency_index_sql("orders", "o_orderpriority")} ON v = o_orderpriority""",
+    ),
+    "category_index": Query(
+        _category_index,
+        f"""SELECT o_orderkey, s.idx AS o_orderstatus_idx, p.idx AS o_orderpriority_idx
+        FROM orders JOIN {_frequency_index_sql("orders", "o_orderstatus")} s ON s.v = o_orderstatus
+        JOIN {_frequency_index_sql("orders", "o_orderpriority")} p ON p.v = o_orderpriority""",
+    ),
+    "impute_mean": Query(
+        _impute_mean,
+        """WITH means AS (SELECT avg(nullif(l_discount, 0)) AS d, avg(nullif(l_tax, 0)) AS t FROM lineitem)
+        SELECT l_orderkey, l_linenumber, round(coalesce(nullif(l_discount, 0), d), 6) AS l_discount_imputed,
+        round(coalesce(nullif(l_tax, 0), t), 6) AS l_tax_imputed FROM lineitem, means""",
+    ),
+    "standardise": Query(
+        _standardise,
+        """WITH m AS (SELECT avg(value) AS mean, stddev_samp(value) AS sd FROM events)
+        SELECT event_id, round((value - mean) / sd, 6) + 0.0 AS value_scaled FROM events, m""",
+    ),
+    "one_hot": Query(
+        _one_hot,
+        f"""SELECT o_orderkey, {", ".join(f"(idx = {i})::INT::DOUBLE AS slot{i}" for i in range(4))}
+        FROM orders JOIN {_frequency_index_sql("orders", "o_orderstatus")} ON v = o_orderstatus""",
+    ),
+    "feature_vector": Query(
+        _feature_vector,
+        f"""WITH m AS (SELECT avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd FROM orders),
+        l AS (SELECT o_orderpriority AS p, (row_number() OVER (ORDER BY o_orderpriority) - 1)::DOUBLE AS label
+          FROM orders GROUP BY o_orderpriority)
+        SELECT o_orderkey, label, round((o_totalprice - mean) / sd, 6) + 0.0 AS f0,
+        {", ".join(f"(idx = {i})::INT::DOUBLE AS f{i + 1}" for i in range(4))}
+        FROM orders JOIN {_frequency_index_sql("orders", "o_orderstatus")} ON v = o_orderstatus
+        JOIN l ON p = o_orderpriority, m""",
+    ),
+    "confusion_matrix": Query(
+        _confusion, _RULED_SQL + " SELECT label, prediction, count(*) AS count FROM ruled GROUP BY ALL"
+    ),
+    "confusion_wide": Query(
+        lambda s, d: evaluate.confusion_wide(_confusion(s, d), ["F", "O", "P"]),
+        _RULED_SQL
+        + " SELECT label, "
+        + ", ".join(f"count(*) FILTER (WHERE prediction = '{k}') AS predicted_{k}" for k in "FOP")
+        + " FROM ruled GROUP BY ALL",
+    ),
+    "class_scores": Query(
+        lambda s, d: evaluate.class_scores(_confusion(s, d)).withColumns(
+            {c: rounded(c) for c in ("precision", "recall", "f1")}
+        ),
+        _SCORES_SQL
+        + """ SELECT class, support, predicted, tp, round(precision, 6) AS precision, round(recall, 6) AS recall,
+        round(f1, 6) AS f1 FROM rated""",
+    ),
+    "weighted_f1": Query(
+        lambda s, d: evaluate.weighted_f1(_confusion(s, d)).withColumn("f1", rounded("f1")),
+        _SCORES_SQL + " SELECT round(sum(support * f1) / sum(support), 6) AS f1 FROM rated",
+    ),
+    "prepare_model": Query(
+        _prepare_model,
+        f"""WITH {CTE} SELECT Accident_Severity, Urban_or_Rural_Area::BIGINT AS Area, coalesce(Hour, 0)::DOUBLE AS Hour,
+        count(*) AS n, round(avg(Longitude), 4) + 0.0 AS longitude, sum(Month)::DOUBLE AS months
+        FROM labelled WHERE Urban_or_Rural_Area <> -1 AND Longitude <> -1 AND Latitude <> -1
+        AND Light_Conditions <> '-1' AND Weather_Conditions <> '-1' GROUP BY ALL""",
+    ),
+    # Trained models have no SQL twin; the tests check scores, leaks and repeatability.
+    "train_test": Query(_train_test),
+    "random_forest": Query(_random_forest),
+    "model_f1": Query(_model_f1),
+    "model_report": Query(_model_report),
+    "label_mapping": Query(
+        _label_mapping,
+        f"""WITH {CTE}, c AS (SELECT DISTINCT Accident_Severity AS code, Severity_Label AS name FROM labelled)
+        SELECT (row_number() OVER (ORDER BY code) - 1)::DOUBLE AS "index", code::VARCHAR AS original, name FROM c""",
+    ),
+    "tune": Query(_tune),
+}

@@ -1,0 +1,179 @@
+"""Profiles: counts, missing and distinct values, frequent values."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog import Query, big, rounded, table
+from catalog.accidents import CTE, accidents
+from tallyframe import presets as P
+from tallyframe.operators import profile
+from tallyframe.operators.clean import sentinel_to_null
+from tallyframe.plans.inspect import inspect
+
+
+def _null_report(spark: SparkSession, sf: str) -> DataFrame:
+    items = sentinel_to_null(table(spark, sf, "lineitem"), ["l_discount", "l_tax"], 0.0)
+    items = items.select("l_orderkey", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    nan = items.withColumn("l_quantity", F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity")))
+    return profile.null_report(nan).withColumn("null_pct", rounded("null_pct"))
+
+
+def _distinct_report(spark: SparkSession, sf: str, approx: bool = False) -> DataFrame:
+    items = sentinel_to_null(table(spark, sf, "lineitem"), ["l_tax"], 0.0)
+    return profile.distinct_report(items, ["l_orderkey", "l_suppkey", "l_tax", "l_shipdate", "l_returnflag"], approx)
+
+
+def _categorical_profile(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    cols = ["p_brand", "p_type", "p_name", "p_size"]
+    return profile.categorical_profile(part, cols, 5).withColumn("rank", big("rank"))
+
+
+def _top_per_group(spark: SparkSession, sf: str) -> DataFrame:
+    # More rows per group than the engine cuts down by itself in the map tasks.
+    counts = profile.pair_counts(table(spark, sf, "lineitem"), ["l_partkey", "l_orderkey"])
+    ranked = profile.top_per_group(counts, ["column"], [F.desc("count"), F.asc_nulls_last("value")], 1500)
+    return ranked.withColumn("rank", big("rank"))
+
+
+def _column_overview(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    out = profile.column_overview(orders)
+    return out.withColumns({"ordinal": big("ordinal"), "null_pct": rounded("null_pct")})
+
+
+def _distributions(spark: SparkSession, sf: str) -> DataFrame:
+    titles = {"o_orderstatus": "Status", "o_orderpriority": "Priority"}
+    return profile.distributions(table(spark, sf, "orders"), titles)
+
+
+def _inspect(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return inspect(accidents(spark, sf))[name]
+
+    return run
+
+
+_PROFILE_PRESENT = [
+    "Police_Force", "Accident_Severity", "Number_of_Vehicles", "Number_of_Casualties", "Day_of_Week",
+    "Local_Authority_(District)", "1st_Road_Class", "Road_Type", "Speed_limit", "Light_Conditions",
+    "Weather_Conditions", "Road_Surface_Conditions", "Carriageway_Hazards", "Urban_or_Rural_Area",
+    "Did_Police_Officer_Attend_Scene_of_Accident",
+]
+
+
+def _pairs_sql(source: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST("{c}" AS VARCHAR) AS value, count(*) AS count FROM {source} GROUP BY ALL"""
+        for c in cols
+    )
+
+
+def _profile_sql(pairs: str, k: int, ctes: str = "") -> str:
+    return f"""WITH {ctes} pairs AS ({pairs}),
+    totals AS (SELECT "column", sum(count)::BIGINT AS n_rows, count(*) AS n_distinct FROM pairs GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value NULLS LAST) AS rank FROM pairs)
+    SELECT "column", n_rows, n_distinct, rank, value, count FROM ranked JOIN totals USING ("column") WHERE rank <= {k}"""
+
+
+def _distributions_sql(source: str, titles: dict[str, str], ctes: str = "") -> str:
+    cases = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in titles.items())
+    return f"""WITH {ctes} pairs AS ({_pairs_sql(source, list(titles))})
+    SELECT "column" AS dimension, CASE "column" {cases} END AS title, value, count,
+      max(count) OVER (PARTITION BY "column") AS max_count FROM pairs"""
+
+
+def _nulls_sql(source: str, missing: dict[str, str], ctes: str = "") -> str:
+    rows = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {p}) AS nulls,
+        round(100.0 * count(*) FILTER (WHERE {p}) / count(*)::DOUBLE, 6) AS null_pct FROM {source}"""
+        for c, p in missing.items()
+    )
+    return f"WITH {ctes} one AS (SELECT 1) {rows}"
+
+
+_ACCIDENT_COLUMNS = ["Date", "Day_of_Week", "Accident_Severity", "Time", "Year", *_PROFILE_PRESENT[:1]]
+
+QUERIES: dict[str, Query] = {
+    "row_count": Query(
+        lambda s, d: profile.row_count(table(s, d, "lineitem")), "SELECT count(*) AS n_rows FROM lineitem"
+    ),
+    "null_report": Query(
+        _null_report,
+        _nulls_sql(
+            "lineitem",
+            {
+                "l_orderkey": "l_orderkey IS NULL",
+                "l_returnflag": "l_returnflag IS NULL",
+                "l_quantity": "l_quantity = 7",
+                "l_discount": "l_discount = 0",
+                "l_tax": "l_tax = 0",
+            },
+        ),
+    ),
+    "value_counts": Query(
+        lambda s, d: profile.value_counts(table(s, d, "orders"), "o_orderpriority"),
+        "SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY ALL",
+    ),
+    "top_k": Query(
+        lambda s, d: profile.top_k(table(s, d, "part"), "p_brand", 5),
+        "SELECT p_brand AS value, count(*) AS count FROM part GROUP BY ALL ORDER BY count DESC, value LIMIT 5",
+    ),
+    "distinct_report": Query(
+        _distinct_report,
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(DISTINCT {v}) + max(CASE WHEN {v} IS NULL THEN 1 ELSE 0 END)::BIGINT
+            AS n_distinct, count(DISTINCT {v}) AS n_distinct_not_null FROM lineitem"""
+            for c, v in {
+                "l_orderkey": "l_orderkey",
+                "l_suppkey": "l_suppkey",
+                "l_tax": "nullif(l_tax, 0)",
+                "l_shipdate": "l_shipdate",
+                "l_returnflag": "l_returnflag",
+            }.items()
+        ),
+    ),
+    # Estimates have no SQL twin; the tests compare them with the exact counts.
+    "distinct_report_approx": Query(lambda s, d: _distinct_report(s, d, approx=True)),
+    "categorical_profile": Query(
+        _categorical_profile, _profile_sql(_pairs_sql("part", ["p_brand", "p_type", "p_name", "p_size"]), 5)
+    ),
+    "top_per_group": Query(
+        _top_per_group,
+        f"""WITH pairs AS ({_pairs_sql("lineitem", ["l_partkey", "l_orderkey"])})
+        SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value NULLS LAST) AS rank
+        FROM pairs QUALIFY rank <= 1500""",
+    ),
+    "column_overview": Query(
+        _column_overview,
+        " UNION ALL ".join(
+            f"""SELECT {i}::BIGINT AS ordinal, '{c}' AS "column", '{t}' AS dtype, 0::BIGINT AS nulls, 0::DOUBLE AS null_pct,
+            count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) AS n_distinct_not_null FROM orders"""
+            for i, (c, t) in enumerate(
+                {
+                    "o_orderkey": "bigint",
+                    "o_custkey": "bigint",
+                    "o_orderstatus": "string",
+                    "o_totalprice": "double",
+                    "o_orderdate": "timestamp_ntz",
+                    "o_orderpriority": "string",
+                }.items()
+            )
+        ),
+    ),
+    "distributions": Query(
+        _distributions, _distributions_sql("orders", {"o_orderstatus": "Status", "o_orderpriority": "Priority"})
+    ),
+    "inspect_nulls": Query(
+        lambda s, d: _inspect("nulls")(s, d)
+        .filter(F.col("column").isin(_ACCIDENT_COLUMNS))
+        .withColumn("null_pct", rounded("null_pct")),
+        _nulls_sql("accidents", {c: f'"{c}" IS NULL' for c in _ACCIDENT_COLUMNS}, CTE.split("labelled AS")[0]),
+    ),
+    "inspect_categories": Query(
+        lambda s, d: _inspect("categories")(s, d).withColumn("rank", big("rank")),
+        _profile_sql(_pairs_sql("accidents", _PROFILE_PRESENT), P.TOP_VALUES, CTE.split("labelled AS")[0]),
+    ),
+}

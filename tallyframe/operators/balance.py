@@ -64,13 +64,13 @@ def copies_by_hash(df: DataFrame, key: Sequence[str], label: str, target: Any, s
 
 
 def _with_copies(df: DataFrame, ratios: DataFrame, key: Sequence[str], label: str, seed: int) -> DataFrame:
-    whole = F.floor("ratio")
-    extra = hash_unit(key, seed) < F.col("ratio") - whole
-    per_class = ratios.select(F.col("class"), "ratio")
+    per_class = ratios.select(F.col("class").alias("_class"), F.col("ratio").alias("_ratio"))
+    whole = F.floor("_ratio")
+    extra = hash_unit(key, seed) < F.col("_ratio") - whole
     return (
-        df.join(per_class, named(label) == F.col("class"))
+        df.join(per_class, named(label) == F.col("_class"))
         .withColumn("copies", whole + extra.cast("bigint"))
-        .drop("class", "ratio")
+        .drop("_class", "_ratio")
     )
 
 
