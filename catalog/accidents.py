@@ -17,17 +17,17 @@ _SHARED = """
          ELSE lpad(CAST(CAST(l_quantity AS INT) % 24 AS STRING), 2, '0') || ':' ||
               lpad(CAST(l_linenumber * 7 AS STRING), 2, '0') END AS Time,
     year(l_shipdate) AS Year,
-    CASE WHEN l_tax = 0 THEN -1 ELSE l_linenumber % 3 + 1 END AS Urban_or_Rural_Area,
+    CASE WHEN l_tax = 0 THEN -1 ELSE CAST(l_partkey % 3 AS INT) + 1 END AS Urban_or_Rural_Area,
     CASE WHEN l_quantity < 5 THEN -1 ELSE CAST(floor(l_quantity / 10) AS INT) * 10 + 20 END AS Speed_limit,
     CASE WHEN l_tax = 0 THEN -1.0D ELSE l_quantity / 8 - 5 END AS Longitude,
     l_extendedprice / 10000 + 50 AS Latitude,
-    l_linenumber AS Number_of_Vehicles,
+    CAST(floor(l_quantity / 15) AS INT) + 1 AS Number_of_Vehicles,
     CASE WHEN l_quantity > 40 THEN 2 ELSE 1 END AS Number_of_Casualties,
     CAST(l_suppkey % 10 AS STRING) AS Police_Force,
     CAST(l_suppkey AS STRING) AS `Local_Authority_(District)`,
-    CAST(l_linenumber % 5 AS STRING) AS `1st_Road_Class`,
+    CAST(l_partkey % 5 AS STRING) AS `1st_Road_Class`,
     CASE l_returnflag WHEN 'R' THEN '1' WHEN 'A' THEN '2' ELSE '6' END AS Road_Type,
-    CASE WHEN l_tax = 0 THEN '-1' ELSE CAST(l_linenumber AS STRING) END AS Light_Conditions,
+    CASE WHEN l_tax = 0 THEN '-1' ELSE CAST(l_linenumber % 4 + 1 AS STRING) END AS Light_Conditions,
     CASE WHEN l_discount = 0 THEN '-1' ELSE CAST(CAST(round(l_discount * 100) AS INT) AS STRING) END
         AS Weather_Conditions,
     CASE l_linestatus WHEN 'O' THEN '1' ELSE '2' END AS Road_Surface_Conditions,

@@ -113,12 +113,12 @@ def sample_points(
 ) -> DataFrame:
     """A random sample of the complete rows of ``cols``: ``fraction`` of them, but no more than ``cap``.
 
-    If the cap binds, the fraction is lowered to just above it, so the cap cuts off a few rows of a random
-    sample instead of taking the first partitions, and no task receives more than the sample.
+    If the cap binds, the fraction is lowered to just above it and the few rows too many are left out at
+    random, instead of taking the first partitions; no task receives more than the sample.
     """
     points = drop_incomplete(df.select(*[named(c) for c in cols]))
     n = points.count()
     if fraction * n <= cap:
         return points.sample(False, fraction, seed)
     enough = (cap + 6.0 * math.sqrt(cap)) / n
-    return points.sample(False, min(fraction, enough), seed).limit(cap)
+    return points.sample(False, min(fraction, enough), seed).orderBy(F.rand(seed)).limit(cap)

@@ -30,15 +30,11 @@ _SKETCH_ACCURACY = 20 * _SLOTS
 _ALL = -1  # bracket that serves every quantile of a group
 
 
-def _above(bound: str) -> Column:
-    return F.col(bound).isNull() | (F.col("y") > F.col(bound))
-
-
-def _below(bound: str) -> Column:
-    return F.col(bound).isNull() | (F.col("y") < F.col(bound))
-
-
-_INSIDE = _above("lo") & _below("hi")
+def _inside() -> Column:
+    """Strictly between the bounds; null is no bound."""
+    above = F.col("lo").isNull() | (F.col("y") > F.col("lo"))
+    below = F.col("hi").isNull() | (F.col("y") < F.col("hi"))
+    return above & below
 
 
 def _ranks(probs: Sequence[float]) -> list[tuple[Column, Column]]:
@@ -56,7 +52,7 @@ def _narrow(data: DataFrame, hot: DataFrame, probs: Sequence[float]) -> DataFram
     slots = F.array(*[F.lit(s / _SLOTS) for s in range(_SLOTS + 1)])
     sketch = (
         data.join(hot, "g")
-        .filter(_INSIDE)
+        .filter(_inside())
         .groupBy("g", "b")
         .agg(F.percentile_approx("y", slots, _SKETCH_ACCURACY).alias("edges"))
     )
@@ -80,7 +76,7 @@ def _narrow(data: DataFrame, hot: DataFrame, probs: Sequence[float]) -> DataFram
         .groupBy("g", "b")
         .agg(
             F.count_if(F.col("y") <= F.col("lo")).alias("upto"),
-            F.count_if(_INSIDE).alias("inside"),
+            F.count_if(_inside()).alias("inside"),
         )
     )
     return bounds.join(counted, ["g", "b"])
@@ -117,7 +113,7 @@ def exact_quantiles(
     brackets = _brackets(data, probs, in_task)
     values = (
         data.join(brackets.select("g", "b", "lo", "hi"), "g")
-        .filter(_INSIDE)
+        .filter(_inside())
         .groupBy("g", "b", "y")
         .agg(F.count(F.lit(1)).alias("c"))
     )
