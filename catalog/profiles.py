@@ -10,7 +10,7 @@ from catalog.accidents import CTE, accidents
 from tallyframe import presets as P
 from tallyframe.operators import profile
 from tallyframe.operators.clean import sentinel_to_null
-from tallyframe.plans.inspect import inspect
+from tallyframe.plans.quality import quality
 
 
 def _null_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,9 +49,9 @@ def _distributions(spark: SparkSession, sf: str) -> DataFrame:
     return profile.distributions(table(spark, sf, "orders"), titles)
 
 
-def _inspect(name: str):
+def _quality(name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return inspect(accidents(spark, sf))[name]
+        return quality(accidents(spark, sf))[name]
 
     return run
 
@@ -166,14 +166,14 @@ QUERIES: dict[str, Query] = {
     "distributions": Query(
         _distributions, _distributions_sql("orders", {"o_orderstatus": "Status", "o_orderpriority": "Priority"})
     ),
-    "inspect_nulls": Query(
-        lambda s, d: _inspect("nulls")(s, d)
+    "quality_nulls": Query(
+        lambda s, d: _quality("nulls")(s, d)
         .filter(F.col("column").isin(_ACCIDENT_COLUMNS))
         .withColumn("null_pct", rounded("null_pct")),
         _nulls_sql("accidents", {c: f'"{c}" IS NULL' for c in _ACCIDENT_COLUMNS}, CTE.split("labelled AS")[0]),
     ),
-    "inspect_categories": Query(
-        lambda s, d: _inspect("categories")(s, d).withColumn("rank", big("rank")),
+    "quality_categories": Query(
+        lambda s, d: _quality("categories")(s, d).withColumn("rank", big("rank")),
         _profile_sql(_pairs_sql("accidents", _PROFILE_PRESENT), P.TOP_VALUES, CTE.split("labelled AS")[0]),
     ),
 }

@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.hashing import hash_percent, hash_unit
@@ -18,7 +18,8 @@ from tallyframe.operators.clean import drop_incomplete, named, union_classes
 from tallyframe.workspace import settle
 
 _MOST_CLASSES = 1000  # for the random form, which builds one plan branch per class
-_COPIES_IN_TASK = 1000
+_COPIES_IN_TASK = 1000  # of one row
+_ROWS_IN_TASK = 5_000_000
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -59,14 +60,13 @@ def copies_by_hash(df: DataFrame, key: Sequence[str], label: str, target: Any, s
 
     A row of a class with ratio r gets floor(r) copies, and one more with probability r - floor(r).
     """
-    ratios = class_ratios(df, label, target)
-    return _with_copies(df, ratios, key, label, seed)
+    return _with_copies(df, class_ratios(df, label, target), hash_unit(key, seed), label)
 
 
-def _with_copies(df: DataFrame, ratios: DataFrame, key: Sequence[str], label: str, seed: int) -> DataFrame:
+def _with_copies(df: DataFrame, ratios: DataFrame, unit: Column, label: str) -> DataFrame:
     per_class = ratios.select(F.col("class").alias("_class"), F.col("ratio").alias("_ratio"))
     whole = F.floor("_ratio")
-    extra = hash_unit(key, seed) < F.col("_ratio") - whole
+    extra = unit < F.col("_ratio") - whole
     return (
         df.join(per_class, named(label) == F.col("_class"))
         .withColumn("copies", whole + extra.cast("bigint"))
@@ -74,24 +74,38 @@ def _with_copies(df: DataFrame, ratios: DataFrame, key: Sequence[str], label: st
     )
 
 
-def balance_by_hash(df: DataFrame, key: Sequence[str], label: str, target: Any, seed: int = 42) -> DataFrame:
-    """Bring every class to about the size of ``target``, repeatably; ``copy`` numbers the copies of a row.
+def _exploded(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    return df.withColumn("copy", F.explode(F.sequence(first, last)))
 
-    If a class must grow more than a thousandfold, its copies are made by other tasks than hold its rows.
-    """
+
+def balance_by_unit(df: DataFrame, unit: Column, label: str, target: Any) -> DataFrame:
+    """As ``balance_by_hash``, with a number in [0, 1) per row that decides about its last copy."""
     ratios = class_ratios(df, label, target)
-    counted = _with_copies(df, ratios, key, label, seed).filter(F.col("copies") > 0)
-    largest = ratios.agg(F.max("ratio")).first()[0]
-    if largest <= _COPIES_IN_TASK:
-        return counted.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copies")
-    last = F.floor((F.col("copies") - 1) / _COPIES_IN_TASK)
+    counted = _with_copies(df, ratios, unit, label)
+    one = F.lit(1).cast("bigint")
+    rare = ratios.agg(F.max("ratio"), F.sum(F.when(F.col("ratio") > _COPIES_IN_TASK, F.col("n") * F.col("ratio")))).first()
+    few = _exploded(counted.filter(F.col("copies").between(1, _COPIES_IN_TASK)), one, F.col("copies"))
+    if rare[0] <= _COPIES_IN_TASK:
+        return few.drop("copies")
+    # So few rows may lie in one task that it would write all copies: spread parts of the copies first.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rare[1] / _ROWS_IN_TASK))
+    parts = F.floor((F.col("copies") - 1) / _COPIES_IN_TASK)
     spread = (
-        counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .repartition(*[named(k) for k in key], "part")
-        .withColumn("start", F.col("part") * _COPIES_IN_TASK + 1)
+        counted.filter(F.col("copies") > _COPIES_IN_TASK)
+        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts)))
+        .repartition(tasks)
     )
-    stop = F.least("copies", F.col("start") + _COPIES_IN_TASK - 1)
-    return spread.withColumn("copy", F.explode(F.sequence("start", stop))).drop("copies", "part", "start")
+    start = F.col("_part") * _COPIES_IN_TASK + 1
+    many = _exploded(spread, start, F.least("copies", start + _COPIES_IN_TASK - 1)).drop("_part")
+    return few.unionByName(many).drop("copies")
+
+
+def balance_by_hash(df: DataFrame, key: Sequence[str], label: str, target: Any, seed: int = 42) -> DataFrame:
+    """Bring every class to about the size of ``target``, repeatably; ``copy`` numbers the copies of a row.
+
+    Rows are not shuffled, but for those of a class that must grow more than a thousandfold.
+    """
+    return balance_by_unit(df, hash_unit(key, seed), label, target)
 
 
 def split_by_hash(

@@ -1,6 +1,6 @@
 """Random-forest classification of an unbalanced label.
 
-``spark-submit -m tallyframe.plans.classify <table> <folder for results>``
+``spark-submit run.py classify <table> <folder for results>``
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyframe import presets as P
-from tallyframe.functions.hashing import hash_percent
+from tallyframe.functions.hashing import hash_percent, hash_unit
 from tallyframe.operators import features
-from tallyframe.operators.balance import balance, balance_by_hash, split_by_hash, split_random
+from tallyframe.operators.balance import balance, balance_by_unit, split_random
 from tallyframe.operators.clean import drop_incomplete, named, present_columns, to_double
 from tallyframe.operators.evaluate import class_scores, confusion_matrix, label_mapping, model_report, weighted_f1
 from tallyframe.plans.prepare import prepare_model, read_table, session
@@ -72,13 +73,23 @@ def model_rows(df: DataFrame, cfg: ModelConfig) -> DataFrame:
 
 
 def train_test(df: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, DataFrame]:
-    """Balanced training rows and test rows. Raises ``ValueError`` if the target class has no rows."""
+    """Balanced training rows and test rows. Raises ``ValueError`` if the target class has no rows.
+
+    The rows are first written to the shared folder with the numbers that place them: counting, balancing and
+    training read them many times, and a hash of derived columns in a filter would derive them anew each time.
+    They are spread evenly, however the source is split.
+    """
     rows = model_rows(df, cfg)
     if cfg.reference_order:
+        rows = settle(rows.hint("rebalance"), "rows")
         return split_random(balance(rows, cfg.label, cfg.target, cfg.seed), cfg.train_percent, cfg.seed)
     key = _model_columns(df, cfg)[2]
-    train, test = split_by_hash(rows, key, cfg.train_percent, cfg.seed)
-    return balance_by_hash(train, key, cfg.label, cfg.target, cfg.seed).drop("copy"), test
+    placed = rows.withColumns({"_percent": hash_percent(key, cfg.seed), "_unit": hash_unit(key, cfg.seed)})
+    placed = settle(placed.hint("rebalance", "_unit"), "rows")
+    train = placed.filter(F.col("_percent") < cfg.train_percent)
+    test = placed.filter(F.col("_percent") >= cfg.train_percent)
+    balanced = balance_by_unit(train, F.col("_unit"), cfg.label, cfg.target)
+    return balanced.drop("_percent", "_unit", "copy"), test.drop("_percent", "_unit")
 
 
 def forest_pipeline(df: DataFrame, cfg: ModelConfig) -> Pipeline:
@@ -183,7 +194,3 @@ def main(argv: Sequence[str] | None = None) -> None:
     trained.model.write().overwrite().save(f"{args.results}/model")
     for name, table in evaluate(df, trained, cfg).items():
         write_result(table, f"{args.results}/{name}", mode="overwrite")
-
-
-if __name__ == "__main__":
-    main()

@@ -1,6 +1,6 @@
 """Distributions, box plot, density grid, trends and correlation of one table.
 
-``spark-submit -m tallyframe.plans.explore <table> <folder for results>``
+``spark-submit run.py explore <table> <folder for results>``
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe import presets as P
 from tallyframe.operators.box import box_stats
-from tallyframe.operators.clean import drop_incomplete, filter_positive, named, present_columns
+from tallyframe.operators.clean import drop_incomplete, dtype_of, filter_positive, named, present_columns
 from tallyframe.operators.explore import (
     corr_matrix,
     counts_over_domain,
@@ -27,6 +28,7 @@ from tallyframe.operators.explore import (
 from tallyframe.operators.profile import distributions
 from tallyframe.plans.prepare import prepare_exploration, read_table, session
 from tallyframe.sources.tables import write_result
+from tallyframe.workspace import settle
 
 
 def severity_by_speed(df: DataFrame) -> DataFrame:
@@ -42,15 +44,20 @@ def severe(df: DataFrame) -> DataFrame:
 def correlation(df: DataFrame) -> DataFrame:
     """Correlation of the coded and numeric columns; codes kept as text take part by their number."""
     found, _ = present_columns(df, P.CORRELATION_COLUMNS)
-    numbers = df.select(*[named(c).try_cast("double").alias(c) for c in found])
-    # A column with words has no number there; with it those rows would count as incomplete.
-    coded = df.agg(
-        *[
-            F.coalesce(F.every(named(c).isNull() | named(c).try_cast("double").isNotNull()), F.lit(False)).alias(c)
-            for c in found
-        ]
-    ).first()
-    return corr_matrix(numbers, [c for c in found if coded[c]])
+    words = _columns_with_words(df, [c for c in found if isinstance(dtype_of(df, c), T.StringType)])
+    coded = [c for c in found if c not in words]
+    numbers = df.select(*[named(c).try_cast("double").alias(c) for c in coded])
+    # Three passes follow; hour and month would be parsed from text in each of them.
+    return corr_matrix(settle(numbers, "numbers"), coded)
+
+
+def _columns_with_words(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    # A word has no number; with its column, its row would count as incomplete.
+    if not cols:
+        return []
+    words = [F.count_if(named(c).isNotNull() & named(c).try_cast("double").isNull()).alias(c) for c in cols]
+    counts = df.agg(*words).first()
+    return [c for c in cols if counts[c]]
 
 
 ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -84,7 +91,3 @@ def main(argv: Sequence[str] | None = None) -> None:
     prepared = prepare_exploration(read_table(spark, args.table))
     for name in args.only or ANALYSES:
         write_result(ANALYSES[name](prepared), f"{args.results}/{name}", mode="overwrite")
-
-
-if __name__ == "__main__":
-    main()

@@ -1,6 +1,6 @@
 """Data-quality profile of one table.
 
-``spark-submit -m tallyframe.plans.inspect <table> <folder for results>``
+``spark-submit run.py quality <table> <folder for results>``
 """
 
 from __future__ import annotations
@@ -14,17 +14,17 @@ from tallyframe import presets as P
 from tallyframe.operators.clean import present_columns
 from tallyframe.operators.profile import categorical_profile, null_report, row_count, schema_report
 from tallyframe.plans.prepare import read_table, session
-from tallyframe.sources.tables import write_result
+from tallyframe.sources.tables import first_rows, write_result
 
 
-def inspect(
+def quality(
     df: DataFrame, categorical: Sequence[str] = tuple(P.PROFILE_COLUMNS), k: int = P.TOP_VALUES
 ) -> dict[str, DataFrame]:
     """Schema, first rows, row count, missing values and frequent values; absent columns are named."""
     found, missing = present_columns(df, categorical)
     tables = {
         "schema": schema_report(df),
-        "head": df.limit(P.HEAD_ROWS),
+        "head": first_rows(df, P.HEAD_ROWS),
         "row_count": row_count(df),
         "nulls": null_report(df),
     }
@@ -40,10 +40,6 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("table")
     parser.add_argument("results")
     args = parser.parse_args(argv)
-    spark = session("inspect")
-    for name, table in inspect(read_table(spark, args.table)).items():
+    spark = session("quality")
+    for name, table in quality(read_table(spark, args.table)).items():
         write_result(table, f"{args.results}/{name}", mode="overwrite")
-
-
-if __name__ == "__main__":
-    main()

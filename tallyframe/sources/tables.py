@@ -42,6 +42,11 @@ def head(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """Any ``n`` rows; reads no more partitions than it takes to find them."""
+    return df.sparkSession.createDataFrame(df.take(n), df.schema)
+
+
 @contextmanager
 def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
     """Keep ``df`` for several actions and free it afterwards."""

@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
-    """Compute ``df`` once, write it to the shared folder and read it back.
+    """Compute ``df`` once, write it as a table in the shared folder and read it back.
 
     Used for the small frames between two passes over large data. Their file size is known afterwards, so
     a join with them is a broadcast join only while they stay below

@@ -7,7 +7,7 @@ from catalog.accidents import accidents
 from tallyframe import presets as P
 from tallyframe.operators import features
 from tallyframe.operators.evaluate import class_scores, confusion_matrix, confusion_wide, weighted_f1
-from tallyframe.plans import classify, explore, inspect
+from tallyframe.plans import classify, explore, quality, store
 from tallyframe.plans.classify import ModelConfig
 from tallyframe.plans.prepare import prepare_model
 
@@ -122,17 +122,20 @@ def test_unseen_category_has_its_own_slot(spark):
 
 
 def test_command_lines(spark, tmp_path, monkeypatch):
-    table = accidents(spark, SF)
-    source = str(tmp_path / "table.csv")
-    table.write.option("header", True).option("escape", '"').csv(source)
-    for plan in (inspect, explore, classify):
+    rows = accidents(spark, SF)
+    source, table = str(tmp_path / "table.csv"), str(tmp_path / "table")
+    rows.write.option("header", True).option("escape", '"').csv(source)
+    for plan in (store, quality, explore, classify):
         monkeypatch.setattr(plan, "session", lambda name: spark)
-    inspect.main([source, str(tmp_path / "inspect")])
-    explore.main([source, str(tmp_path / "explore")])
-    classify.main([source, str(tmp_path / "classify"), "--num-trees", "2", "--max-depth", "3"])
+    store.main([source, table])
+    quality.main([source, str(tmp_path / "quality")])
+    explore.main([table, str(tmp_path / "explore")])
+    classify.main([table, str(tmp_path / "classify"), "--num-trees", "2", "--max-depth", "3"])
     read = spark.read.parquet
-    assert read(str(tmp_path / "inspect/row_count")).first()[0] == table.count()
-    assert read(str(tmp_path / "inspect/categories")).filter("column = 'Road_Type'").count() == 3
-    assert read(str(tmp_path / "inspect/absent")).count() == len(P.PROFILE_COLUMNS) - 15
+    assert "Year=1996" in {p.name for p in (tmp_path / "table").iterdir()}
+    assert read(str(tmp_path / "quality/row_count")).first()[0] == rows.count()
+    assert read(str(tmp_path / "quality/head")).count() == P.HEAD_ROWS
+    assert read(str(tmp_path / "quality/categories")).filter("column = 'Road_Type'").count() == 3
+    assert read(str(tmp_path / "quality/absent")).count() == len(P.PROFILE_COLUMNS) - 15
     assert {p.name for p in (tmp_path / "explore").iterdir()} == set(explore.ANALYSES)
     assert 0 < read(str(tmp_path / "classify/weighted_f1")).first()[0] < 1

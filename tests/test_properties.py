@@ -186,6 +186,12 @@ def test_unknown_target_raises(spark):
             f(table(spark, "labels"), "quality", 9)
 
 
+def test_balancing_does_not_shuffle_the_rows(spark):
+    out = b.balance_by_hash(table(spark, "events"), ["event_id"], "event_type", "view")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_many_copies_of_one_row(spark):
     rows = spark.range(3001).select("id", F.when(F.col("id") == 0, "few").otherwise("many").alias("c"))
     out = b.balance_by_hash(rows, ["id"], "c", "many")
