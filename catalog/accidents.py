@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from catalog import table
 
 _SHARED = """
+    l_orderkey AS Accident_Index,
     CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS Accident_Severity,
     CASE WHEN l_discount = 0 THEN NULL
          ELSE lpad(CAST(CAST(l_quantity AS INT) % 24 AS STRING), 2, '0') || ':' ||

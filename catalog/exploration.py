@@ -216,6 +216,8 @@ QUERIES: dict[str, Query] = {
             FROM labelled WHERE Accident_Severity IN (1, 2) GROUP BY ALL"""
         ),
     ),
+    # A random sample has no SQL twin; the tests check its size.
+    "explore_severe_sample": Query(_explored("severe_sample")),
     "explore_severe_centre": Query(
         _explored("severe_centre", _rounded_grid),
         _accident_sql(

@@ -109,6 +109,8 @@ def exact_quantiles(
     ``quantiles`` is an array in the order of ``probs``. At most about ``in_task`` distinct values of one
     group meet in one task. Reads ``df`` two times, and two more times per turn for larger groups.
     """
+    if in_task < 10:
+        raise ValueError("in_task must be at least 10")
     data = drop_incomplete(df.select(named(group).alias("g"), named(value).cast("double").alias("y")))
     brackets = _brackets(data, probs, in_task)
     values = (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe import presets as P
+from tallyframe.operators.balance import sample_points
 from tallyframe.operators.box import box_stats
 from tallyframe.operators.clean import drop_incomplete, dtype_of, filter_positive, named, present_columns
 from tallyframe.operators.explore import (
@@ -67,6 +68,9 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "weekdays": lambda df: counts_over_domain(df, "Day_Name", P.WEEKDAY_ORDER),
     "severity_by_speed": severity_by_speed,
     "severe_density": lambda df: geo_density(severe(df), "Latitude", "Longitude", P.GRID_STEP),
+    "severe_sample": lambda df: sample_points(
+        severe(df), ["Latitude", "Longitude"], P.SAMPLE_FRACTION, P.SAMPLE_CAP, P.SEED
+    ),
     "severe_centre": lambda df: geo_centre(severe(df), "Latitude", "Longitude"),
     "hours": lambda df: df.groupBy("Hour").count().orderBy(F.asc_nulls_last("Hour")),
     "months": lambda df: time_pattern(drop_incomplete(df, ["Accident_Date"]), "Accident_Date", "month"),
