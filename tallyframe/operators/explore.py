@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,23 +114,32 @@ def _complete_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair of numeric columns; null if one of them is constant.
 
-    All complete rows count. The work is Spark's own tree aggregation of one matrix per task, so only sums
-    of the size of the result leave the tasks. One aggregate per pair gives the same, but past ten columns
-    its generated code is too long to be compiled and it takes several times as long.
+    Two passes over all complete rows: the means, then the sums of products of deviations. In the second a row
+    is taken once per column, so that one short aggregate per *column* does for all pairs: one aggregate per
+    pair makes code too long to be compiled. Only one row of sums per column leaves a task.
     """
     _numeric_columns(df, cols)
     numbers = _complete_numbers(df, cols)
+    bounds = [F.struct(F.min(named(c)).alias("lo"), F.max(named(c)).alias("hi"), F.avg(named(c)).alias("mean")) for c in cols]
+    known = numbers.agg(*[b.alias(c) for b, c in zip(bounds, cols, strict=True)]).first()
     # By value, not by variance: the rounding of a constant's mean must not pass for variance.
-    varies = numbers.agg(*[(F.min(named(c)) < F.max(named(c))).alias(c) for c in cols]).first()
-    varying = [c for c, v in zip(cols, varies, strict=True) if v]
-    known = {}
-    if varying:
-        vectors = VectorAssembler(inputCols=varying, outputCol="features").transform(numbers)
-        matrix = Correlation.corr(vectors.select("features"), "features").first()[0].toArray()
-        known = {(a, b): float(matrix[i, j]) for i, a in enumerate(varying) for j, b in enumerate(varying)}
-    rows = [
-        [F.lit(a), F.lit(b), F.lit(known.get((a, b))).cast("double")]
-        for a in cols
-        for b in cols
-    ]
+    varying = [c for c in cols if known[c]["lo"] is not None and known[c]["lo"] < known[c]["hi"]]
+    sums = _products(numbers, varying, [known[c]["mean"] for c in varying]) if varying else {}
+    rows = []
+    for a in cols:
+        for b in cols:
+            spread = math.sqrt(sums[a, a]) * math.sqrt(sums[b, b]) if a in varying and b in varying else 0.0
+            rows.append([F.lit(a), F.lit(b), F.lit(sums[a, b] / spread if spread else None).cast("double")])
     return literal_rows(df.sparkSession, ["a", "b", "r"], rows)
+
+
+def _products(numbers: DataFrame, cols: Sequence[str], means: Sequence[float]) -> dict[tuple[str, str], float]:
+    """Sum of the products of deviations for every pair of columns: as many numbers as the result has rows."""
+    names = [f"d{i}" for i in range(len(cols))]
+    deviations = numbers.select(*[(named(c) - F.lit(m)).alias(d) for c, m, d in zip(cols, means, names, strict=True)])
+    per_column = (
+        deviations.select(*names, F.posexplode(F.array(*names)).alias("i", "d"))
+        .groupBy("i")
+        .agg(*[F.sum(F.col("d") * F.col(d)).alias(d) for d in names])
+    )
+    return {(cols[r["i"]], b): r[d] for r in per_column.collect() for b, d in zip(cols, names, strict=True)}

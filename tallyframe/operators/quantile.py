@@ -98,7 +98,7 @@ def _brackets(data: DataFrame, probs: Sequence[float], in_task: int) -> DataFram
         narrowed = settle(_narrow(data, hot, probs), "brackets")
         done = done.unionByName(narrowed.filter(F.col("inside") <= in_task))
         hot = narrowed.filter(F.col("inside") > in_task)
-    return settle(done, "brackets")
+    return done
 
 
 def exact_quantiles(

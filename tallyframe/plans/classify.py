@@ -35,7 +35,8 @@ class ModelConfig:
     ``key`` names the columns that identify a row for the split; without it all columns used do, so equal
     rows stay on one side. ``reference_order`` drops every incomplete row and balances *before* a random
     split: then copies of one row are in both parts and the score is too good. By default the split comes
-    first, only the training part is balanced, and only rows without a label are dropped.
+    first, only the training part is balanced, and only rows without a label are dropped. ``forest_params``
+    are further parameters of the forest, such as ``maxMemoryInMB`` or ``subsamplingRate`` for large tables.
     """
 
     label: str = P.LABEL_COLUMN
@@ -48,6 +49,7 @@ class ModelConfig:
     num_trees: int = P.NUM_TREES
     max_depth: int = P.MAX_DEPTH
     reference_order: bool = False
+    forest_params: Mapping[str, Any] = field(default_factory=dict)
     label_names: Mapping[str, str] = field(default_factory=lambda: dict(P.SEVERITY_NAMES))
 
 
@@ -102,6 +104,7 @@ def forest_pipeline(df: DataFrame, cfg: ModelConfig) -> Pipeline:
         seed=cfg.seed,
         numTrees=cfg.num_trees,
         maxDepth=cfg.max_depth,
+        **cfg.forest_params,
     )
     return Pipeline(
         stages=[

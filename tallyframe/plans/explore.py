@@ -92,6 +92,6 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--only", nargs="*", choices=list(ANALYSES))
     args = parser.parse_args(argv)
     spark = session("explore")
-    prepared = prepare_exploration(read_table(spark, args.table))
+    prepared = prepare_exploration(read_table(spark, args.table, often=True))
     for name in args.only or ANALYSES:
         write_result(ANALYSES[name](prepared), f"{args.results}/{name}", mode="overwrite")

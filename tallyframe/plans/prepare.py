@@ -16,17 +16,22 @@ from tallyframe.operators.derive import (
     weekday_label,
 )
 from tallyframe.sources.csv import drop_unnamed, scan_csv
+from tallyframe.workspace import settle
 
 
 def session(name: str) -> SparkSession:
     return SparkSession.builder.appName(name).getOrCreate()
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file or folder with the declared types, or a Parquet folder made by ``ingest``."""
-    if path.endswith((".csv", ".csv.gz")):
-        return drop_unnamed(scan_csv(spark, path, P.SOURCE_TYPES))
-    return drop_unnamed(spark.read.parquet(path))
+def read_table(spark: SparkSession, path: str, often: bool = False) -> DataFrame:
+    """A CSV file or folder with the declared types, or a Parquet folder made by ``store``.
+
+    CSV that is read ``often`` is first written as Parquet, so that each pass reads only its columns.
+    """
+    if not path.endswith((".csv", ".csv.gz")):
+        return drop_unnamed(spark.read.parquet(path))
+    table = drop_unnamed(scan_csv(spark, path, P.SOURCE_TYPES))
+    return settle(table, "table") if often else table
 
 
 def prepare_exploration(df: DataFrame) -> DataFrame:

@@ -41,5 +41,5 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("results")
     args = parser.parse_args(argv)
     spark = session("quality")
-    for name, table in quality(read_table(spark, args.table)).items():
+    for name, table in quality(read_table(spark, args.table, often=True)).items():
         write_result(table, f"{args.results}/{name}", mode="overwrite")

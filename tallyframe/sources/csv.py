@@ -16,13 +16,15 @@ def scan_csv(
     types: T.StructType | None = None,
     infer: bool = False,
     corrupt: str | None = None,
+    same_header: bool = False,
 ) -> DataFrame:
     """Read CSV with a header line and doubled quotes; ``path`` may be on any Hadoop file system.
 
     Columns are matched to ``types`` by their name in the header, so their order does not matter and
     columns may lack or be added; a column without a declared type is text. Only the header line is read
     for that. ``infer`` reads all rows once more to find types. Rows that do not fit have null in the bad
-    field; with ``corrupt`` their whole line is kept in a column of that name. A missing file raises.
+    field; with ``corrupt`` their whole line is kept in a column of that name. A missing file raises. Of a
+    folder the first header counts; ``same_header`` makes any file with another one raise.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
     if infer:
@@ -33,7 +35,7 @@ def scan_csv(
     if corrupt:
         schema = schema.add(corrupt, T.StringType())
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
-    return reader.schema(schema).csv(path)
+    return reader.schema(schema).option("enforceSchema", not same_header).csv(path)
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:

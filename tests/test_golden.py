@@ -66,6 +66,13 @@ def test_column_order_does_not_matter(spark, tmp_path):
     assert scan_csv(spark, str(file), TYPES).first().asDict() == {"Latitude": 51.5, "Extra": "x", "Accident_Severity": 2}
 
 
+def test_other_header_in_a_folder_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Latitude,Accident_Severity\n51.5,2\n")
+    (tmp_path / "b.csv").write_text("Accident_Severity,Latitude\n1,52.5\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        scan_csv(spark, str(tmp_path), TYPES, same_header=True).collect()
+
+
 def test_bad_fields_are_null_and_kept(spark, tmp_path):
     file = tmp_path / "bad.csv"
     file.write_text("Accident_Severity,Latitude\n1,51.5\nmany,52.0\n")
@@ -183,7 +190,7 @@ def test_ingest_prunes_partitions(spark, raw, tmp_path):
 
 def test_read_table(spark, path, raw, tmp_path):
     ingest(drop_unnamed(raw), str(tmp_path / "t"))
-    for df in (read_table(spark, path), read_table(spark, str(tmp_path / "t"))):
+    for df in (read_table(spark, path), read_table(spark, path, often=True), read_table(spark, str(tmp_path / "t"))):
         assert "_c0" not in df.columns and df.count() == 5
 
 

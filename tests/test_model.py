@@ -12,7 +12,7 @@ from tallyframe.plans.classify import ModelConfig
 from tallyframe.plans.prepare import prepare_model
 
 SF = "/root/testdata/sf0.001"
-SMALL = ModelConfig(num_trees=5, max_depth=4)
+SMALL = ModelConfig(num_trees=5, max_depth=4, forest_params={"maxMemoryInMB": 512})
 
 
 @pytest.fixture(scope="module")
