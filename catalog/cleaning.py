@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog import Query, big, rounded, table
+from catalog import Query, big, table
 from tallyframe.operators import clean, derive
 from tallyframe.sources.csv import drop_unnamed, scan_csv
 from tallyframe.sources.tables import head, ingest, write_result
@@ -63,7 +63,8 @@ def _sentinel_to_null(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sentinel_in_text(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    code = F.when(F.col("p_size") == 1, "-1").when(F.col("p_size") == 2, "None").otherwise(F.col("p_size").cast("string"))
+    size = F.col("p_size")
+    code = F.when(size == 1, "-1").when(size == 2, "None").otherwise(size.cast("string"))
     return clean.sentinel_to_null(part.select("p_partkey", code.alias("code")), ["code"], -1)
 
 
@@ -122,9 +123,9 @@ def _hour_from_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _to_double(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part").select(
-        "p_partkey", "p_size", F.when(F.col("p_size") < 5, "n/a").otherwise(F.col("p_size").cast("string")).alias("size_text")
-    )
+    size = F.col("p_size")
+    text = F.when(size < 5, "n/a").otherwise(size.cast("string"))
+    part = table(spark, sf, "part").select("p_partkey", "p_size", text.alias("size_text"))
     return clean.to_double(part, ["p_size", "size_text", "absent"])
 
 
@@ -146,7 +147,9 @@ QUERIES: dict[str, Query] = {
     ),
     "write_result": Query(_write_result, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL"),
     "head": Query(
-        lambda s, d: head(table(s, d, "orders").select("o_orderkey", "o_totalprice"), 5, [F.desc("o_totalprice"), "o_orderkey"]),
+        lambda s, d: head(
+            table(s, d, "orders").select("o_orderkey", "o_totalprice"), 5, [F.desc("o_totalprice"), "o_orderkey"]
+        ),
         "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
     ),
     "select_columns": Query(
@@ -198,7 +201,10 @@ QUERIES: dict[str, Query] = {
     ),
     "recode": Query(
         lambda s, d: derive.recode(
-            table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": "filled", "O": "open"}, out="state"
+            table(s, d, "orders").select("o_orderkey", "o_orderstatus"),
+            "o_orderstatus",
+            {"F": "filled", "O": "open"},
+            out="state",
         ),
         """SELECT o_orderkey, o_orderstatus,
         CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS state FROM orders""",

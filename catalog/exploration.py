@@ -61,6 +61,12 @@ def _ordered_sql(order: list[str]) -> str:
     return f"""SELECT pos, {_BOX_SELECT} FROM (VALUES {places}) p(pos, "group") LEFT JOIN b USING ("group")"""
 
 
+def _domain_sql(col: str, source: str, domain: list[str]) -> str:
+    places = ", ".join(f"({i}::BIGINT, '{v}')" for i, v in enumerate(domain))
+    return f"""SELECT pos, value, count FROM (VALUES {places}) p(pos, value)
+    LEFT JOIN (SELECT {col} AS value, count(*) AS count FROM {source} GROUP BY ALL) USING (value)"""
+
+
 def _exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     # A small bound on what one task may hold, so that every group goes through the narrowing.
     out = quantile.exact_quantiles(
@@ -128,12 +134,14 @@ def _density(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "share": Query(lambda s, d: ops.share(table(s, d, "orders"), "o_orderpriority"), _share_sql("orders", "o_orderpriority")),
+    "share": Query(
+        lambda s, d: ops.share(table(s, d, "orders"), "o_orderpriority"), _share_sql("orders", "o_orderpriority")
+    ),
     "counts_over_domain": Query(
-        lambda s, d: ops.counts_over_domain(table(s, d, "events"), "event_type", _BOX_ORDER).withColumn("pos", big("pos")),
-        "SELECT pos, value, count FROM (VALUES "
-        + ", ".join(f"({i}::BIGINT, '{v}')" for i, v in enumerate(_BOX_ORDER))
-        + ") p(pos, value) LEFT JOIN (SELECT event_type AS value, count(*) AS count FROM events GROUP BY ALL) USING (value)",
+        lambda s, d: ops.counts_over_domain(table(s, d, "events"), "event_type", _BOX_ORDER).withColumn(
+            "pos", big("pos")
+        ),
+        _domain_sql("event_type", "events", _BOX_ORDER),
     ),
     "time_pattern_hour": Query(
         lambda s, d: ops.time_pattern(table(s, d, "events"), "ts", "hour").withColumn("pct", rounded("pct")),
@@ -196,11 +204,7 @@ QUERIES: dict[str, Query] = {
     ),
     "explore_weekdays": Query(
         _explored("weekdays", lambda df: df.withColumn("pos", big("pos"))),
-        _accident_sql(
-            "SELECT pos, value, count FROM (VALUES "
-            + ", ".join(f"({i}::BIGINT, '{v}')" for i, v in enumerate(P.WEEKDAY_ORDER))
-            + ") p(pos, value) LEFT JOIN (SELECT Day_Name AS value, count(*) AS count FROM labelled GROUP BY ALL) USING (value)"
-        ),
+        _accident_sql(_domain_sql("Day_Name", "labelled", P.WEEKDAY_ORDER)),
     ),
     "explore_severity_by_speed": Query(
         _explored("severity_by_speed", _rounded_boxes),

@@ -16,8 +16,8 @@ from tallyframe.plans.quality import quality
 def _null_report(spark: SparkSession, sf: str) -> DataFrame:
     items = sentinel_to_null(table(spark, sf, "lineitem"), ["l_discount", "l_tax"], 0.0)
     items = items.select("l_orderkey", "l_returnflag", "l_quantity", "l_discount", "l_tax")
-    nan = items.withColumn("l_quantity", F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity")))
-    return profile.null_report(nan).withColumn("null_pct", rounded("null_pct"))
+    quantity = F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    return profile.null_report(items.withColumn("l_quantity", quantity)).withColumn("null_pct", rounded("null_pct"))
 
 
 def _distinct_report(spark: SparkSession, sf: str, approx: bool = False) -> DataFrame:

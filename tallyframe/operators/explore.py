@@ -120,8 +120,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     _numeric_columns(df, cols)
     numbers = _complete_numbers(df, cols)
-    bounds = [F.struct(F.min(named(c)).alias("lo"), F.max(named(c)).alias("hi"), F.avg(named(c)).alias("mean")) for c in cols]
-    known = numbers.agg(*[b.alias(c) for b, c in zip(bounds, cols, strict=True)]).first()
+    bounds = [
+        F.struct(F.min(named(c)).alias("lo"), F.max(named(c)).alias("hi"), F.avg(named(c)).alias("mean")).alias(c)
+        for c in cols
+    ]
+    known = numbers.agg(*bounds).first()
     # By value, not by variance: the rounding of a constant's mean must not pass for variance.
     varying = [c for c in cols if known[c]["lo"] is not None and known[c]["lo"] < known[c]["hi"]]
     sums = _products(numbers, varying, [known[c]["mean"] for c in varying]) if varying else {}

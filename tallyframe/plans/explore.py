@@ -48,7 +48,7 @@ def correlation(df: DataFrame) -> DataFrame:
     words = _columns_with_words(df, [c for c in found if isinstance(dtype_of(df, c), T.StringType)])
     coded = [c for c in found if c not in words]
     numbers = df.select(*[named(c).try_cast("double").alias(c) for c in coded])
-    # Three passes follow; hour and month would be parsed from text in each of them.
+    # Two passes follow; hour and month would be parsed from text in each of them.
     return corr_matrix(settle(numbers, "numbers"), coded)
 
 

@@ -17,7 +17,10 @@ from tallyframe.plans.prepare import prepare_exploration, prepare_model, read_ta
 from tallyframe.sources.csv import drop_unnamed, scan_csv
 from tallyframe.sources.tables import cached, ingest
 
-HEADER = ",Accident_Severity,Date,Time,Day_of_Week,Urban_or_Rural_Area,Longitude,Latitude,Speed_limit,Road_Type,Junction_Control,Same"
+HEADER = (
+    ",Accident_Severity,Date,Time,Day_of_Week,Urban_or_Rural_Area,Longitude,Latitude,Speed_limit,Road_Type,"
+    "Junction_Control,Same"
+)
 ROWS = [
     '0,1,04/01/2005,17:42,1,1,-0.5,51.5,30,"Give ""way""",2,5',
     '1,2, 05/01/2005 ,09:05,2,2,-1.0,51.6,60,"Auto, signal",-1,5',
@@ -157,7 +160,8 @@ def test_nan_counts_as_missing(spark):
 
 
 def test_speed_without_value_is_no_box(raw):
-    boxes = box_stats(clean.filter_positive(derive.severity_label(raw), "Speed_limit"), "Severity_Label", "Speed_limit", P.SEVERITY_ORDER)
+    driven = clean.filter_positive(derive.severity_label(raw), "Speed_limit")
+    boxes = box_stats(driven, "Severity_Label", "Speed_limit", P.SEVERITY_ORDER)
     assert [(r["group"], r["n"], r["median"]) for r in boxes.collect()] == [
         ("Slight", None, None), ("Serious", 1, 60.0), ("Fatal", 1, 30.0),
     ]
@@ -170,7 +174,8 @@ def test_constant_has_no_correlation(raw):
 
 
 def test_correlation_leaves_words_out(raw):
-    names = {r["a"] for r in correlation(prepare_exploration(drop_unnamed(raw).withColumn("Road_Type", F.lit("Single")))).collect()}
+    words = drop_unnamed(raw).withColumn("Road_Type", F.lit("Single"))
+    names = {r["a"] for r in correlation(prepare_exploration(words)).collect()}
     assert "Road_Type" not in names and "Latitude" in names
 
 

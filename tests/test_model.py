@@ -101,7 +101,8 @@ def test_tuning(rows):
 def test_scores_without_predictions_are_zero(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "a"), ("b", "a")], "label string, prediction string")
     confusion = confusion_matrix(df)
-    scores = {r["class"]: (r["support"], r["predicted"], r["tp"], r["precision"], r["f1"]) for r in class_scores(confusion).collect()}
+    rows = class_scores(confusion).select("class", "support", "predicted", "tp", "precision", "f1").collect()
+    scores = {r[0]: tuple(r[1:]) for r in rows}
     assert scores == {"a": (2, 3, 2, 2 / 3, 0.8), "b": (1, 0, 0, 0.0, 0.0)}
     wide = {r["label"]: (r["predicted_a"], r["predicted_b"]) for r in confusion_wide(confusion, ["a", "b"]).collect()}
     assert wide == {"a": (2, 0), "b": (1, 0)}
