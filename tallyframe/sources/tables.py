@@ -14,15 +14,16 @@ def ingest(
     path: str,
     partition_by: Sequence[str] = (),
     mode: str = "error",
-    rebalance: bool = False,
+    rebalance: bool = True,
 ) -> DataFrame:
     """Write ``df`` as Parquet, in one folder per value of ``partition_by``, and return the stored table.
 
-    By default rows are not moved before the write: each task writes its own file per folder, so a value
-    that holds a large part of all rows is written by many tasks. With many values that makes many small
-    files; ``rebalance`` then shuffles by the values first and lets adaptive execution split the large ones.
+    The rows of a value are brought together first, so that files get the advisory partition size; adaptive
+    execution splits a value with many rows over as many tasks. Without ``rebalance`` nothing is shuffled and
+    each task writes its own file per value: right for input that is already ordered by the values, else it
+    makes as many small files as there are tasks times values.
     """
-    if rebalance:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)

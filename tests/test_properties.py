@@ -48,6 +48,21 @@ def test_quantiles_are_exact(skewed, in_task):
         np.testing.assert_allclose(found[g]["quantiles"], np.quantile(ys, PROBS), rtol=1e-12)
 
 
+def test_quantiles_of_many_shapes(spark):
+    rng = np.random.default_rng(7)
+    shapes = [
+        lambda n: rng.integers(0, 3, n) * 1.0,
+        lambda n: np.exp(rng.normal(size=n) * 20),
+        lambda n: np.where(rng.random(n) < 0.5, 7.0, rng.integers(0, 1000, n)),
+        lambda n: np.where(rng.random(n) < 0.25, -1.0, np.where(rng.random(n) < 0.5, 0.0, rng.normal(size=n))),
+    ]
+    values = {g: shapes[g % 4](int(rng.integers(1, 1500))) for g in range(40)}
+    rows = [(g, float(y)) for g, ys in values.items() for y in ys]
+    df = settle(spark.createDataFrame(rows, "g int, y double"))
+    for r in exact_quantiles(df, "g", "y", PROBS, 25).collect():
+        np.testing.assert_allclose(r["quantiles"], np.quantile(values[r["g"]], PROBS), rtol=1e-9, atol=1e-12)
+
+
 def test_quantiles_of_equal_values(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), F.lit(2.5).alias("y"))
     assert exact_quantiles(df, "g", "y", [0.25, 0.9], 10).first()["quantiles"] == [2.5, 2.5]
@@ -229,5 +244,18 @@ def test_sample_and_cap(spark):
     assert capped.agg(F.max("event_id")).first()[0] > 0.8 * n
 
 
+class _Session:
+    def __init__(self, **settings):
+        self.conf = {k.replace("_", "."): v for k, v in settings.items()}
+
+
+def test_cluster_without_shared_dir_raises():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session(spark_master="yarn", spark_app_id="a"))
+    assert shared_dir(_Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///tmp/x/")) == "hdfs:///tmp/x"
+    local = _Session(spark_master="local[2]", spark_app_id="b")
+    assert shared_dir(local) == shared_dir(local)
+
+
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
