@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import table
+from tallyframe.catalog import table
 
 _SHARED = """
     l_orderkey AS Accident_Index,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog import Query, big, table
+from tallyframe.catalog import Query, big, table
 from tallyframe.operators import clean, derive
 from tallyframe.sources.csv import drop_unnamed, scan_csv
 from tallyframe.sources.tables import head, ingest, write_result

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import Query, big, rounded, table
-from catalog.accidents import CTE, accidents
-from catalog.profiles import _distributions_sql
+from tallyframe.catalog import Query, big, rounded, table
+from tallyframe.catalog.accidents import CTE, accidents
+from tallyframe.catalog.profiles import _distributions_sql
 from tallyframe import presets as P
 from tallyframe.operators import box, explore as ops, quantile
 from tallyframe.operators.clean import sentinel_to_null

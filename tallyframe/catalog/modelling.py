@@ -7,8 +7,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import Query, big, rounded, table
-from catalog.accidents import CTE, accidents
+from tallyframe.catalog import Query, big, rounded, table
+from tallyframe.catalog.accidents import CTE, accidents
 from tallyframe import presets as P
 from tallyframe.operators import balance as b
 from tallyframe.operators import evaluate, features
@@ -170,6 +170,13 @@ def _random_forest(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.confusion_matrix(classify.predict(trained.model, trained.test))
 
 
+def _prediction_support(spark: SparkSession, sf: str) -> DataFrame:
+    # Every test row is predicted once, whatever is missing in it.
+    trained = _trained(spark, sf)
+    predicted = classify.predict(trained.model, trained.test).filter(F.col("prediction").isNotNull())
+    return predicted.groupBy("Accident_Severity", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _model_f1(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.weighted_f1(_random_forest(spark, sf))
 
@@ -321,6 +328,11 @@ QUERIES: dict[str, Query] = {
     "train_test": Query(_train_test, _TRAIN_TEST_SQL),
     # Trained models have no SQL twin; the tests check scores, leaks and repeatability.
     "random_forest": Query(_random_forest),
+    "prediction_support": Query(
+        _prediction_support,
+        f"""WITH {CTE} SELECT Accident_Severity, (Accident_Severity - 1)::DOUBLE AS label, count(*) AS n FROM accidents
+        WHERE {_DIGEST_SQL.format(start=1)} % 100 >= 70 GROUP BY ALL""",
+    ),
     "model_f1": Query(_model_f1),
     "model_report": Query(_model_report),
     "label_mapping": Query(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import Query, big, rounded, table
-from catalog.accidents import CTE, accidents
+from tallyframe.catalog import Query, big, rounded, table
+from tallyframe.catalog.accidents import CTE, accidents
 from tallyframe import presets as P
 from tallyframe.operators import profile
 from tallyframe.operators.clean import sentinel_to_null

@@ -49,8 +49,10 @@ def hour_of_time(col: Column, dtype: T.DataType) -> Column:
     return F.hour(col)
 
 
-def hour_from_text(col: Column) -> Column:
-    """The part of the text before the first colon, as a number."""
+def hour_from_text(col: Column, dtype: T.DataType) -> Column:
+    """The part of the text before the first colon, as a double; the hour of a timestamp."""
+    if not isinstance(dtype, T.StringType):
+        return F.hour(col).cast("double")
     return F.split(col, ":").getItem(0).try_cast("double")
 
 

@@ -50,7 +50,7 @@ def hour_from_text(df: DataFrame, col: str, out: str = "Hour", default: str | No
     """Hour as a double from the text before the colon; with ``default``, that text stands for null."""
     if default is not None:
         df = fill_default(df, col, default)
-    return df.withColumns({out: C.hour_from_text(named(col))})
+    return df.withColumns({out: C.hour_from_text(named(col), dtype_of(df, col))})
 
 
 def time_features(

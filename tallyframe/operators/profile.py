@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tallyframe.functions import columns as C
 from tallyframe.operators.clean import dtype_of, named
 
-_SALTS = 64
-
 
 def literal_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence[Column]]) -> DataFrame:
     """A small frame of given expressions, one row each; its size is that of the argument."""
@@ -71,15 +69,17 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
     """The first ``k`` rows of each group, with their ``rank``.
 
     Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` each map task forwards only its own first ``k``
-    of a group. Beyond that the group is first cut down in salted parts, so no task sorts all of a large one.
+    of a group. Beyond that each group is first cut down in as many salted parts as a shuffle has partitions,
+    so all tasks share the sorting of a large one.
     """
     def first_k(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         return ranked.filter(F.col("rank") <= k)
 
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if k > limit:
-        salted = df.withColumn("salt", F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(_SALTS)))
+    conf = df.sparkSession.conf
+    if k > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        parts = int(conf.get("spark.sql.shuffle.partitions"))
+        salted = df.withColumn("salt", F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(parts)))
         df = first_k(salted, [*by, "salt"]).drop("rank", "salt")
     return first_k(df, by)
 

@@ -105,6 +105,17 @@ def test_times(raw):
     assert column(derive.hour_from_text(raw, "Time", "h", "00:00"), "h")[2] == 0.0
 
 
+def test_inferred_time(spark, tmp_path):
+    # Type inference takes "17:42" for a timestamp of today.
+    file = tmp_path / "times.csv"
+    file.write_text("id,Time\n1,17:42\n2,\n")
+    df = scan_csv(spark, str(file), infer=True)
+    assert dict(df.dtypes)["Time"] == "timestamp"
+    rows = derive.hour_from_text(df, "Time", "h", "00:00").orderBy("id").collect()
+    assert [r["h"] for r in rows] == [17.0, 0.0]
+    assert [r["h"] for r in derive.hour_of(df, "Time", "h").orderBy("id").collect()] == [17, None]
+
+
 def test_time_features_of_real_timestamps(spark):
     df = spark.sql("SELECT timestamp_ntz'2024-03-31 02:30:00' AS ts, '02:30' AS t")
     row = derive.time_features(df, "ts", "ts").first()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalog.accidents import accidents
+from tallyframe.catalog.accidents import accidents
 from tallyframe import presets as P
 from tallyframe.operators import features
 from tallyframe.operators.evaluate import class_scores, confusion_matrix, confusion_wide, weighted_f1
