@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog import Query, big, rounded, table
 from tallyframe.catalog.accidents import CTE, accidents
-from tallyframe.catalog.profiles import _distributions_sql
+from tallyframe.catalog.profiles import distributions_sql
 from tallyframe import presets as P
 from tallyframe.operators import box, explore as ops, quantile
 from tallyframe.operators.clean import sentinel_to_null
@@ -200,7 +200,7 @@ QUERIES: dict[str, Query] = {
         _explored("severity_share"), _accident_sql(_share_sql("labelled", "Severity_Label"))
     ),
     "explore_distributions": Query(
-        _explored("distributions"), _distributions_sql("labelled", P.DISTRIBUTIONS, CTE + ",")
+        _explored("distributions"), distributions_sql("labelled", P.DISTRIBUTIONS, CTE + ",")
     ),
     "explore_weekdays": Query(
         _explored("weekdays", lambda df: df.withColumn("pos", big("pos"))),

@@ -78,7 +78,7 @@ def _profile_sql(pairs: str, k: int, ctes: str = "") -> str:
     SELECT "column", n_rows, n_distinct, rank, value, count FROM ranked JOIN totals USING ("column") WHERE rank <= {k}"""
 
 
-def _distributions_sql(source: str, titles: dict[str, str], ctes: str = "") -> str:
+def distributions_sql(source: str, titles: dict[str, str], ctes: str = "") -> str:
     cases = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in titles.items())
     return f"""WITH {ctes} pairs AS ({_pairs_sql(source, list(titles))})
     SELECT "column" AS dimension, CASE "column" {cases} END AS title, value, count,
@@ -164,7 +164,7 @@ QUERIES: dict[str, Query] = {
         ),
     ),
     "distributions": Query(
-        _distributions, _distributions_sql("orders", {"o_orderstatus": "Status", "o_orderpriority": "Priority"})
+        _distributions, distributions_sql("orders", {"o_orderstatus": "Status", "o_orderpriority": "Priority"})
     ),
     "quality_nulls": Query(
         lambda s, d: _quality("nulls")(s, d)
