@@ -3,9 +3,10 @@
 Spark's ``percentile`` keeps all distinct values of a group in the memory of one task. Here only the values
 near the wanted ranks ever come together:
 
-1. count the rows of each group, which gives the wanted ranks;
-2. while a group has more than ``in_task`` candidate rows for a rank, cut them down: one pass takes a
-   fixed-size sketch of the candidates, its slots around the rank become the new bounds, a second pass counts
+1. count the rows of each group, which gives the wanted ranks, and estimate its distinct values: a group
+   with few of them, as any coded number has, needs no step 2, however many rows it has;
+2. while a group has more than ``in_task`` candidates for a rank, cut them down: one pass takes a fixed-size
+   sketch of the candidates, its slots around the rank become the new bounds, a second pass counts
    the rows up to and within the bounds. The candidates shrink to about 1/250 each time, so even 10^13 rows
    of one group need three turns. Bounds come from a sketch but ranks are always counted, so the
    result is exact;
@@ -85,12 +86,13 @@ def _narrow(data: DataFrame, hot: DataFrame, probs: Sequence[float]) -> DataFram
 def _brackets(data: DataFrame, probs: Sequence[float], in_task: int) -> DataFrame:
     """(g, b, n, lo, hi, upto, inside): per group and quantile the open interval that holds its candidates.
 
-    ``upto`` rows are not above ``lo``. A group that fits a task has one bracket without bounds for all.
+    ``upto`` rows are not above ``lo``. A group whose values fit a task has one bracket without bounds for all.
     """
-    sizes = settle(data.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = data.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("y").alias("d"))
+    sizes = settle(sizes, "sizes")
     whole = [F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")]
     whole += [F.lit(0).cast("bigint").alias("upto"), F.col("n").alias("inside")]
-    large = F.col("n") > in_task
+    large = F.col("d") > in_task
     done = sizes.filter(~large).select("g", F.lit(_ALL).alias("b"), "n", *whole)
     each = F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1))).alias("b")
     hot = sizes.filter(large).select("g", each, "n", *whole)
