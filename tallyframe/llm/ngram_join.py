@@ -1,8 +1,8 @@
 """N-gram Jaccard join: every link between documents whose word shingles overlap enough, and the groups they make.
 
-A document's shingles are ordered rarest first by a sketch of their counts, the same for all documents. Two documents that link share one
-of their first shingles (the share that may be missing, and one), and their sizes are in the same or in adjacent
-bands. So documents are dealt to tiles of a first shingle and two adjacent bands. Within a tile bitmaps of the hashed
+A document's shingles are ordered rarest first, by counters that are the same for all documents. Two documents that
+link share one of their first shingles (as many as may be missing, and one), and their sizes are in the same or in
+adjacent bands. So documents are dealt to tiles of a first shingle and two adjacent bands. Within a tile bitmaps of the hashed
 shingles bound the overlap of two documents from above, by counting the bits that one has and the other has not; what
 passes is decided by intersecting the sorted arrays.
 
@@ -39,16 +39,20 @@ BLOCK = 512
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def shingles(data: bytes | None, memo: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; with fewer words one of them all; without words none."""
-    hashes = memo.of(data) if data else np.empty(0, np.uint64)
+def _runs(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64-bit hashes of the runs of words of a text, by place; with fewer words one of them all; without words none."""
     n = min(words, len(hashes))
     if not n:
         return hashes
     runs = np.full(len(hashes) - n + 1, n, np.uint64)
     for k in range(n):
         runs = mix64(runs + hashes[k : len(hashes) - n + 1 + k] * _FACTORS[k % 4] + np.uint64(k // 4))
-    return np.unique(runs)
+    return runs
+
+
+def shingles(data: bytes | None, memo: WordHashes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(_runs(memo.of(data) if data else np.empty(0, np.uint64), words))
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -67,7 +71,7 @@ def _band(n: int, percent: int) -> int:
 
 def _bitmap(found: np.ndarray) -> bytes:
     width = 64
-    while width < 2 * len(found):
+    while width < 4 * len(found):
         width *= 2
     bits = np.zeros(width, bool)
     bits[found & np.uint64(width - 1)] = True
@@ -93,39 +97,70 @@ def _may_link(a: int, wide_a: int, n_a: int, b: int, wide_b: int, n_b: int, perc
     return linked(most, n_a, n_b, percent)
 
 
-def _levels(texts: DataFrame, words: int) -> np.ndarray:
-    """How common shingles are, by the first bits of their hash: 0 up to the mean, and one more for each quarter above.
+class Order:
+    """How common shingles are, for ordering them; it decides nothing else.
 
-    The counters are sums over all documents, of a fixed number; they order shingles and decide nothing else.
+    Counters of words and of shingles, by the first bits of their hashes, are sums over all documents, of a fixed
+    number. From the words' shares follows how often a shingle is to be expected by chance; a counter of shingles well
+    above the mean tells of a passage that many documents have.
     """
+
+    def __init__(self, word_counts: np.ndarray, shingle_counts: np.ndarray, words: int):
+        total = max(1, word_counts.sum())
+        self.word_share = np.log2(np.maximum(word_counts, 1) / total).astype(np.float32)
+        self.total, self.words = math.log2(total), words
+        mean = max(1.0, shingle_counts.sum() / len(shingle_counts))
+        self.above = np.floor(4 * np.log2(np.maximum(shingle_counts, 1) / mean)).astype(np.float32)
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct shingles of a text's word hashes, and the same shingles, rarest first."""
+        runs = _runs(hashes, self.words)
+        found, at = np.unique(runs, return_index=True)
+        n = min(self.words, len(hashes))
+        if not n:
+            return found, found
+        share = self.word_share[hashes >> np.uint64(64 - SKETCH_BITS)]
+        chance = np.full(len(runs), self.total, np.float32)
+        for k in range(n):
+            chance += share[k : len(runs) + k]
+        level = np.maximum(np.floor(4 * chance[at]), self.above[found >> np.uint64(64 - SKETCH_BITS)])
+        return found, found[np.argsort(np.maximum(level, 0), kind="stable")]
+
+
+def _order(texts: DataFrame, words: int) -> Order:
     size = 1 << SKETCH_BITS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total, held, n = WordHashes(), np.zeros(size, np.int64), [], 0
+        memo, total, held, n = WordHashes(), np.zeros(2 * size, np.int64), [], 0
+
+        def add() -> None:
+            both = np.concatenate(held) if held else np.empty(0, np.int64)
+            total[:] += np.bincount(both, minlength=2 * size)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingles(text, memo, words))
-                n += len(held[-1])
+                hashes = memo.of(text) if text else np.empty(0, np.uint64)
+                for part, first in ((hashes, 0), (np.unique(_runs(hashes, words)), size)):
+                    held.append((part >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) + first)
+                    n += len(part)
                 if n > 1_000_000:
-                    total += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                    add()
                     held, n = [], 0
-        if held:
-            total += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+        add()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    counts = np.zeros(size, np.int64)
     rows = texts.select("text").mapInArrow(task, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     found = rows.toArrow()  # as many rows as counters, at most
+    counts = np.zeros(2 * size, np.int64)
     counts[found["at"].to_numpy()] = found["n"].to_numpy()
-    mean = max(1.0, counts.sum() / size)
-    return np.clip(np.floor(np.log(np.maximum(counts, 1) / mean) / math.log(1.25)), 0, 200).astype(np.uint8)
+    return Order(counts[:size], counts[size:], words)
 
 
 _PROFILE = "uid long, doc_id long, n int, band int, key binary, bits binary, prefix array<long>"
 
 
-def _profiles(texts: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
+def _profiles(texts: DataFrame, order: Order, percent: int) -> DataFrame:
     """One row per document: a number of its own, size, band, a hash of all its shingles, bitmap, first shingles."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +171,13 @@ def _profiles(texts: DataFrame, levels: np.ndarray, words: int, percent: int) ->
                 batch = whole.slice(at, 1000)
                 sizes, bands, keys, bits, firsts = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
-                    found = shingles(text, memo, words)
+                    found, rarest = order.of(memo.of(text) if text else np.empty(0, np.uint64))
                     n = len(found)
                     sizes.append(n)
                     bands.append(_band(n, percent) if n else -1)
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                     bits.append(_bitmap(found) if n else b"")
-                    order = np.argsort(levels[found >> np.uint64(64 - SKETCH_BITS)], kind="stable")
-                    firsts.append(found[order[: n - least_overlap(n, percent) + 1]] if n else found)
+                    firsts.append(rarest[: n - least_overlap(n, percent) + 1] if n else found)
                 offsets = np.cumsum([0, *map(len, firsts)])
                 lists = pa.ListArray.from_arrays(
                     pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64) if firsts else [], pa.int64())
@@ -170,7 +204,7 @@ class _Join:
 
     def __init__(self, texts: DataFrame, words: int, percent: int):
         self.texts, self.words, self.percent = texts, words, percent
-        self.profiles = _profiles(texts, _levels(texts, words), words, percent)
+        self.profiles = _profiles(texts, _order(texts, words), percent)
         some = self.profiles.filter("n > 0")
         self.classes = settle(
             some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("size")), "classes"
