@@ -2,9 +2,9 @@
 
 A document's shingles are ordered rarest first, by counters that are the same for all documents. Two documents that
 link share one of their first shingles (as many as may be missing, and one), and their sizes are in the same or in
-adjacent bands. So documents are dealt to tiles of a first shingle and two adjacent bands. Within a tile bitmaps of the hashed
-shingles bound the overlap of two documents from above, by counting the bits that one has and the other has not; what
-passes is decided by intersecting the sorted arrays.
+adjacent bands. So documents are dealt to tiles of a first shingle and two adjacent bands. Within a tile bitmaps of
+the hashed shingles bound the overlap of two documents from above, by counting the bits that one has and the other has
+not; what passes is decided by intersecting the sorted arrays.
 
 Only what can change the groups is compared. Documents with equal shingles are one class from the start. Each tile's
 documents are compared with a few hubs first, then with the one that has most links so far; after that, pairs of
@@ -215,12 +215,10 @@ class _Join:
         self.nodes = others.select("uid", "n", "band", "bits", "prefix")
         first = self.nodes.select("uid", F.explode("prefix").alias("token"))
         shared = first.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-        self.shared = settle(first.join(shared, "token"), "shared")
-        self.small = settle(self.shared.select("uid").distinct().join(self.nodes.drop("prefix"), "uid"), "small")
-        sized = self.shared.join(self.small.select("uid", "n", "band"), "uid")
-        self.tiles = sized.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), "uid", "n")
-        counted = self.tiles.groupBy("token", "tile").agg(F.count("*").alias("c")).filter("c > 1").select("token", "tile")
-        self.tiles = settle(self.tiles.join(counted, ["token", "tile"]), "tiles")
+        shared = settle(first.join(shared, "token"), "shared")
+        self.small = settle(shared.select("uid").distinct().join(self.nodes.drop("prefix"), "uid"), "small")
+        banded = shared.join(self.small.select("uid", "band"), "uid")
+        self.tiles = settle(banded.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), "uid"), "tiles")
 
     def passed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) for which sizes and bit counts leave room for a link."""
@@ -286,32 +284,33 @@ class _Join:
         met = tiles.join(hubs, ["token", "tile"]).select("uid", F.explode("hubs").alias("hub")).filter("uid <> hub")
         return met.select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
 
-    def divided(self, links: DataFrame) -> DataFrame:
-        """Rows (token, tile, uid, n, group) of tiles whose documents are in more than one group by the links."""
+    def divided(self, tiles: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows (token, tile, uid, group) of tiles whose documents are in more than one group by the links."""
         found = components(links).select(F.col("node").alias("uid"), "component")
-        known = self.tiles.join(found, "uid", "left").withColumn("group", F.coalesce("component", "uid")).drop("component")
+        known = tiles.join(found, "uid", "left").withColumn("group", F.coalesce("component", "uid")).drop("component")
         known = settle(known, "grouped")
         split = known.groupBy("token", "tile").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
         return known.join(split.select("token", "tile"), ["token", "tile"])
 
     def links(self) -> DataFrame:
-        order = F.xxhash64("uid")
-        hubs = self.tiles.groupBy("token", "tile").agg(
-            F.array_distinct(
-                F.array(F.min("uid"), F.max("uid"), F.min(F.struct(order, "uid"))["uid"], F.max(F.struct(order, "uid"))["uid"])
-            ).alias("hubs")
-        )
-        links = settle(self.exact(self.passed(self.pairs_with(self.tiles, hubs))).distinct(), "links")
-
+        order = F.struct(F.xxhash64("uid"), "uid")
+        hubs = F.array_distinct(F.array(F.min("uid"), F.max("uid"), F.min(order)["uid"], F.max(order)["uid"]))
+        hubs = self.tiles.groupBy("token", "tile").agg(F.count("*").alias("c"), hubs.alias("hubs")).filter("c > 1")
+        hubs = settle(hubs, "hubs")
+        links = settle(self.exact(self.passed(self.pairs_with(self.tiles, hubs.drop("c")))).distinct(), "links")
+
+        # where at most one document is no hub, all pairs have been compared
+        larger = hubs.filter("c - size(hubs) >= 2").select("token", "tile")
+        larger = settle(self.tiles.join(larger, ["token", "tile"]), "larger")
         # a document that most of a tile's hubs link with is a better hub
         ends = links.select(F.col("a").alias("uid")).unionByName(links.select(F.col("b").alias("uid")))
         degree = ends.groupBy("uid").agg(F.count("*").alias("degree"))
-        tiles = settle(self.divided(links).join(degree, "uid", "left").fillna(0, ["degree"]), "divided")
+        tiles = settle(self.divided(larger, links).join(degree, "uid", "left").fillna(0, ["degree"]), "divided")
         best = tiles.groupBy("token", "tile").agg(F.array(F.max(F.struct("degree", "uid"))["uid"]).alias("hubs"))
         more = self.exact(self.passed(self.pairs_with(tiles, best)))
         links = settle(links.unionByName(more).distinct(), "links")
 
-        rest = self.exact(self.across(self.divided(links)))
+        rest = self.exact(self.across(self.divided(larger, links)))
         return settle(links.unionByName(rest).distinct(), "links")
 
     def across(self, tiles: DataFrame) -> DataFrame:
