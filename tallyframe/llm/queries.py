@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import exact_dedup, fingerprints, language_id, mixing, ngram_join, sentencepiece_bpe, warc
+from tallyframe.llm import (
+    exact_dedup,
+    fingerprints,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    ngram_join,
+    sentencepiece_bpe,
+    token_counts,
+    warc,
+)
 from tallyframe.llm.common import documents
 
 
@@ -15,10 +26,25 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_groups(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_recurring_lines(documents(spark, sf_dir)).drop("text")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_with_edits(
+        documents(spark, sf_dir), token_counts.revision(), vocabulary, public_tokenizers.PATTERN
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -44,7 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join,
+        op2_line_dedup,
+        op3_lm_scoring,
         op4_fingerprints,
+        op5_token_counts,
         op6_exact_dedup,
         op7_sentencepiece,
         op8_language_id,
