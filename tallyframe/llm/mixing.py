@@ -281,7 +281,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spans, _, _ = mix(rows, **options)
     parts = spans.groupBy("uid", "round").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
     held = rows.join(parts.withColumnRenamed("uid", "_uid").drop("round"), "_uid").select("_spans", *docs.columns)
-    schema = held.schema
+    schema, names = held.schema, list(docs.columns)
     text_at = held.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             texts = [_cut(t, s) for s, t in zip(batch.column(0).to_pylist(), batch.column(text_at).to_pylist())]
             arrays = list(batch.columns)
             arrays[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays[1:], names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays[1:], names=names)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "_spans")
     out = held.mapInArrow(task, ddl)
