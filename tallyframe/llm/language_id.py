@@ -8,9 +8,7 @@ length of a profile if the profile lacks it.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import fold
-from tallyframe.workspace import settle
 
 #: Length of a profile.
 PROFILE = 400
@@ -36,31 +33,33 @@ _MOST_WORDS = 100_000
 class Grams(dict):
     """N-grams of one to three characters of a word, each as one number of 63 bits; remembered by word."""
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> np.ndarray:
         letters = [ord(c) for c in word if c.isalpha()]
-        if not letters:
-            return self._keep(word, [])
-        padded = [_BORDER, *letters, _BORDER]
-        grams = list(letters)
-        grams += [a << 21 | b for a, b in zip(padded, padded[1:])]
-        grams += [a << 42 | b << 21 | c for a, b, c in zip(padded, padded[1:], padded[2:])]
-        return self._keep(word, grams)
-
-    def _keep(self, word: str, grams: list[int]) -> list[int]:
+        grams: list[int] = []
+        if letters:
+            padded = [_BORDER, *letters, _BORDER]
+            grams = [*letters, *(a << 21 | b for a, b in zip(padded, padded[1:]))]
+            grams += [a << 42 | b << 21 | c for a, b, c in zip(padded, padded[1:], padded[2:])]
+        found = np.array(grams, np.int64)
         if len(self) >= _MOST_WORDS:
             self.clear()
         if len(word) <= 40:
-            self[word] = grams
-        return grams
+            self[word] = found
+        return found
 
-    def count(self, text: str | None) -> Counter:
-        return Counter(chain.from_iterable(map(self.__getitem__, _WORD.findall(text.lower())))) if text else Counter()
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams of a text, sorted, and how often each occurs."""
+        words = _WORD.findall(text.lower()) if text else []
+        if not words:
+            return _NONE, _NONE
+        return np.unique(np.concatenate(list(map(self.__getitem__, words))), return_counts=True)
 
 
-def ranked(counts: Counter, n: int) -> np.ndarray:
+_NONE = np.empty(0, np.int64)
+
+
+def ranked(grams: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
     """The n most frequent n-grams, most frequent first; equal counts by the n-gram's number."""
-    grams = np.fromiter(counts.keys(), np.int64, len(counts))
-    times = np.fromiter(counts.values(), np.int64, len(counts))
     if len(grams) > n:  # only those that reach the n-th count need sorting
         among = times >= np.partition(times, len(times) - n)[len(times) - n]
         grams, times = grams[among], times[among]
@@ -84,21 +83,27 @@ def learn(labelled: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM
     chosen = rows.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, totals = Grams(), {}
+        grams, held, n = Grams(), {}, 0
 
         def out() -> pa.RecordBatch:
-            flat = [(lang, g, n) for lang, counts in totals.items() for g, n in counts.items()]
-            columns = list(zip(*flat)) or [[], [], []]
-            totals.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["lang", "gram", "n"]
-            )
+            langs, found, times = [], [_NONE], [_NONE]
+            for lang, parts in held.items():
+                of, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                found.append(of)
+                times.append(np.bincount(back, np.concatenate([p[1] for p in parts]), len(of)).astype(np.int64))
+                langs += [lang] * len(of)
+            held.clear()
+            arrays = [pa.array(langs, pa.string()), pa.array(np.concatenate(found)), pa.array(np.concatenate(times))]
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                totals.setdefault(lang, Counter()).update(grams.count(text))
-                if sum(map(len, totals.values())) > 500_000:
+                counts = grams.count(text)
+                held.setdefault(lang, []).append(counts)
+                n += len(counts[0])
+                if n > 1_000_000:
                     yield out()
+                    n = 0
         yield out()
 
     counts = chosen.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -115,19 +120,17 @@ class Ranker:
 
     def __init__(self, profiles: dict[str, list[int]], size: int):
         self.langs, self.size = sorted(profiles), size
-        known = sorted({g for grams in profiles.values() for g in grams})
-        self.row = {g: n for n, g in enumerate(known)}
-        self.ranks = np.full((len(known) + 1, len(self.langs)), -1, np.int32)  # the last row: in no profile
+        self.known = np.array(sorted({g for grams in profiles.values() for g in grams}), np.int64)
+        self.ranks = np.full((len(self.known) + 1, len(self.langs)), -1, np.int32)  # the last row: in no profile
         for column, lang in enumerate(self.langs):
-            for rank, g in enumerate(profiles[lang]):
-                self.ranks[self.row[g], column] = rank
+            self.ranks[np.searchsorted(self.known, profiles[lang]), column] = np.arange(len(profiles[lang]))
 
-    def predict(self, counts: Counter) -> tuple[str, float]:
-        if not counts or not self.langs:
+    def predict(self, grams: np.ndarray, times: np.ndarray) -> tuple[str, float]:
+        if not len(grams) or not self.langs:
             return UNKNOWN, 0.0
-        own = ranked(counts, self.size)
-        none = len(self.row)
-        at = self.ranks[[self.row.get(g, none) for g in own.tolist()]]
+        own = ranked(grams, times, self.size)
+        place = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        at = self.ranks[np.where(self.known[place] == own, place, len(self.known))]
         off = np.abs(at - np.arange(len(own), dtype=np.int32)[:, None])
         distance = np.where(at < 0, self.size, off).sum(axis=0)
         best = int(distance.argmin())
@@ -149,7 +152,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ranker = Grams(), Ranker(profiles, size)
         for batch in batches:
-            found = [ranker.predict(grams.count(t)) for t in batch.column(len(keep)).to_pylist()]
+            found = [ranker.predict(*grams.count(t)) for t in batch.column(len(keep)).to_pylist()]
             langs, scores = zip(*found) if found else ((), ())
             arrays = [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
