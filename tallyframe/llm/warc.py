@@ -1,9 +1,9 @@
 """WARC archives: a writer, and a PySpark Python data source that reads them.
 
 An archive is a folder of ``part-*.warc.gz`` files, each record a gzip member of its own, as the format asks for, and
-beside each file an index ``.cdx`` of where its members begin. The reader plans partitions of about equal size from the indexes,
-so a large file is many tasks' work; filters on record type, id, digest and reference reach it and are decided on a
-record's headers; a payload is decoded only for records that pass and only if its column is asked for.
+beside each file an index ``.cdx`` of where its members begin. The reader plans partitions of about equal size from
+the indexes, so a large file is many tasks' work; filters on record type, id, digest and reference reach it and are
+decided on a record's headers; a payload is decoded only for records that pass and only if its column is asked for.
 """
 
 from __future__ import annotations
@@ -22,13 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 from pyspark.sql.types import StructType
 
-from tallyframe.workspace import new_path
+from tallyframe.workspace import new_path, settle
 
 #: Compressed bytes of a partition, and of a gzip member's headers to decode at first.
 SPLIT_BYTES = 16 << 20
 HEAD_BYTES = 2048
-#: Records that an index line is about.
-INDEX_EVERY = 64
 
 _HEADERS = {
     "record_type": "warc-type",
@@ -101,8 +99,7 @@ def write_archive(records: DataFrame, path: str) -> int:
             for batch in batches:
                 for page_id, url, html, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns)):
                     data = member(_page_record(page_id, url, html, digest, kind, refers))
-                    if n % INDEX_EVERY == 0:
-                        starts.append(at)
+                    starts.append(at)
                     out.write(data)
                     at, n = at + len(data), n + 1
         if n:
@@ -125,8 +122,8 @@ def write_archive(records: DataFrame, path: str) -> int:
 
 
 class Split(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, index: str = ""):
+        self.path, self.start, self.end, self.index = path, start, end, index
 
 
 class WarcReader(DataSourceReader):
@@ -163,15 +160,18 @@ class WarcReader(DataSourceReader):
         indexed = {f.path for f in files if f.path.endswith(".cdx")}
         for file in sorted((f for f in files if f.path.endswith((".warc.gz", ".warc"))), key=lambda f: f.path):
             index = file.path.removesuffix(".warc.gz") + ".cdx"
-            if index not in indexed or file.size <= self.split_bytes:
+            if index not in indexed:
                 splits.append(Split(file.path, 0, file.size))
                 continue
+            if file.size <= self.split_bytes:
+                splits.append(Split(file.path, 0, file.size, index))
+                continue
             with store.open_input_stream(index) as held:
                 starts = list(map(int, held.read().split()))
             begin = 0
             for at, after in zip(starts[1:], [*starts[2:], None]):
                 if at - begin >= self.split_bytes or after is None:
-                    splits.append(Split(file.path, begin, at))
+                    splits.append(Split(file.path, begin, at, index))
                     begin = at
         return splits or [Split("", 0, 0)]
 
@@ -194,7 +194,14 @@ class WarcReader(DataSourceReader):
         held: list[tuple] = []
         size = 0
         with store.open_input_file(partition.path) as file:
-            members = _plain(file) if partition.path.endswith(".warc") else _members(file, partition.start, partition.end)
+            if partition.path.endswith(".warc"):
+                members = _plain(file)
+            elif partition.index:
+                with store.open_input_stream(partition.index) as held_index:
+                    starts = [n for n in map(int, held_index.read().split()) if partition.start <= n <= partition.end]
+                members = _indexed(file, starts)
+            else:
+                members = _members(file, partition.start, partition.end)
             for lines, block in members:
                 row = _row(lines)
                 if not self._passes(row):
@@ -228,6 +235,29 @@ def _row(head: bytes) -> dict:
     return row
 
 
+def _indexed(file: pa.NativeFile, starts: list[int]):
+    """Headers of each gzip member that begins at ``starts`` (the last is an end), and a function that decodes its block.
+
+    Of a member whose block is not asked for only the first bytes are read and unpacked.
+    """
+    for start, end in zip(starts, starts[1:]):
+        file.seek(start)
+        unpack = zlib.decompressobj(31)
+        head, data = b"", b""
+        while (cut := head.find(b"\r\n\r\n")) < 0:
+            data = data or file.read(min(HEAD_BYTES, end - file.tell()))
+            if not data:
+                raise ValueError("a record without headers")
+            head += unpack.decompress(data, HEAD_BYTES)
+            data = unpack.unconsumed_tail
+
+        def block(begun=head[cut + 4 :], data=data, unpack=unpack, at=file.tell(), end=end) -> bytes:
+            file.seek(at)
+            return (begun + unpack.decompress(data + file.read(end - at)))[:-4]
+
+        yield head[:cut], block
+
+
 def _members(file: pa.NativeFile, start: int, end: int):
     """Headers of each gzip member between two places, and a function that decodes its block when called.
 
@@ -347,8 +377,10 @@ def with_revisits(pages: DataFrame, smallest: int = 0) -> DataFrame:
         .groupBy("digest")
         .agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
         .filter("n > 1")
+        .select("digest", "first_page")
     )
-    joined = rows.join(least.select("digest", "first_page"), "digest", "left")
+    # settled, so that payloads are not shuffled for a few repeated ones
+    joined = rows.join(settle(least, "repeated"), "digest", "left")
     again = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     kind = F.when(again, "revisit").otherwise("response")
     refers = F.when(again, F.col("first_page"))
