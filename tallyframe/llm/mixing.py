@@ -29,7 +29,7 @@ MOST_TIMES = 2
 #: Sources are a closed set: their totals and counts pass through the driver.
 MOST_SOURCES = 100_000
 #: Documents of one piece of a stream, about; a piece is summed in one task.
-PIECE = 4096
+PIECE = 500
 SEED = 20_240_617
 #: numpy draws without replacement from fewer than this.
 _MOST_DRAWN = 10**9
