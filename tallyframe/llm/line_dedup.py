@@ -4,8 +4,8 @@ A line's place in the tree is fixed by its number of words and its leading words
 variable. The lines of a leaf are generalised to templates: a line joins the template with which it shares most
 words, if enough, and words that differ become variable. Lines whose template occurs in many documents are dropped.
 
-Leaves that too few documents reach are pruned before any line moves. A leaf's distinct lines are counted before they meet, and
-a leaf with many is generalised in parts whose templates are then generalised together.
+Leaves that too few documents reach are pruned before any line moves. A leaf's distinct lines are counted before they
+meet, and a leaf with many is generalised in parts whose templates are then generalised together.
 """
 
 from __future__ import annotations
@@ -182,7 +182,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     named = met.join(_templates(met, similarity), ["leaf", "line"]).select("uid", "number", "leaf", F.xxhash64("template").alias("template"))
     named = settle(named, "named")
     docs_of = named.select("leaf", "template", "uid").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
-    recurring = docs_of.filter(F.col("docs") >= min_docs).select("leaf", "template")
+    # settled, so that the lines of a frequent template can be split among tasks in the join
+    recurring = settle(docs_of.filter(F.col("docs") >= min_docs).select("leaf", "template"), "recurring")
     dropped = named.join(recurring, ["leaf", "template"]).select("uid", "number").distinct()
     return dropped.groupBy("uid").agg(F.collect_list("number").alias("numbers"))
 
