@@ -359,13 +359,13 @@ def _add_bigrams(lists: pd.DataFrame, tokens: int, distinct: int) -> pd.DataFram
     first, total = first[seen], total[seen]
     share = (of_successor[order][first] + 1) / (tokens + distinct + 1)
     chance = np.log10((total + PRIOR * share) / (of_context[order][first] + PRIOR))
-    # a codebook of 255 values, each the mean of an equal share of the probabilities
-    book = np.zeros(256, np.float64)
+    # a codebook of 255 values: the range is cut evenly, and a value is the mean of its part
     codes = np.zeros(len(chance), np.uint8)
-    ranks = np.argsort(chance, kind="stable")
-    for code, share_of in enumerate(np.array_split(ranks, 255), 1):
-        if len(share_of):
-            book[code], codes[share_of] = chance[share_of].mean(), code
+    book = np.zeros(256, np.float64)
+    if len(chance):
+        low, width = chance.min(), max(float(np.ptp(chance)), 1e-9)
+        codes = (1 + np.minimum((chance - low) / width * 255, 254)).astype(np.uint8)
+        book = np.bincount(codes, chance, 256) / np.maximum(np.bincount(codes, minlength=256), 1)
     trie = Trie(mapped(Trie.build(context[first], successor[first], codes)))
     answers = [_packed(trie.find(p[0], p[1]), book) for p in parts]
     return pd.DataFrame({"kind": "codes", "bucket": lists["bucket"], "shard": lists["shard"], "data": answers})
