@@ -69,7 +69,7 @@ def _sentinel_in_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _class_slices(spark: SparkSession, sf: str) -> DataFrame:
-    slices = clean.class_slices(table(spark, sf, "lineitem"), "l_returnflag", ["A", "R"])
+    slices = clean.class_slices(table(spark, sf, "lineitem"), "l_returnflag", ["A", "N", "R"])
     parts = [
         df.agg(F.lit(k).alias("slice"), F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
         for k, df in slices.items()
@@ -166,13 +166,13 @@ QUERIES: dict[str, Query] = {
         CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS in_debt FROM customer""",
     ),
     "filter_positive": Query(
-        lambda s, d: clean.filter_positive(table(s, d, "events").select("event_id", "value"), "value"),
-        "SELECT event_id, value FROM events WHERE value > 0",
+        lambda s, d: clean.filter_positive(table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal"),
+        "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0",
     ),
     "class_slices": Query(
         _class_slices,
         """SELECT l_returnflag AS slice, count(*) AS n, sum(l_quantity) AS quantity
-        FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL""",
+        FROM lineitem GROUP BY ALL""",
     ),
     "union_classes": Query(_union_classes, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"),
     "filter_isin": Query(

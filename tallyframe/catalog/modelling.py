@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +72,7 @@ def _split_random(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sample_points(spark: SparkSession, sf: str) -> DataFrame:
-    return b.sample_points(table(spark, sf, "events"), ["user_id", "value"], P.SAMPLE_FRACTION, P.SAMPLE_CAP, P.SEED)
+    return b.sample_points(table(spark, sf, "events"), ["user_id", "value"], P.SAMPLE_FRACTION, P.SEED)
 
 
 def _frequency_index_sql(source: str, col: str) -> str:
@@ -160,7 +159,6 @@ def _prepare_model(spark: SparkSession, sf: str) -> DataFrame:
 _SMALL = classify.ModelConfig(key=["Accident_Index"], num_trees=10, max_depth=5)
 
 
-@cache
 def _trained(spark: SparkSession, sf: str) -> classify.Trained:
     return classify.train(_prepared(spark, sf), _SMALL)
 

@@ -15,7 +15,6 @@ from tallyframe.plans.quality import quality
 
 def _null_report(spark: SparkSession, sf: str) -> DataFrame:
     items = sentinel_to_null(table(spark, sf, "lineitem"), ["l_discount", "l_tax"], 0.0)
-    items = items.select("l_orderkey", "l_returnflag", "l_quantity", "l_discount", "l_tax")
     quantity = F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
     return profile.null_report(items.withColumn("l_quantity", quantity)).withColumn("null_pct", rounded("null_pct"))
 
@@ -94,6 +93,19 @@ def _nulls_sql(source: str, missing: dict[str, str], ctes: str = "") -> str:
     return f"WITH {ctes} one AS (SELECT 1) {rows}"
 
 
+_LINE_COLUMNS = [
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+    "l_shipdate",
+]
 _ACCIDENT_COLUMNS = ["Date", "Day_of_Week", "Accident_Severity", "Time", "Year", *_PROFILE_PRESENT[:1]]
 
 QUERIES: dict[str, Query] = {
@@ -104,13 +116,8 @@ QUERIES: dict[str, Query] = {
         _null_report,
         _nulls_sql(
             "lineitem",
-            {
-                "l_orderkey": "l_orderkey IS NULL",
-                "l_returnflag": "l_returnflag IS NULL",
-                "l_quantity": "l_quantity = 7",
-                "l_discount": "l_discount = 0",
-                "l_tax": "l_tax = 0",
-            },
+            {c: f"{c} IS NULL" for c in _LINE_COLUMNS}
+            | {"l_quantity": "l_quantity = 7", "l_discount": "l_discount = 0", "l_tax": "l_tax = 0"},
         ),
     ),
     "value_counts": Query(

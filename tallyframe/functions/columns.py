@@ -25,6 +25,8 @@ def sentinel_as_null(col: Column, dtype: T.DataType, sentinel: Any) -> Column:
 def label_of(col: Column, dtype: T.DataType, labels: Mapping[Any, str], otherwise: str | None = None) -> Column:
     """Label text of a code; codes not in ``labels``, and null, get ``otherwise``."""
     cases = [(_comparable(col, dtype, code) == F.lit(code), F.lit(text)) for code, text in labels.items()]
+    if not cases:
+        return F.lit(otherwise).cast("string")
     (first, text), *rest = cases
     chain = F.when(first, text)
     for condition, text in rest:

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.hashing import hash_percent, hash_unit
-from tallyframe.operators.clean import drop_incomplete, named, union_classes
+from tallyframe.operators.clean import drop_incomplete, named
 from tallyframe.workspace import settle
 
-_MOST_CLASSES = 1000  # for the random form, which builds one plan branch per class
 _COPIES_IN_TASK = 1000  # of one row
 _ROWS_IN_TASK = 5_000_000
 
@@ -38,21 +37,12 @@ def class_ratios(df: DataFrame, label: str, target: Any) -> DataFrame:
 
 
 def balance(df: DataFrame, label: str, target: Any, seed: int = 42) -> DataFrame:
-    """Bring every class to about the size of ``target``, at random.
+    """Bring every class to about the size of ``target``, at random, for any number of classes.
 
-    Larger classes are thinned without replacement, all in one pass; smaller ones are drawn with replacement;
-    ``target`` stays whole.
+    A row has as many copies as its class's ratio, rounded up or down at random; so larger classes are thinned,
+    smaller ones repeat their rows evenly, and ``target`` stays whole.
     """
-    ratios = class_ratios(df, label, target)
-    classes = ratios.limit(_MOST_CLASSES + 1).collect()
-    if len(classes) > _MOST_CLASSES:
-        raise ValueError(f"{label} has more than {_MOST_CLASSES} classes; use balance_by_hash")
-    kept = {r["class"]: r["ratio"] for r in classes if r["ratio"] <= 1.0}
-    thinned = df.filter(named(label).isin(list(kept))).sampleBy(named(label), kept, seed)
-    grown = [
-        df.filter(named(label) == r["class"]).sample(True, r["ratio"], seed) for r in classes if r["ratio"] > 1.0
-    ]
-    return union_classes([thinned, *grown])
+    return balance_by_unit(df, F.rand(seed), label, target).drop("copy")
 
 
 def copies_by_hash(df: DataFrame, key: Sequence[str], label: str, target: Any, seed: int = 42) -> DataFrame:
@@ -122,17 +112,6 @@ def split_random(df: DataFrame, train_percent: int = 70, seed: int = 42) -> tupl
     return train, test
 
 
-def sample_points(
-    df: DataFrame, cols: Sequence[str], fraction: float = 0.1, cap: int = 50_000, seed: int = 42
-) -> DataFrame:
-    """A random sample of the complete rows of ``cols``: ``fraction`` of them, but no more than ``cap``.
-
-    If the cap binds, the fraction is lowered to just above it and the few rows too many are left out at
-    random, instead of taking the first partitions; no task receives more than the sample.
-    """
-    points = drop_incomplete(df.select(*[named(c) for c in cols]))
-    n = points.count()
-    if fraction * n <= cap:
-        return points.sample(False, fraction, seed)
-    enough = (cap + 6.0 * math.sqrt(cap)) / n
-    return points.sample(False, min(fraction, enough), seed).orderBy(F.rand(seed)).limit(cap)
+def sample_points(df: DataFrame, cols: Sequence[str], fraction: float = 0.1, seed: int = 42) -> DataFrame:
+    """A random sample of the complete rows of ``cols``, about ``fraction`` of them; for all of them see ``geo_density``."""
+    return drop_incomplete(df.select(*[named(c) for c in cols])).sample(False, fraction, seed)

@@ -59,7 +59,7 @@ def region_trend(
 
     ``via`` leads from a key of ``df`` to the region: (dimension, key on the left, key of the dimension) per
     step. Rows are counted per first key and year *before* the first join, so a key with a third of all rows
-    reaches the join as one row per year. Rows whose key no dimension knows are not counted.
+    reaches the join as one row per year. Rows whose key no dimension knows have a null region.
     """
     year = time_bucket(named(date), "year").alias("year")
     if not via:
@@ -67,7 +67,7 @@ def region_trend(
         return counts.orderBy("region", "year")
     joined = df.groupBy(named(via[0][1]), year).agg(F.count(F.lit(1)).alias("rows_of_key"))
     for dimension, left, right in via:
-        joined = joined.join(dimension, joined[left] == dimension[right])
+        joined = joined.join(dimension, joined[left] == dimension[right], "left")
     return (
         joined.groupBy(named(region).alias("region"), "year")
         .agg(F.sum("rows_of_key").alias("count"))
@@ -132,8 +132,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for a in cols:
         for b in cols:
             spread = math.sqrt(sums[a, a]) * math.sqrt(sums[b, b]) if a in varying and b in varying else 0.0
-            rows.append([F.lit(a), F.lit(b), F.lit(sums[a, b] / spread if spread else None).cast("double")])
-    return literal_rows(df.sparkSession, ["a", "b", "r"], rows)
+            rows.append((a, b, sums[a, b] / spread if spread else None))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def _products(numbers: DataFrame, cols: Sequence[str], means: Sequence[float]) -> dict[tuple[str, str], float]:

@@ -139,7 +139,7 @@ def exact_quantiles(
         low, high = value_at(2 * q), value_at(2 * q + 1)
         part = F.lit(float(p)) * (F.col("n") - 1) - ranks[2 * q]
         own = F.col("b").isin(_ALL, q)
-        wanted.append(F.max(F.when(own, low + (high - low) * part)))
+        wanted.append(F.max(F.when(own, F.when(low == high, low).otherwise(low + (high - low) * part))))
     return (
         brackets.join(found, ["g", "b"], "left")
         .groupBy(F.col("g").alias(group))

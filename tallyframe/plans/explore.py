@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tallyframe import presets as P
 from tallyframe.operators.balance import sample_points
 from tallyframe.operators.box import box_stats
-from tallyframe.operators.clean import drop_incomplete, dtype_of, filter_positive, named, present_columns
+from tallyframe.operators.clean import dtype_of, filter_positive, named, present_columns
 from tallyframe.operators.explore import (
     corr_matrix,
     counts_over_domain,
@@ -43,7 +43,10 @@ def severe(df: DataFrame) -> DataFrame:
 
 
 def correlation(df: DataFrame) -> DataFrame:
-    """Correlation of the coded and numeric columns; codes kept as text take part by their number."""
+    """Correlation of the coded and numeric columns; codes kept as text take part by their number.
+
+    A cell without a number makes its row incomplete. Only a column that has no number at all is left out.
+    """
     found, _ = present_columns(df, P.CORRELATION_COLUMNS)
     words = _columns_with_words(df, [c for c in found if isinstance(dtype_of(df, c), T.StringType)])
     coded = [c for c in found if c not in words]
@@ -53,12 +56,13 @@ def correlation(df: DataFrame) -> DataFrame:
 
 
 def _columns_with_words(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    # A word has no number; with its column, its row would count as incomplete.
+    # Columns that have words and no number: with them, every row with a word would count as incomplete.
     if not cols:
         return []
-    words = [F.count_if(named(c).isNotNull() & named(c).try_cast("double").isNull()).alias(c) for c in cols]
-    counts = df.agg(*words).first()
-    return [c for c in cols if counts[c]]
+    numbers = [F.count(named(c).try_cast("double")).alias(c) for c in cols]
+    words = [F.count(named(c)).alias(f"words of {c}") for c in cols]
+    counts = df.agg(*numbers, *words).first()
+    return [c for c in cols if not counts[c] and counts[f"words of {c}"]]
 
 
 ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -69,11 +73,11 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "severity_by_speed": severity_by_speed,
     "severe_density": lambda df: geo_density(severe(df), "Latitude", "Longitude", P.GRID_STEP),
     "severe_sample": lambda df: sample_points(
-        severe(df), ["Latitude", "Longitude"], P.SAMPLE_FRACTION, P.SAMPLE_CAP, P.SEED
+        severe(df), ["Latitude", "Longitude"], P.SAMPLE_FRACTION, P.SEED
     ),
     "severe_centre": lambda df: geo_centre(severe(df), "Latitude", "Longitude"),
     "hours": lambda df: df.groupBy("Hour").count().orderBy(F.asc_nulls_last("Hour")),
-    "months": lambda df: time_pattern(drop_incomplete(df, ["Accident_Date"]), "Accident_Date", "month"),
+    "months": lambda df: time_pattern(df, "Accident_Date", "month"),
     "region_trend": lambda df: region_trend(df, "Police_Force", "Accident_Date"),
     "correlation": correlation,
 }

@@ -23,12 +23,13 @@ def session(name: str) -> SparkSession:
     return SparkSession.builder.appName(name).getOrCreate()
 
 
-def read_table(spark: SparkSession, path: str, often: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, often: bool = False, fmt: str | None = None) -> DataFrame:
     """A CSV file or folder with the declared types, or a Parquet folder made by ``store``.
 
-    CSV that is read ``often`` is first written as Parquet, so that each pass reads only its columns.
+    ``fmt`` is csv or parquet; without it a name that ends in .csv or .csv.gz is CSV, and any other Parquet. CSV that is
+    read ``often`` is first written as Parquet, so that each pass reads only its columns.
     """
-    if not path.endswith((".csv", ".csv.gz")):
+    if (fmt or ("csv" if path.endswith((".csv", ".csv.gz")) else "parquet")) == "parquet":
         return drop_unnamed(spark.read.parquet(path))
     table = drop_unnamed(scan_csv(spark, path, P.SOURCE_TYPES))
     return settle(table, "table") if often else table

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_UNNAMED = re.compile(r"_c\d+")
-
-
 def scan_csv(
     spark: SparkSession,
     path: str,
     types: T.StructType | None = None,
     infer: bool = False,
     corrupt: str | None = None,
-    same_header: bool = False,
+    same_header: bool = True,
 ) -> DataFrame:
     """Read CSV with a header line and doubled quotes; ``path`` may be on any Hadoop file system.
 
@@ -24,7 +19,8 @@ def scan_csv(
     columns may lack or be added; a column without a declared type is text. Only the header line is read
     for that. ``infer`` reads all rows once more to find types. Rows that do not fit have null in the bad
     field; with ``corrupt`` their whole line is kept in a column of that name. A missing file raises. Of a
-    folder the first header counts; ``same_header`` makes any file with another one raise.
+    folder the first header counts, and any file with another one raises; without ``same_header`` such a file is read by
+    the position of its columns. A ``.gz`` file is read by one task.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
     if infer:
@@ -35,9 +31,15 @@ def scan_csv(
     if corrupt:
         schema = schema.add(corrupt, T.StringType())
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
-    return reader.schema(schema).option("enforceSchema", not same_header).csv(path)
+    if not same_header:
+        return reader.schema(schema).csv(path)
+    # a column without a name is called _c<position> by Spark, but is compared by its empty name
+    first = spark.read.option("escape", '"').csv(path).first()
+    given = [schema[n].name if n >= len(header) or first[n] else "" for n in range(len(schema))]
+    compared = T.StructType([T.StructField(g, f.dataType) for g, f in zip(given, schema, strict=True)])
+    return reader.schema(compared).option("enforceSchema", False).csv(path).toDF(*schema.names)
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:
-    """Drop columns without a name in the header (row numbers), which Spark calls ``_c<position>``."""
-    return df.drop(*[c for c in df.columns if _UNNAMED.fullmatch(c)])
+    """Drop a first column without a name in the header (row numbers), which Spark calls ``_c0``."""
+    return df.drop("_c0")

@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyframe.functions.columns import label_of
 from tallyframe.operators import balance as b
 from tallyframe.operators.box import box_stats
 from tallyframe.operators.explore import corr_matrix, counts_over_domain, geo_density, region_trend, share
@@ -233,15 +235,36 @@ def test_split_is_disjoint_and_complete(spark):
         assert abs(n - 0.7 * orders.count()) <= 4 * math.sqrt(0.21 * orders.count())
 
 
-def test_sample_and_cap(spark):
+def test_sample(spark):
     events = table(spark, "events")
     n = events.count()
-    size = b.sample_points(events, ["user_id", "value"], 0.1, 50_000).count()
-    assert abs(size - 0.1 * n) <= 4 * math.sqrt(0.09 * n)
-    capped = b.sample_points(events, ["event_id", "value"], 0.5, 500)
-    assert capped.count() == 500
+    sample = b.sample_points(events, ["event_id", "value"], 0.1)
+    assert abs(sample.count() - 0.1 * n) <= 4 * math.sqrt(0.09 * n)
+    assert sample.join(events, "event_id").count() == sample.count()
     # Not the first partitions: the sample reaches over the whole table.
-    assert capped.agg(F.max("event_id")).first()[0] > 0.8 * n
+    assert sample.agg(F.max("event_id")).first()[0] > 0.8 * n
+
+
+def test_balance_of_many_classes(spark):
+    rows = spark.range(30_000).withColumn("label", F.when(F.col("id") < 5, F.lit(0)).otherwise(F.col("id") % 5000 + 1))
+    counts = b.class_counts(b.balance(rows, "label", 0), "label")
+    assert counts.count() > 4900 and counts.agg(F.max("n")).first()[0] <= 7
+
+
+def test_quantiles_between_infinities(spark):
+    rows = spark.createDataFrame([("a", v) for v in (1.0, math.inf, math.inf, math.inf)], "g string, v double")
+    assert exact_quantiles(rows, "g", "v", [0.5, 0.9]).first()["quantiles"] == [math.inf, math.inf]
+
+
+def test_trend_counts_rows_of_no_region(spark):
+    orders, customer = table(spark, "orders"), table(spark, "customer")
+    some = customer.filter("c_custkey % 3 <> 0")
+    got = region_trend(orders, "c_nationkey", "o_orderdate", via=[(some, "o_custkey", "c_custkey")])
+    assert got.agg(F.sum("count")).first()[0] == orders.count() and got.filter("region is null").count() > 0
+
+
+def test_label_of_no_codes(spark):
+    assert spark.range(1).select(label_of(F.col("id"), T.LongType(), {}, "other")).first()[0] == "other"
 
 
 class _Session:
