@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import slices
 from tallyframe.workspace import settle
 
 #: Words of a block, slots of a shard, shards that one row of the drawing is about.
@@ -285,7 +286,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     text_at = held.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [_cut(t, s) for s, t in zip(batch.column(0).to_pylist(), batch.column(text_at).to_pylist())]
             arrays = list(batch.columns)
             arrays[text_at] = pa.array(texts, pa.string())

@@ -19,11 +19,14 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import slices
+
 MARK = "▁"
 #: Parts whose ids a task remembers, and compatible pairs.
 MOST_PARTS, MOST_PAIRS = 400_000, 400_000
@@ -356,8 +359,8 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids, decoded.
+def encode_documents(docs: DataFrame, model: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; if asked for also ids, and decoded.
 
     ``model`` is a model file that every executor has under this path, or one added by ``SparkContext.addFile``,
     named ``files:<name>``. A null text is an empty one and has the end id only. Rows that repeat stay; other columns
@@ -365,22 +368,35 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = False) -> Dat
     encoded in memory that grows with its own length alone.
     """
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    more = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if with_ids else []
-    schema = pa.schema(kinds + more)
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    ddl += ", ids array<int>, decoded string" if with_ids else ""
+    if with_ids:
+        kinds.append(("ids", pa.list_(pa.int32())))
+        ddl += ", ids array<int>"
+    if with_text:
+        kinds.append(("decoded", pa.string()))
+        ddl += ", decoded string"
+    schema = pa.schema(kinds)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(SparkFiles.get(model[6:]) if model.startswith("files:") else model)
         sha = hashlib.sha256
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                ids, n, decoded = own.encoded(text or "")
-                row = (n, sha(ids.encode()).hexdigest(), sha(decoded.encode()).hexdigest())
-                rows.append(row + (list(map(int, ids.split(" "))), decoded) if with_ids else row)
-            columns = list(zip(*rows)) or [()] * (len(schema) - 1)
-            arrays = [pa.array(c, t) for c, t in zip(columns, schema.types[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema=schema)
+        for batch in slices(batches):
+            numbers, ids_digests, digests, lists, texts = [], [], [], [], []
+            for text in batch.column(1):
+                ids, n, decoded = own.encoded(text.as_py() or "")
+                numbers.append(n)
+                ids_digests.append(sha(ids.encode()).hexdigest())
+                digests.append(sha(decoded.encode()).hexdigest())
+                if with_ids:
+                    lists.append(np.fromstring(ids, np.int32, sep=" "))
+                if with_text:
+                    texts.append(decoded)
+            arrays = [batch.column(0), pa.array(numbers, pa.int64()), pa.array(ids_digests), pa.array(digests)]
+            if with_ids:
+                offsets = np.cumsum([0, *map(len, lists)])
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists))))
+            if with_text:
+                arrays.append(pa.array(texts))
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, ddl)

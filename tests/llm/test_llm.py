@@ -327,6 +327,10 @@ def test_pieces(docs, odd):
             want.append((i, len(ids), digest, hashlib.sha256(library.decode(ids).encode()).hexdigest()))
         got = [tuple(r) for r in sentencepiece_bpe.encode_documents(frame, MODEL).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
+        more = sentencepiece_bpe.encode_documents(frame, MODEL, with_ids=True, with_text=True).collect()
+        whole = sorted(str((i, library.encode(t, add_eos=True))) for i, t in texts(frame))
+        assert sorted(str((r["doc_id"], r["ids"])) for r in more) == whole
+        assert all(hashlib.sha256(r["decoded"].encode()).hexdigest() == r["decoded_sha256"] for r in more)
 
 
 def test_pieces_of_random_text():
