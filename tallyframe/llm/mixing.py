@@ -227,8 +227,10 @@ def mix(
         "block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))
     )
     at = F.col("block") * block
+    # the planner cannot know how many slots the drawing makes, and would broadcast them
     spans = (
         slot_table(sources)
+        .hint("merge")
         .join(blocks, ["number", "block"])
         .select(
             "shard",
