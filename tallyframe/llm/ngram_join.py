@@ -6,6 +6,10 @@ adjacent bands. So documents are dealt to tiles of a first shingle and two adjac
 the hashed shingles bound the overlap of two documents from above, by counting the bits that one has and the other has
 not; what passes is decided by intersecting the sorted arrays.
 
+Before bitmaps are fetched, places bound the overlap: in the tile of the first shingle that two documents share, no
+shingle before it is common. So a document goes to the tile of the larger band only if enough of its shingles come
+after, and two documents that are both there for their smaller band are not compared, as they meet in their own tile.
+
 Only what can change the groups is compared. Documents with equal shingles are one class from the start. Each tile's
 documents are compared with a few hubs first, then with the one that has most links so far; after that, pairs of
 documents of the tile are compared only where they are in different groups still. So a tile of near copies costs a
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import WordHashes, components, mix64
@@ -64,6 +68,29 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (a + b - common)
 
 
+def _enough(rest: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether documents of n and m shingles may link if ``rest`` of them may be common; holds in whole numbers."""
+    return rest * (100 + percent) >= (n + m) * percent
+
+
+def _place(n: Column, at: Column, own: Column) -> Column:
+    """Size, place of the tile's shingle, and whether the tile is that of the document's own band, in one number."""
+    return F.shiftleft(n.cast("long"), 32) + at.cast("long") * 2 + own.cast("long")
+
+
+def _size_of(place: Column) -> Column:
+    return F.shiftright(place, 32)
+
+
+def _rest_of(place: Column) -> Column:
+    """Shingles from the tile's on."""
+    return _size_of(place) - F.shiftright(place.bitwiseAND(F.lit((1 << 32) - 1)), 1)
+
+
+def _is_own(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(1)) == 1
+
+
 def _band(n: int, percent: int) -> int:
     """Sizes of two documents that link are at most one band apart."""
     return math.floor(math.log(n) / -math.log(percent / 100)) if percent < 100 else n
@@ -213,12 +240,18 @@ class _Join:
         # of classes of one document nothing needs to be looked up: the class is the document
         others = some.join(nodes, (some["key"] == nodes["_key"]) & (some["uid"] != nodes["_node"]), "left_anti")
         self.nodes = others.select("uid", "n", "band", "bits", "prefix")
-        first = self.nodes.select("uid", F.explode("prefix").alias("token"))
+        first = self.nodes.select("uid", F.posexplode("prefix").alias("at", "token"))
         shared = first.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
         shared = settle(first.join(shared, "token"), "shared")
         self.small = settle(shared.select("uid").distinct().join(self.nodes.drop("prefix"), "uid"), "small")
-        banded = shared.join(self.small.select("uid", "band"), "uid")
-        self.tiles = settle(banded.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), "uid"), "tiles")
+        banded = shared.join(self.small.select("uid", "n", "band"), "uid")
+        # sizes in the next band are larger, and not below its lower end (less one, for rounding)
+        larger = F.greatest(F.col("n") + 1, F.floor(F.pow(F.lit(100 / percent), F.col("band") + 1)) - 1)
+        both = _enough((F.col("n") - F.col("at")).cast("long"), F.col("n").cast("long"), larger.cast("long"), percent)
+        bands = F.when(both, F.array("band", F.col("band") + 1)).otherwise(F.array("band"))
+        banded = banded.withColumn("tile", F.explode(bands))
+        place = _place(F.col("n"), F.col("at"), F.col("band") == F.col("tile"))
+        self.tiles = settle(banded.select("token", "tile", "uid", place.alias("place")), "tiles")
 
     def passed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) for which sizes and bit counts leave room for a link."""
@@ -280,12 +313,16 @@ class _Join:
         return two.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
 
     def pairs_with(self, tiles: DataFrame, hubs: DataFrame) -> DataFrame:
-        """Distinct pairs of a tile's documents with its hubs; the smaller number is a."""
-        met = tiles.join(hubs, ["token", "tile"]).select("uid", F.explode("hubs").alias("hub")).filter("uid <> hub")
-        return met.select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
+        """Distinct pairs of a tile's documents with its hubs that places leave room for; the smaller number is a."""
+        met = tiles.join(hubs, ["token", "tile"]).select("uid", "place", F.explode("hubs").alias("hub"))
+        here, there = F.col("place"), F.col("hub.place")
+        rest = F.least(_rest_of(here), _rest_of(there))
+        met = met.filter(F.col("uid") != F.col("hub.uid")).filter(_is_own(here) | _is_own(there))
+        met = met.filter(_enough(rest, _size_of(here), _size_of(there), self.percent))
+        return met.select(F.least("uid", "hub.uid").alias("a"), F.greatest("uid", "hub.uid").alias("b")).distinct()
 
     def divided(self, tiles: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows (token, tile, uid, group) of tiles whose documents are in more than one group by the links."""
+        """Rows (token, tile, uid, place, group) of tiles whose documents are in more than one group by the links."""
         found = components(links).select(F.col("node").alias("uid"), "component")
         known = tiles.join(found, "uid", "left").withColumn("group", F.coalesce("component", "uid")).drop("component")
         known = settle(known, "grouped")
@@ -293,9 +330,12 @@ class _Join:
         return known.join(split.select("token", "tile"), ["token", "tile"])
 
     def links(self) -> DataFrame:
-        order = F.struct(F.xxhash64("uid"), "uid")
-        hubs = F.array_distinct(F.array(F.min("uid"), F.max("uid"), F.min(order)["uid"], F.max(order)["uid"]))
-        hubs = self.tiles.groupBy("token", "tile").agg(F.count("*").alias("c"), hubs.alias("hubs")).filter("c > 1")
+        one, order = F.struct("uid", "place"), F.struct(F.xxhash64("uid").alias("h"), "uid", "place")
+        ends = [F.struct(x["uid"].alias("uid"), x["place"].alias("place")) for x in (F.min(order), F.max(order))]
+        hubs = F.array_distinct(F.array(F.min(one), F.max(one), *ends))
+        own = F.max(F.col("place").bitwiseAND(F.lit(1))).alias("own")
+        hubs = self.tiles.groupBy("token", "tile").agg(F.count("*").alias("c"), own, hubs.alias("hubs"))
+        hubs = hubs.filter("c > 1 and own = 1").drop("own")
         hubs = settle(hubs, "hubs")
         links = settle(self.exact(self.passed(self.pairs_with(self.tiles, hubs.drop("c")))).distinct(), "links")
 
@@ -306,7 +346,8 @@ class _Join:
         ends = links.select(F.col("a").alias("uid")).unionByName(links.select(F.col("b").alias("uid")))
         degree = ends.groupBy("uid").agg(F.count("*").alias("degree"))
         tiles = settle(self.divided(larger, links).join(degree, "uid", "left").fillna(0, ["degree"]), "divided")
-        best = tiles.groupBy("token", "tile").agg(F.array(F.max(F.struct("degree", "uid"))["uid"]).alias("hubs"))
+        best = tiles.groupBy("token", "tile").agg(F.max(F.struct("degree", "uid", "place")).alias("m"))
+        best = best.select("token", "tile", F.array(F.struct("m.uid", "m.place")).alias("hubs"))
         more = self.exact(self.passed(self.pairs_with(tiles, best)))
         links = settle(links.unionByName(more).distinct(), "links")
 
@@ -335,18 +376,27 @@ class _Join:
         as_few = rows.filter("is_few").withColumn("few_block", F.pmod(h, few_blocks).cast("int")).withColumn(
             "all_block", F.explode(F.sequence(F.lit(0), many_blocks - 1))
         )
-        cols = ["token", "tile", "few_block", "all_block", "few", "uid", "group"]
+        cols = ["token", "tile", "few_block", "all_block", "uid", "place", "group"]
         dealt = as_any.select(*cols, F.lit(False).alias("few_side")).unionByName(as_few.select(*cols, F.lit(True).alias("few_side")))
-        dealt = dealt.drop("few").join(self.small.select("uid", "n", "bits"), "uid")
+        dealt = dealt.join(self.small.select("uid", "bits"), "uid")
         keys = ["token", "tile", "few_block", "all_block"]
         dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "uid")
 
+        def side(rows: list[tuple], few: bool) -> list[tuple]:
+            out = []
+            for _, _, _, _, uid, place, group, is_few, bits in rows:
+                if is_few == few:
+                    n, at = place >> 32, (place & 0xFFFFFFFF) >> 1
+                    out.append((uid, group, place & 1, n, n - at, int.from_bytes(bits, "little"), 8 * len(bits)))
+            return out
+
         def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            some = [(r[4], r[5], int.from_bytes(r[8], "little"), 8 * len(r[8]), r[7]) for r in rows if r[6]]
-            every = [(r[4], r[5], int.from_bytes(r[8], "little"), 8 * len(r[8]), r[7]) for r in rows if not r[6]]
-            for uid, group, bits, width, n in some:
-                for uid_2, group_2, bits_2, width_2, n_2 in every:
-                    if group != group_2 and _may_link(bits, width, n, bits_2, width_2, n_2, percent):
+            every = side(rows, False)
+            for uid, group, own, n, rest, bits, width in side(rows, True):
+                for uid_2, group_2, own_2, n_2, rest_2, bits_2, width_2 in every:
+                    if group == group_2 or not (own or own_2) or min(rest, rest_2) * (100 + percent) < (n + n_2) * percent:
+                        continue
+                    if _may_link(bits, width, n, bits_2, width_2, n_2, percent):
                         yield min(uid, uid_2), max(uid, uid_2)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +419,7 @@ class _Join:
                     found.clear()
             yield _pairs(found)
 
-        out = dealt.select(*keys, "uid", "group", "few_side", "n", "bits").mapInArrow(task, "a long, b long")
+        out = dealt.select(*keys, "uid", "place", "group", "few_side", "bits").mapInArrow(task, "a long, b long")
         return out.distinct()
 
 
