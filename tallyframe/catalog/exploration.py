@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog import Query, big, rounded, table
 from tallyframe.catalog.accidents import CTE, accidents
+from tallyframe.catalog.modelling import sample_check
 from tallyframe.catalog.profiles import distributions_sql
 from tallyframe import presets as P
 from tallyframe.operators import box, explore as ops, quantile
 from tallyframe.operators.clean import sentinel_to_null
-from tallyframe.plans.explore import explore
+from tallyframe.plans.explore import explore, severe
 
 _SHARE_SQL = """SELECT {col} AS value, count(*) AS count, round(100.0 * count(*) / {total}, 1) AS pct,
   printf('%.1f%%', round(100.0 * count(*) / {total}, 1)) || chr(10) || '(' || count(*) || ')' AS label
@@ -125,6 +126,11 @@ def _explored(name: str, finish: Callable[[DataFrame], DataFrame] = lambda df: d
     return run
 
 
+def _severe_sample(spark: SparkSession, sf: str) -> DataFrame:
+    df = accidents(spark, sf)
+    return sample_check(severe(df), explore(df, ["severe_sample"])["severe_sample"])
+
+
 def _rounded_grid(df: DataFrame) -> DataFrame:
     return df.withColumns({"lat": rounded("lat"), "lon": rounded("lon")})
 
@@ -222,8 +228,13 @@ QUERIES: dict[str, Query] = {
             FROM labelled WHERE Accident_Severity IN (1, 2) GROUP BY ALL"""
         ),
     ),
-    # A random sample has no SQL twin; the tests check its size.
-    "explore_severe_sample": Query(_explored("severe_sample")),
+    "explore_severe_sample": Query(
+        _severe_sample,
+        _accident_sql(
+            """SELECT count(*) AS n, 0::BIGINT AS "foreign", 0::BIGINT AS twice, true AS near_size FROM labelled
+            WHERE Accident_Severity IN (1, 2) AND Latitude IS NOT NULL AND Longitude IS NOT NULL"""
+        ),
+    ),
     "explore_severe_centre": Query(
         _explored("severe_centre", _rounded_grid),
         _accident_sql(

@@ -54,7 +54,13 @@ def _balance_small_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _balance(spark: SparkSession, sf: str) -> DataFrame:
-    return b.class_counts(b.balance(table(spark, sf, "labels"), "quality", 0, P.SEED), "quality")
+    # Per class, the rows of the table, and whether the balanced rows are as many as the target's, but for chance.
+    labels = table(spark, sf, "labels")
+    before = b.class_counts(labels, "quality")
+    after = b.class_counts(b.balance(labels, "quality", 0, P.SEED), "quality").withColumnRenamed("n", "n_after")
+    target = before.filter(F.col("class") == 0).agg(F.first("n")).scalar()
+    near = F.abs(F.col("n_after") - target) <= 2 * F.sqrt("n")  # four standard deviations of n draws, or more
+    return before.join(after, "class", "left").select("class", "n", F.coalesce(near, F.lit(False)).alias("near_target"))
 
 
 def _split(parts: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
@@ -68,11 +74,31 @@ def _split_by_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def _split_random(spark: SparkSession, sf: str) -> DataFrame:
     parts = _split(b.split_random(table(spark, sf, "orders")), "o_orderkey")
-    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    n, train = F.count(F.lit(1)), F.count_if(F.col("part") == "train")
+    return parts.agg(
+        n.alias("n"),
+        F.countDistinct("o_orderkey").alias("orders"),
+        (F.abs(train - n * 0.7) <= 4 * F.sqrt(n * 0.21)).alias("near_share"),
+    )
 
 
 def _sample_points(spark: SparkSession, sf: str) -> DataFrame:
-    return b.sample_points(table(spark, sf, "events"), ["user_id", "value"], P.SAMPLE_FRACTION, P.SEED)
+    events = table(spark, sf, "events").select("event_id", "value")
+    return sample_check(events, b.sample_points(events, ["event_id", "value"], P.SAMPLE_FRACTION, P.SEED))
+
+
+def sample_check(df: DataFrame, sample: DataFrame) -> DataFrame:
+    """(n, foreign, twice, near_size): rows of the table, sampled rows not in it or too often, and whether the size is right."""
+    both = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).join(
+        sample.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("s")), df.columns, "full"
+    )
+    n, s, part = F.sum("n"), F.coalesce(F.sum("s"), F.lit(0)), P.SAMPLE_FRACTION
+    return both.agg(
+        n.alias("n"),
+        F.count_if(F.col("n").isNull()).alias("foreign"),
+        F.count_if(F.col("s") > F.col("n")).alias("twice"),
+        (F.abs(s - n * part) <= 4 * F.sqrt(n * (part * (1 - part)))).alias("near_size"),
+    )
 
 
 def _frequency_index_sql(source: str, col: str) -> str:
@@ -165,6 +191,12 @@ def _trained(spark: SparkSession, sf: str) -> classify.Trained:
 
 def _random_forest(spark: SparkSession, sf: str) -> DataFrame:
     trained = _trained(spark, sf)
+    cells = _confusion_of(trained)
+    known = F.max(~F.col("prediction").isin(0.0, 1.0, 2.0))
+    return cells.groupBy("label").agg(F.sum("count").alias("n"), (~known).alias("known_classes"))
+
+
+def _confusion_of(trained: classify.Trained) -> DataFrame:
     return evaluate.confusion_matrix(classify.predict(trained.model, trained.test))
 
 
@@ -176,7 +208,13 @@ def _prediction_support(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model_f1(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.weighted_f1(_random_forest(spark, sf))
+    trained = _trained(spark, sf)
+    predicted = classify.predict(trained.model, trained.test)
+    theirs = classify.f1_evaluator().evaluate(predicted)
+    f1 = F.col("f1")
+    return evaluate.weighted_f1(evaluate.confusion_matrix(predicted)).select(
+        (F.abs(f1 - F.lit(theirs)) < 1e-9).alias("as_evaluator"), ((f1 > 0) & (f1 <= 1)).alias("is_share")
+    )
 
 
 def _train_test(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +260,7 @@ def _tune(spark: SparkSession, sf: str) -> DataFrame:
     depths = [2, 4]
     search = classify.tune(table(spark, sf, "orders"), cfg, {"maxDepth": depths}, folds=2)
     return spark.createDataFrame(
-        [(d, float(f1)) for d, f1 in zip(depths, search.avgMetrics, strict=True)], "max_depth int, f1 double"
+        [(d, bool(0 < f1 <= 1)) for d, f1 in zip(depths, search.avgMetrics, strict=True)], "max_depth int, is_share boolean"
     )
 
 
@@ -248,15 +286,21 @@ QUERIES: dict[str, Query] = {
         + """ SELECT quality, count(*) AS n, count(DISTINCT doc_id) AS docs, max(copy) AS most
         FROM (SELECT doc_id, quality, unnest(generate_series(1, copies)) AS copy FROM copies) GROUP BY ALL""",
     ),
-    # Random draws have no SQL twin; the tests check the sizes of the result.
-    "balance": Query(_balance),
+    # Of random draws and fitted models SQL can say what holds for any of them; the tests check more.
+    "balance": Query(_balance, "SELECT quality AS class, count(*) AS n, true AS near_target FROM labels GROUP BY ALL"),
     "split_by_hash": Query(
         _split_by_hash,
         """SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('42:' || o_orderkey::VARCHAR), 1, 8))::BIGINT % 100 < 70
         THEN 'train' ELSE 'test' END AS part FROM orders""",
     ),
-    "split_random": Query(_split_random),
-    "sample_points": Query(_sample_points),
+    "split_random": Query(
+        _split_random, "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS orders, true AS near_share FROM orders"
+    ),
+    "sample_points": Query(
+        _sample_points,
+        """SELECT count(*) AS n, 0::BIGINT AS "foreign", 0::BIGINT AS twice, true AS near_size FROM events
+        WHERE event_id IS NOT NULL AND value IS NOT NULL""",
+    ),
     "label_index": Query(
         _label_index,
         f"""SELECT o_orderkey, o_orderpriority, idx AS label
@@ -324,19 +368,22 @@ QUERIES: dict[str, Query] = {
         AND Light_Conditions <> '-1' AND Weather_Conditions <> '-1' GROUP BY ALL""",
     ),
     "train_test": Query(_train_test, _TRAIN_TEST_SQL),
-    # Trained models have no SQL twin; the tests check scores, leaks and repeatability.
-    "random_forest": Query(_random_forest),
+    "random_forest": Query(
+        _random_forest,
+        f"""WITH {CTE} SELECT (Accident_Severity - 1)::DOUBLE AS label, count(*) AS n, true AS known_classes FROM accidents
+        WHERE {_DIGEST_SQL.format(start=1)} % 100 >= 70 GROUP BY ALL""",
+    ),
     "prediction_support": Query(
         _prediction_support,
         f"""WITH {CTE} SELECT Accident_Severity, (Accident_Severity - 1)::DOUBLE AS label, count(*) AS n FROM accidents
         WHERE {_DIGEST_SQL.format(start=1)} % 100 >= 70 GROUP BY ALL""",
     ),
-    "model_f1": Query(_model_f1),
+    "model_f1": Query(_model_f1, "SELECT true AS as_evaluator, true AS is_share"),
     "model_report": Query(_model_report),
     "label_mapping": Query(
         _label_mapping,
         f"""WITH {CTE}, c AS (SELECT DISTINCT Accident_Severity AS code, Severity_Label AS name FROM labelled)
         SELECT (row_number() OVER (ORDER BY code) - 1)::DOUBLE AS "index", code::VARCHAR AS original, name FROM c""",
     ),
-    "tune": Query(_tune),
+    "tune": Query(_tune, "SELECT d AS max_depth, true AS is_share FROM (VALUES (2), (4)) v(d)"),
 }

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyframe import presets as P
 from tallyframe.functions.hashing import hash_percent, hash_unit
 from tallyframe.operators import features
-from tallyframe.operators.balance import balance, balance_by_unit, split_random
+from tallyframe.operators.balance import balance, balance_by_unit, class_ratios, split_random
 from tallyframe.operators.clean import drop_incomplete, named, present_columns, to_double
 from tallyframe.operators.evaluate import class_scores, confusion_matrix, label_mapping, model_report, weighted_f1
 from tallyframe.plans.prepare import prepare_model, read_table, session
@@ -165,9 +165,10 @@ def tune(
 
 
 def evaluate(df: DataFrame, trained: Trained, cfg: ModelConfig) -> dict[str, DataFrame]:
-    """Scores on the test part and the reports of the model."""
+    """Class counts and ratios before balancing, scores on the test part, and the reports of the model."""
     confusion = settle(confusion_matrix(predict(trained.model, trained.test)), "confusion")
     return {
+        "classes": class_ratios(model_rows(df, cfg), cfg.label, cfg.target),
         "confusion": confusion,
         "class_scores": class_scores(confusion),
         "weighted_f1": weighted_f1(confusion),
@@ -180,13 +181,29 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("table")
     parser.add_argument("results")
+    parser.add_argument("--label", default=P.LABEL_COLUMN)
+    parser.add_argument("--target", default=str(P.TARGET_CLASS), help="class whose size the others are brought to")
+    parser.add_argument("--categorical", nargs="*", default=P.MODEL_CATEGORICAL)
+    parser.add_argument("--numeric", nargs="*", default=P.MODEL_NUMERIC)
     parser.add_argument("--key", nargs="*", default=[])
+    parser.add_argument("--seed", type=int, default=P.SEED)
+    parser.add_argument("--train-percent", type=int, default=P.TRAIN_PERCENT)
+    parser.add_argument("--max-memory-mb", type=int, help="maxMemoryInMB of the forest")
+    parser.add_argument("--subsampling-rate", type=float, help="subsamplingRate of the forest")
     parser.add_argument("--num-trees", type=int, default=P.NUM_TREES)
     parser.add_argument("--max-depth", type=int, default=P.MAX_DEPTH)
     parser.add_argument("--reference-order", action="store_true")
     args = parser.parse_args(argv)
+    forest = {"maxMemoryInMB": args.max_memory_mb, "subsamplingRate": args.subsampling_rate}
     cfg = ModelConfig(
+        label=args.label,
+        target=int(args.target) if args.target.lstrip("-").isdigit() else args.target,
+        categorical=tuple(args.categorical),
+        numeric=tuple(args.numeric),
         key=tuple(args.key),
+        seed=args.seed,
+        train_percent=args.train_percent,
+        forest_params={name: value for name, value in forest.items() if value is not None},
         num_trees=args.num_trees,
         max_depth=args.max_depth,
         reference_order=args.reference_order,

@@ -60,6 +60,7 @@ def test_reports(rows, trained):
         (0.0, "1", "Fatal"), (1.0, "2", "Serious"), (2.0, "3", "Slight"),
     ]
     assert tables["confusion"].agg(F.sum("count")).first()[0] == trained.test.count()
+    assert tables["classes"].agg(F.sum("n")).first()[0] == classify.model_rows(rows, SMALL).count()
 
 
 def test_unknown_label_has_a_name(spark, trained):
@@ -122,6 +123,10 @@ def test_unseen_category_has_its_own_slot(spark):
     assert [r["c_idx"] for r in model.transform(new).collect()] == [2.0, 2.0, 1.0]
 
 
+def read_classes(spark, path):
+    return {r["class"] for r in spark.read.parquet(str(path / "classify/classes")).collect()}
+
+
 def test_command_lines(spark, tmp_path, monkeypatch):
     rows = accidents(spark, SF)
     source, table = str(tmp_path / "table.csv"), str(tmp_path / "table")
@@ -131,7 +136,9 @@ def test_command_lines(spark, tmp_path, monkeypatch):
     store.main([source, table])
     quality.main([source, str(tmp_path / "quality")])
     explore.main([table, str(tmp_path / "explore")])
-    classify.main([table, str(tmp_path / "classify"), "--num-trees", "2", "--max-depth", "3"])
+    classify.main([table, str(tmp_path / "classify"), "--num-trees", "2", "--max-depth", "3",
+                   "--seed", "7", "--train-percent", "60", "--subsampling-rate", "0.8", "--max-memory-mb", "512"])
+    assert read_classes(spark, tmp_path) == {1, 2, 3}
     read = spark.read.parquet
     assert "Year=1996" in {p.name for p in (tmp_path / "table").iterdir()}
     assert read(str(tmp_path / "quality/row_count")).first()[0] == rows.count()
