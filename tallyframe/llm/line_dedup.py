@@ -4,6 +4,8 @@ A line's place in the tree is fixed by its number of words and its leading words
 variable. The lines of a leaf are generalised to templates: a line joins the template with which it shares most
 words, if enough, and words that differ become variable. Lines whose template occurs in many documents are dropped.
 
+Equal lines need no tree: a line that is in two documents is dropped in all, one of a word or two if it is in many.
+
 Leaves that too few documents reach are pruned before any line moves. A leaf's distinct lines are counted before they
 meet, and a leaf with many is generalised in parts whose templates are then generalised together.
 """
@@ -23,10 +25,15 @@ from tallyframe.workspace import settle
 DEPTH = 3
 #: Share of a line's words that have to equal the template's.
 SIMILARITY = 0.6
-#: Documents from which on a template recurs.
-MIN_DOCS = 10
-#: Lines with fewer words are left alone.
+#: Documents from which on an equal line recurs.
+MIN_DOCS = 2
+#: Documents from which on a template of different lines recurs.
+TEMPLATE_DOCS = 10
+#: Lines with fewer words are short: they are in no leaf, and recur from SHORT_DOCS documents on.
 MIN_WORDS = 3
+SHORT_DOCS = 20
+#: Words without a digit that make lines equal which differ in variable words only.
+MIN_EQUAL = 3
 #: Lines of a leaf that are generalised in one part, about.
 PART = 2000
 #: Slots of the filter that keeps lines of rare leaves from moving.
@@ -41,10 +48,20 @@ def masked(line: str) -> list[str]:
     return [VARIABLE if _DIGITS.intersection(w) else w for w in line.split()]
 
 
+def equal_form(line: str) -> str:
+    """What lines that count as equal share: the masked words if MIN_EQUAL of them are constant, else the words."""
+    words = masked(line)
+    return " ".join(words if len(words) - words.count(VARIABLE) >= MIN_EQUAL else line.split())
+
+
+def _signed(text: str) -> int:
+    value = xxhash.xxh3_64_intdigest(text)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def leaf_of(words: list[str]) -> int:
     """The leaf as a signed 64-bit number."""
-    value = xxhash.xxh3_64_intdigest(" ".join([str(len(words)), *words[:DEPTH]]))
-    return value - (1 << 64) if value >> 63 else value
+    return _signed(" ".join([str(len(words)), *words[:DEPTH]]))
 
 
 def generalise(lines: list[tuple[str, ...]], similarity: float = SIMILARITY) -> list[tuple[str, ...]]:
@@ -130,31 +147,37 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """uid and the numbers of the lines of that document whose template recurs; documents without any are not there."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
-
-        def out() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["leaf", "n"]
-            )
-            counts.clear()
-            return found
+    """uid and the numbers of the lines of that document that recur; documents without any are not there."""
 
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                split = (masked(line) for line in (text or "").split("\n"))
-                for leaf in {leaf_of(words) for words in split if len(words) >= MIN_WORDS}:
-                    counts[leaf] = counts.get(leaf, 0) + 1
-                if len(counts) > 300_000:
-                    yield out()
-        yield out()
+            found = []
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen = {None}
+                for number, line in enumerate((text or "").split("\n")):
+                    words = masked(line)
+                    if not words:
+                        continue
+                    leaf = leaf_of(words) if len(words) >= MIN_WORDS else None
+                    found.append((uid, number, _signed(equal_form(line)), len(words) < MIN_WORDS, None if leaf in seen else leaf))
+                    seen.add(leaf)
+            columns = list(zip(*found)) or [()] * 5
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64())
+            names = ["uid", "number", "form", "short", "leaf"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = _identified(docs)
-    # rows that repeat count as documents of their own here, so a leaf is never pruned wrongly
-    leaves = rows.select("text").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    leaves = settle(leaves.filter(F.col("n") >= min_docs).select("leaf"), "leaves")
+    spelled = rows.select("uid", "text").mapInArrow(spell, "uid long, number int, form long, short boolean, leaf long")
+    spelled = settle(spelled, "spelled")
+    docs_of = spelled.select("form", "short", "uid").distinct().groupBy("form", "short").agg(F.count("*").alias("docs"))
+    least = F.when(F.col("short"), F.lit(max(min_docs, SHORT_DOCS))).otherwise(F.lit(min_docs))
+    equal = settle(docs_of.filter(F.col("docs") >= least).select("form", "short"), "equal")
+    dropped = spelled.join(equal, ["form", "short"]).select("uid", "number")
+
+    template_docs = max(min_docs, TEMPLATE_DOCS)
+    # a document has a leaf once here; rows that repeat count as documents of their own, so none is pruned wrongly
+    leaves = spelled.filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"))
+    leaves = settle(leaves.filter(F.col("n") >= template_docs).select("leaf"), "leaves")
     slots = {r[0] for r in leaves.select(F.pmod("leaf", F.lit(SLOTS))).distinct().collect()}  # SLOTS at most
     mask = bytearray(SLOTS // 8)
     for slot in slots:
@@ -183,16 +206,18 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     named = settle(named, "named")
     docs_of = named.select("leaf", "template", "uid").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
     # settled, so that the lines of a frequent template can be split among tasks in the join
-    recurring = settle(docs_of.filter(F.col("docs") >= min_docs).select("leaf", "template"), "recurring")
-    dropped = named.join(recurring, ["leaf", "template"]).select("uid", "number").distinct()
-    return dropped.groupBy("uid").agg(F.collect_list("number").alias("numbers"))
+    recurring = settle(docs_of.filter(F.col("docs") >= template_docs).select("leaf", "template"), "recurring")
+    dropped = dropped.unionByName(named.join(recurring, ["leaf", "template"]).select("uid", "number"))
+    return dropped.groupBy("uid").agg(F.collect_set("number").alias("numbers"))
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, text (without the dropped lines), kept_sha256.
 
-    A line ends at a line feed. A template recurs from ``min_docs`` distinct documents on; lines with fewer than
-    MIN_WORDS words stay. A null text stays null, has no line and the digest of an empty one. Rows with equal id and
+    A line ends at a line feed. Lines with the same :func:`equal_form` recur from ``min_docs`` distinct documents on,
+    those with fewer than MIN_WORDS words from SHORT_DOCS on, and templates from TEMPLATE_DOCS on (or ``min_docs``, if
+    that is more); lines without a word stay. What recurs is dropped in every document, so copies of a document leave
+    nothing of each other: they are better deduplicated before. A null text stays null, has no line and the digest of an empty one. Rows with equal id and
     text count as one document. Other columns are not looked at; an empty table gives an empty result.
     """
     dropped = recurring_lines(docs, min_docs, similarity)

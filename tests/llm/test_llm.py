@@ -191,6 +191,25 @@ def test_lines_by_hand(docs, odd):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_equal_lines_of_two_documents(spark, docs, odd):
+    """The query's own parameters: lines that are equal in few documents, and short lines."""
+    rows = [(n, f"{'abcdefgh'[n] * 9} {n}\nthis very passage is in two documents {n}\nPage one") for n in range(2)]
+    rows += [(n, f"Page one\n{'yes' * n} no") for n in range(2, 21)] + [(30, "Page two\n5 1"), (31, "Page two")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_recurring_lines(frame).collect()}
+    assert got[0] == "aaaaaaaaa 0" and got[2] == "yesyes no" and got[30] == "Page two\n5 1"
+    for frame in (docs, odd):
+        seen = defaultdict(set)
+        held = frame.select("doc_id", "text").collect()
+        for doc_id, text in held:
+            for line in (text or "").split("\n"):
+                seen[line_dedup.equal_form(line)].add((doc_id, text))
+        recurs = {f: len(d) >= (2 if len(f.split()) > 2 else 20) for f, d in seen.items() if f}
+        assert len(held) < 20 or any(recurs.values())
+        for r in line_dedup.without_recurring_lines(frame).collect():
+            assert not any(recurs.get(line_dedup.equal_form(x)) for x in (r["text"] or "").split("\n"))
+
+
 # 3
 
 
