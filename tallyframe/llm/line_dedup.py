@@ -23,7 +23,7 @@ from tallyframe.workspace import settle
 
 #: Leading words that lead to a leaf.
 DEPTH = 3
-#: Share of a line's words that have to equal the template's.
+#: Share of a line's words, without the leading and the variable ones, that have to equal the template's.
 SIMILARITY = 0.6
 #: Documents from which on an equal line recurs.
 MIN_DOCS = 2
@@ -32,7 +32,8 @@ TEMPLATE_DOCS = 10
 #: Lines with fewer words are short: they are in no leaf, and recur from SHORT_DOCS documents on.
 MIN_WORDS = 3
 SHORT_DOCS = 20
-#: Words without a digit that make lines equal which differ in variable words only.
+#: Words without a digit that make lines equal which differ in variable words only, and that a template has after the
+#: leading words.
 MIN_EQUAL = 3
 #: Lines of a leaf that are generalised in one part, about.
 PART = 2000
@@ -64,21 +65,22 @@ def leaf_of(words: list[str]) -> int:
     return _signed(" ".join([str(len(words)), *words[:DEPTH]]))
 
 
-def generalise(lines: list[tuple[str, ...]], similarity: float = SIMILARITY) -> list[tuple[str, ...]]:
+def generalise(lines: list[tuple[str, ...]], similarity: float = SIMILARITY, lead: int = 0, least: int = 0) -> list[tuple[str, ...]]:
     """The template of each line; lines of equal length are taken in the order given, more frequent ones first.
 
     A template keeps the words that all its lines have in their place. The best template is the one with most equal
-    words, the earlier one of equals; templates that end up equal are one.
+    words, the earlier one of equals; templates that end up equal are one. The first ``lead`` words and variable ones
+    do not count; ``least`` words are equal at least.
     """
     templates: list[list[str]] = []
     of: list[int] = []
     for line in lines:
         best, at = -1, -1
         for n, template in enumerate(templates):
-            same = sum(map(str.__eq__, line, template))
+            same = sum(a == b != VARIABLE for a, b in zip(line[lead:], template[lead:]))
             if same > best:
                 best, at = same, n
-        if at >= 0 and best >= similarity * len(line):
+        if at >= 0 and best >= max(least, similarity * sum(w != VARIABLE for w in line[lead:])):
             templates[at] = [a if a == b else VARIABLE for a, b in zip(templates[at], line)]
         else:
             at = len(templates)
@@ -113,7 +115,7 @@ def _generalised(rows: DataFrame, keys: list[str], similarity: float) -> DataFra
         found: list[tuple] = []
         for group in groups():
             group.sort(key=lambda r: (-r[width + 1], r[width]))
-            templates = generalise([tuple(r[width].split(" ")) for r in group], similarity)
+            templates = generalise([tuple(r[width].split(" ")) for r in group], similarity, DEPTH, MIN_EQUAL)
             found += [(*r, " ".join(t)) for r, t in zip(group, templates)]
             if len(found) > 20_000:
                 yield out(found)
@@ -202,7 +204,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
 
     met = rows.select("uid", "text").mapInArrow(lines, "uid long, number int, leaf long, line string")
     met = settle(met.join(leaves, "leaf"), "lines")
-    named = met.join(_templates(met, similarity), ["leaf", "line"]).select("uid", "number", "leaf", F.xxhash64("template").alias("template"))
+    constant = F.filter(F.slice(F.split("template", " "), DEPTH + 1, F.size(F.split("template", " "))), lambda w: w != VARIABLE)
+    templates = _templates(met, similarity).filter(F.size(constant) >= MIN_EQUAL)
+    named = met.join(templates, ["leaf", "line"]).select("uid", "number", "leaf", F.xxhash64("template").alias("template"))
     named = settle(named, "named")
     docs_of = named.select("leaf", "template", "uid").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
     # settled, so that the lines of a frequent template can be split among tasks in the join

@@ -210,6 +210,17 @@ def test_equal_lines_of_two_documents(spark, docs, odd):
             assert not any(recurs.get(line_dedup.equal_form(x)) for x in (r["text"] or "").split("\n"))
 
 
+def test_lines_that_only_begin_alike_stay(spark):
+    """Leading words and numbers do not make a template; three equal words after them do."""
+    own = [f"{chr(97 + n) * 7}" for n in range(24)]
+    rows = [
+        (n, f"in the end {own[n]} {own[n + 12]}\n{n} 1 {n * 3} {n}\n{n} 2 and {n}\nwritten for you by {own[n]} with much love")
+        for n in range(12)
+    ]
+    got = line_dedup.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(n, t.rsplit("\n", 1)[0]) for n, t in rows]
+
+
 # 3
 
 
