@@ -1,17 +1,19 @@
 """Line dedup by a log-template tree.
 
 A line's place in the tree is fixed by its number of words and its leading words, words with a digit counting as
-variable. The lines of a leaf are generalised to templates: a line joins the template with which it shares most
-words, if enough, and words that differ become variable. Lines whose template occurs in many documents are dropped.
+variable. In a leaf, a word that many documents have at the same place of a line can be constant. A line has the
+template of all those words, and those of the words that twice, four times ... as many documents have, as long as
+enough words are constant. Lines with a template that occurs in many documents are dropped.
 
-Equal lines need no tree: a line that is in two documents is dropped in all, one of a word or two if it is in many.
+Lines meet by word and place, and by template, never a whole leaf: a word is a number that has its leaf and place in it.
+Leaves that too few documents reach are pruned before any line moves.
 
-Leaves that too few documents reach are pruned before any line moves. A leaf's distinct lines are counted before they
-meet, and a leaf with many is generalised in parts whose templates are then generalised together.
+Equal lines need no tree: a line that is in two documents is dropped in all, one of a word or two if it is in many.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ from tallyframe.workspace import settle
 
 #: Leading words that lead to a leaf.
 DEPTH = 3
-#: Share of a line's words, without the leading and the variable ones, that have to equal the template's.
+#: Share of a line's words, without the leading and the variable ones, that are constant in its templates.
 SIMILARITY = 0.6
 #: Documents from which on an equal line recurs.
 MIN_DOCS = 2
@@ -35,23 +37,26 @@ SHORT_DOCS = 20
 #: Words without a digit that make lines equal which differ in variable words only, and that a template has after the
 #: leading words.
 MIN_EQUAL = 3
-#: Lines of a leaf that are generalised in one part, about.
-PART = 2000
 #: Slots of the filter that keeps lines of rare leaves from moving.
 SLOTS = 1 << 20
 
 VARIABLE = "<*>"
 _DIGITS = set("0123456789")
+_DIGIT = re.compile("[0-9]")
 
 
 def masked(line: str) -> list[str]:
     """Words of a line; those with a digit are variable."""
-    return [VARIABLE if _DIGITS.intersection(w) else w for w in line.split()]
+    words = line.split()
+    return [VARIABLE if _DIGITS.intersection(w) else w for w in words] if _DIGIT.search(line) else words
 
 
 def equal_form(line: str) -> str:
     """What lines that count as equal share: the masked words if MIN_EQUAL of them are constant, else the words."""
-    words = masked(line)
+    return _form(line, masked(line))
+
+
+def _form(line: str, words: list[str]) -> str:
     return " ".join(words if len(words) - words.count(VARIABLE) >= MIN_EQUAL else line.split())
 
 
@@ -65,22 +70,21 @@ def leaf_of(words: list[str]) -> int:
     return _signed(" ".join([str(len(words)), *words[:DEPTH]]))
 
 
-def generalise(lines: list[tuple[str, ...]], similarity: float = SIMILARITY, lead: int = 0, least: int = 0) -> list[tuple[str, ...]]:
-    """The template of each line; lines of equal length are taken in the order given, more frequent ones first.
+def generalise(lines: list[tuple[str, ...]], similarity: float = SIMILARITY) -> list[tuple[str, ...]]:
+    """The template of each of a few lines of equal length by greedy matching; not used by the query.
 
     A template keeps the words that all its lines have in their place. The best template is the one with most equal
-    words, the earlier one of equals; templates that end up equal are one. The first ``lead`` words and variable ones
-    do not count; ``least`` words are equal at least.
+    words, the earlier one of equals; templates that end up equal are one.
     """
     templates: list[list[str]] = []
     of: list[int] = []
     for line in lines:
         best, at = -1, -1
         for n, template in enumerate(templates):
-            same = sum(a == b != VARIABLE for a, b in zip(line[lead:], template[lead:]))
+            same = sum(map(str.__eq__, line, template))
             if same > best:
                 best, at = same, n
-        if at >= 0 and best >= max(least, similarity * sum(w != VARIABLE for w in line[lead:])):
+        if at >= 0 and best >= similarity * len(line):
             templates[at] = [a if a == b else VARIABLE for a, b in zip(templates[at], line)]
         else:
             at = len(templates)
@@ -89,57 +93,30 @@ def generalise(lines: list[tuple[str, ...]], similarity: float = SIMILARITY, lea
     return [tuple(templates[n]) for n in of]
 
 
-def _generalised(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """``rows`` (keys, line, n) with a template for each line; ``keys`` name the lines that are generalised together."""
-    width = len(keys)
-    kinds = ", ".join(f"{k} {'long' if k == 'leaf' else 'int'}" for k in keys)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if held and held[0][:width] != row[:width]:
-                        yield held
-                        held = []
-                    held.append(row)
-            if held:
-                yield held
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64() if k == "leaf" else pa.int32() for k in keys] + [pa.string(), pa.int64(), pa.string()]
-            columns = list(zip(*rows)) or [()] * (width + 3)
-            names = [*keys, "line", "n", "template"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-        found: list[tuple] = []
-        for group in groups():
-            group.sort(key=lambda r: (-r[width + 1], r[width]))
-            templates = generalise([tuple(r[width].split(" ")) for r in group], similarity, DEPTH, MIN_EQUAL)
-            found += [(*r, " ".join(t)) for r, t in zip(group, templates)]
-            if len(found) > 20_000:
-                yield out(found)
-                found = []
-        yield out(found)
-
-    dealt = rows.select(*keys, "line", "n").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(task, f"{kinds}, line string, n long, template string")
-
-
-def _templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """leaf, line, template for every distinct line (leaf, line) of the occurrences ``lines``."""
-    counted = settle(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")), "counted")
-    sizes = counted.groupBy("leaf").agg(F.count("*").alias("distinct"))
-    sized = counted.join(sizes, "leaf")
-    alone = sized.filter("distinct = 1").select("leaf", "line", F.col("line").alias("template"))
-    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("distinct") / PART)).cast("int")
-    parts = settle(_generalised(sized.filter("distinct > 1").withColumn("part", part), ["leaf", "part"], similarity), "parts")
-    # templates of the parts of a leaf, generalised together
-    firsts = parts.groupBy("leaf", F.col("template").alias("line")).agg(F.sum("n").alias("n"))
-    joint = _generalised(firsts, ["leaf"], similarity).select("leaf", F.col("line").alias("template"), F.col("template").alias("joint"))
-    return alone.unionByName(
-        parts.join(joint, ["leaf", "template"]).select("leaf", "line", F.col("joint").alias("template"))
-    )
+def places(words: list[str], leaf: int) -> list[int]:
+    """Numbers of the constant words after the leading ones, each with its leaf and place."""
+    return [_signed(f"{leaf} {at} {w}") for at, w in enumerate(words[DEPTH:]) if w != VARIABLE]
+
+
+def _in_templates(met: DataFrame, docs: int, similarity: float) -> DataFrame:
+    """uid and number of the lines ``met`` (uid, number, line, places) with a template that ``docs`` documents have."""
+    words = met.select("uid", F.explode("places").alias("place")).distinct().groupBy("place").agg(F.count("*").alias("n"))
+    # how often the least number of documents can be doubled until more than have the word
+    level = (F.length(F.bin(F.expr(f"n div {docs}"))) - 1).alias("level")
+    words = settle(words.filter(F.col("n") >= docs).select("place", level), "words")
+    lines = settle(met.dropDuplicates(["line"]).select("line", F.size("places").alias("size"), F.posexplode("places").alias("at", "place")), "words-of")
+    held = lines.join(words, "place").groupBy("line", "size").agg(F.sort_array(F.collect_list(F.struct("at", "place", "level"))).alias("held"))
+    each = held.withColumn("from", F.explode(F.array_distinct("held.level")))
+    kept = F.filter("held", lambda w: w["level"] >= F.col("from"))
+    each = each.select("line", "size", F.transform(kept, lambda w: w["place"]).alias("kept"))
+    enough = F.size("kept") >= F.greatest(F.lit(MIN_EQUAL), F.lit(similarity) * F.col("size"))
+    each = settle(each.filter(enough).select("line", F.xxhash64("kept").alias("template")).distinct(), "templates")
+    # a line that many documents have is in as many rows, so both sides are settled and can be split
+    of = settle(met.select("line", "uid").distinct(), "lines-of")
+    found = each.join(of, "line").select("template", "uid").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    found = settle(found.filter(F.col("docs") >= docs).select("template"), "recurring")
+    recurring = settle(each.join(found, "template").select("line").distinct(), "recurring-lines")
+    return met.join(recurring, "line").select("uid", "number")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -161,7 +138,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
                     if not words:
                         continue
                     leaf = leaf_of(words) if len(words) >= MIN_WORDS else None
-                    found.append((uid, number, _signed(equal_form(line)), len(words) < MIN_WORDS, None if leaf in seen else leaf))
+                    found.append((uid, number, _signed(_form(line, words)), len(words) < MIN_WORDS, None if leaf in seen else leaf))
                     seen.add(leaf)
             columns = list(zip(*found)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64())
@@ -197,21 +174,17 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
                     leaf = leaf_of(words)
                     slot = leaf % SLOTS
                     if mask[slot >> 3] >> (slot & 7) & 1:
-                        found.append((uid, number, leaf, " ".join(words)))
-            columns = list(zip(*found)) or [()] * 4
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["uid", "number", "leaf", "line"])
-
-    met = rows.select("uid", "text").mapInArrow(lines, "uid long, number int, leaf long, line string")
-    met = settle(met.join(leaves, "leaf"), "lines")
-    constant = F.filter(F.slice(F.split("template", " "), DEPTH + 1, F.size(F.split("template", " "))), lambda w: w != VARIABLE)
-    templates = _templates(met, similarity).filter(F.size(constant) >= MIN_EQUAL)
-    named = met.join(templates, ["leaf", "line"]).select("uid", "number", "leaf", F.xxhash64("template").alias("template"))
-    named = settle(named, "named")
-    docs_of = named.select("leaf", "template", "uid").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
-    # settled, so that the lines of a frequent template can be split among tasks in the join
-    recurring = settle(docs_of.filter(F.col("docs") >= template_docs).select("leaf", "template"), "recurring")
-    dropped = dropped.unionByName(named.join(recurring, ["leaf", "template"]).select("uid", "number"))
+                        constant = places(words, leaf)
+                        if len(constant) >= MIN_EQUAL:
+                            found.append((uid, number, leaf, _signed(f"{leaf} {' '.join(words)}"), constant))
+            columns = list(zip(*found)) or [()] * 5
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            names = ["uid", "number", "leaf", "line", "places"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    met = rows.select("uid", "text").mapInArrow(lines, "uid long, number int, leaf long, line long, places array<long>")
+    met = settle(met.join(leaves, "leaf").drop("leaf"), "lines")
+    dropped = dropped.unionByName(_in_templates(met, template_docs, similarity))
     return dropped.groupBy("uid").agg(F.collect_set("number").alias("numbers"))
 
 

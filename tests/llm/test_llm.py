@@ -221,6 +221,57 @@ def test_lines_that_only_begin_alike_stay(spark):
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(n, t.rsplit("\n", 1)[0]) for n, t in rows]
 
 
+def test_op2_by_hand(spark, docs, odd):
+    """The query's own parameters against brute force over all words, templates and lines."""
+    own = ["".join(chr(97 + (n * k) % 26) for k in range(3, 11)) for n in range(40)]
+    rows = [(n, f"all of this is {own[n]} written by {own[n][::-1]} for us\nall of this was {own[n]} {'here' if n < 9 else own[n]}") for n in range(40)]
+    rows += [(n, f"all of this is {own[n - 70]} written by {own[n - 70] * 2} for them {n}") for n in range(70, 75)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame in (made, docs, odd):
+        held = sorted({tuple(r) for r in frame.select("doc_id", "text").collect()}, key=str)
+        equal, word_docs, templates, dropped = defaultdict(set), defaultdict(set), defaultdict(set), set()
+        lines = []
+        for doc, (_, text) in enumerate(held):
+            for number, line in enumerate((text or "").split("\n")):
+                words = line_dedup.masked(line)
+                leaf = (len(words), *words[:3])
+                tail = [(leaf, at, w) for at, w in enumerate(words) if at > 2 and w != "<*>"]
+                lines.append((doc, number, line, len(words), tail))
+                equal[line_dedup.equal_form(line)].add(doc)
+                for place in tail:
+                    word_docs[place].add(doc)
+
+        def of(tail):
+            for least in [10 * 2**k for k in range(12)]:
+                kept = tuple(p for p in tail if len(word_docs[p]) >= least)
+                if len(kept) >= 3 and len(kept) >= 0.6 * len(tail):
+                    yield kept
+
+        for doc, _, _, _, tail in lines:
+            for kept in of(tail):
+                templates[kept].add(doc)
+        for doc, number, line, n, tail in lines:
+            if n and len(equal[line_dedup.equal_form(line)]) >= (20 if n < 3 else 2) or any(len(templates[k]) >= 10 for k in of(tail)):
+                dropped.add((doc, number))
+        assert frame is odd or dropped
+        want = {}
+        for doc, (doc_id, text) in enumerate(held):
+            parts = text.split("\n") if text is not None else []
+            keep = [p for n, p in enumerate(parts) if (doc, n) not in dropped]
+            want[doc_id, len(parts), len(parts) - len(keep), None if text is None else "\n".join(keep)] = doc
+        got = line_dedup.without_recurring_lines(frame).select("doc_id", "n_lines", "n_dropped", "text").collect()
+        assert {tuple(r) for r in got} == set(want)
+
+
+def test_a_hot_leaf_ends(spark):
+    """Many lines with one opening that are no template of each other: no task compares all of them."""
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("once more we "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(17)), lambda k: F.translate(F.md5((F.col("id") * 17 + k).cast("string")), "0123456789", "ghijklmnop")), " ")).alias("text"),
+    )
+    assert line_dedup.without_recurring_lines(docs).agg(F.sum("n_dropped")).first()[0] == 0
+
+
 # 3
 
 
