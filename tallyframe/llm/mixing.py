@@ -2,7 +2,7 @@
 
 Each source's documents, in an order of their own, are one stream of words, cut into blocks of fixed length. The mix
 is a sequence of slots of one block each, dealt to output shards. A source's number of slots follows from its
-target; how many of them each shard has is a multinomial draw. The slots of a source are numbered through, and slot
+target in words, and its last slot is cut to what is then left of it; how many of them each shard has is a multinomial draw. The slots of a source are numbered through, and slot
 ``k`` takes the block that a pseudorandom permutation of the source's blocks gives for ``k`` modulo their number: no
 block is taken a third time before all were taken twice. Blocks are joined to slots by their index.
 """
@@ -57,11 +57,12 @@ def targets(sizes: list[int], weights: list[float], total: float, most_times: fl
     return result
 
 
-def permuted(index: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def permuted(index: np.ndarray, sizes: np.ndarray, keys: np.ndarray, back: bool = False) -> np.ndarray:
     """Images of ``index`` under a pseudorandom permutation of range(size), by a Feistel network with cycle walking.
 
     Every row has a size and a key of its own. Four rounds on the halves of the least even number of bits that holds
     the size permute a range at most four times as large; images beyond the size are mapped on until they fall in.
+    ``back`` gives the indexes whose images ``index`` are.
     """
     half = np.array([max(1, (int(n - 1).bit_length() + 1) // 2) for n in sizes.tolist()], np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
@@ -69,12 +70,12 @@ def permuted(index: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarr
     walk = np.ones(len(out), bool)
     while walk.any():
         h, m, x, k = half[walk], mask[walk], out[walk], keys[walk].astype(np.uint64)
-        left, right = x >> h, x & m
-        for turn in range(4):
+        left, right = (x & m, x >> h) if back else (x >> h, x & m)
+        for turn in range(3, -1, -1) if back else range(4):
             z = (right + k + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
             z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             left, right = right, left ^ ((z ^ (z >> np.uint64(32))) & m)
-        out[walk] = left << h | right
+        out[walk] = right << h | left if back else left << h | right
         walk = out >= sizes.astype(np.uint64)
     return out.astype(np.int64)
 
@@ -115,8 +116,35 @@ def _stream(rows: DataFrame) -> DataFrame:
     return inner.join(before, same).select("uid", "doc_id", "source", "size", (F.col("before") + F.col("inner")).alias("start"))
 
 
+def slots_for(words: int, number: int, size: int, block: int) -> tuple[int, int]:
+    """Slots in which source ``number`` of ``size`` words gives ``words`` in all, and how many of the last one's.
+
+    Whole rounds take all words. In the round after them a slot takes a block, and the last block of the source, which
+    may be a part, counts where the permutation has it.
+    """
+    if not words:
+        return 0, 0
+    blocks = -(-size // block)
+    rounds, left = divmod(words, size)
+    if not left:
+        rounds, left = rounds - 1, size
+    lacking = blocks * block - size
+    at = int(permuted(np.array([blocks - 1]), np.array([blocks]), np.array([_key(number)]), back=True)[0])
+
+    def taken(slots: int) -> int:
+        return slots * block - (lacking if at < slots else 0)
+
+    slots = -(-left // block)
+    slots += taken(slots) < left
+    return rounds * blocks + slots, left - taken(slots - 1)
+
+
+def _key(number):
+    return number * 1_000_003 + SEED
+
+
 def _sources(stream: DataFrame, weights: tuple, share: float, most_times: float, block: int) -> DataFrame:
-    """Each source's numbers: source, number, source_size, target, blocks, slots (the target in blocks, rounded).
+    """Each source's numbers: source, number, source_size, target, blocks, slots, last (words of the last slot).
 
     Sources go by code point, null last, and get the weights in turn.
     """
@@ -129,8 +157,9 @@ def _sources(stream: DataFrame, weights: tuple, share: float, most_times: float,
     rows = []
     for n, (row, size, target) in enumerate(zip(found, sizes, wanted)):
         blocks = -(-size // block)
-        rows.append((row["source"], n, size, float(target), blocks, min(round(target / block), int(most_times * blocks))))
-    ddl = "source string, number long, source_size long, target double, blocks long, slots long"
+        slots = slots_for(min(round(target), int(most_times * size)), n, size, block)
+        rows.append((row["source"], n, size, float(target), blocks, *slots))
+    ddl = "source string, number long, source_size long, target double, blocks long, slots long, last long"
     return stream.sparkSession.createDataFrame(rows, ddl)
 
 
@@ -176,28 +205,32 @@ def shard_counts(slots: list[int], shard: int, first_shard: int, end_shard: int)
 
 
 def slot_table(sources: DataFrame, shard: int = SHARD) -> DataFrame:
-    """One row per slot of the mix: shard, number (of the source), slot (of the source), round, block."""
+    """One row per slot of the mix: shard, number (of the source), slot (of the source), round, block, words.
+
+    ``words`` is how many words of the block a source's last slot takes, and null for its other slots: all of them.
+    """
     spark = sources.sparkSession
     held = sources.orderBy("number").collect()  # MOST_SOURCES rows at most
-    slots, blocks = [r["slots"] for r in held], [r["blocks"] for r in held]
+    slots, blocks, last = ([r[k] for r in held] for k in ("slots", "blocks", "last"))
     shards = -(-sum(slots) // shard)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = np.array(blocks, np.int64)
+        of, ends, cut = (np.array(x, np.int64) for x in (blocks, slots, last))
         for frame in frames:
             for row in frame["id"].tolist():
                 for counts in _in_shards(shard_counts(slots, shard, row * SHARDS_A_ROW, (row + 1) * SHARDS_A_ROW)):
                     number = np.repeat([c[1] for c in counts], [c[2] for c in counts])
                     slot = np.concatenate([np.arange(c[3], c[3] + c[2]) for c in counts])
                     size = of[number]
-                    block = permuted(slot % size, size, number * 1_000_003 + SEED)
+                    block = permuted(slot % size, size, _key(number))
+                    words = pd.Series(cut[number], dtype="Int64").where(slot == ends[number] - 1)
                     yield pd.DataFrame(
-                        {"shard": counts[0][0], "number": number, "slot": slot, "round": slot // size, "block": block}
+                        {"shard": counts[0][0], "number": number, "slot": slot, "round": slot // size, "block": block, "words": words}
                     )
 
     rows = -(-shards // SHARDS_A_ROW)
     parts = max(1, min(rows, 100_000))
-    return spark.range(0, rows, 1, parts).mapInPandas(draw, "shard long, number long, slot long, round long, block long")
+    return spark.range(0, rows, 1, parts).mapInPandas(draw, "shard long, number long, slot long, round long, block long, words long")
 
 
 def _in_shards(counts: Iterator[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -241,8 +274,9 @@ def mix(
             "uid",
             "doc_id",
             (F.greatest(F.col("start"), at) - F.col("start")).alias("from"),
-            (F.least(F.col("start") + F.col("size"), at + block) - F.col("start")).alias("to"),
+            (F.least(F.col("start") + F.col("size"), at + F.coalesce("words", F.lit(block))) - F.col("start")).alias("to"),
         )
+        .filter(F.col("from") < F.col("to"))
     )
     return spans, stream, sources
 

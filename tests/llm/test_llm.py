@@ -517,6 +517,24 @@ def test_mix(docs, odd):
             assert abs(sum(r["taken"] for r in group) - n * target) <= 2 * n * mixing.BLOCK
 
 
+def test_small_sources_reach_their_target(spark):
+    """Sources of 1 to 300 words beside a large one; all words of a source are taken as often as its target says."""
+    rows = [(n, " ".join(f"w{k}" for k in range(n)), f"s{n}") for n in range(1, 301)]
+    rows += [(1000 + n, "large " * 500, "hot") for n in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for options in ({}, {"most_times": 1.3}, {"share": 0.4}):
+        by = defaultdict(list)
+        for r in mixing.taken_words(frame, **options).collect():
+            by[r["source_size"], r["target"]].append(r)
+        assert len(by) == 301
+        for (_, target), group in by.items():
+            assert abs(sum(r["taken"] for r in group) - target) <= 1, options
+    for size, block in ((1, 4), (9, 4), (1000, 7), (1024, 128)):
+        index = np.arange(-(-size // block))
+        n, keys = np.full(len(index), len(index)), np.full(len(index), 5)
+        assert (mixing.permuted(mixing.permuted(index, n, keys), n, keys, back=True) == index).all()
+
+
 def test_mixed_documents(docs, odd):
     for frame in (docs, odd):
         taken = Counter()
