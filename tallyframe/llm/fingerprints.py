@@ -12,12 +12,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.workspace import settle
+
 #: Words of a term.
 TERM_WORDS = 5
 #: Documents of one piece of the order by id, about.
 PIECE = 500
 #: Pieces at most: their borders pass through the driver. More documents make larger pieces.
 MOST_PIECES = 20_000
+#: Bits in which the fingerprints of near documents differ at most.
+RADIUS = 3
 #: Blocks that a fingerprint is cut into for the search, beside the radius.
 MORE_BLOCKS = 3
 
@@ -156,7 +160,7 @@ def fingerprints(docs: DataFrame, term_words: int = TERM_WORDS) -> DataFrame:
     )
 
 
-def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = 3, more_blocks: int = MORE_BLOCKS) -> DataFrame:
+def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, more_blocks: int = MORE_BLOCKS) -> DataFrame:
     """All pairs (query, found, distance) of distinct fingerprints at most ``radius`` bits apart; columns fp, longs.
 
     Fingerprints are cut into radius + more_blocks blocks. Two that differ in at most radius bits are equal in
@@ -173,6 +177,36 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = 3,
         keyed = F.array(*[F.struct(F.lit(t).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)])
         return one.select(name, F.inline(keyed))
 
-    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("found")))
-    met = tables(queries, "query").join(tables(fingerprints, "found"), ["t", "k"]).withColumn("distance", distance)
-    return met.filter(F.col("distance") <= radius).select("query", "found", "distance").distinct()
+    differ = F.col("query").bitwiseXOR(F.col("found"))
+    met = tables(queries, "query").join(tables(fingerprints, "found"), ["t", "k"]).withColumn("distance", F.bit_count(differ))
+    # a pair counts in the first of the tables where it meets
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(signed)])
+    return met.filter(F.col("distance") <= radius).filter(F.col("t") == first).select("query", "found", "distance")
+
+
+def with_near(docs: DataFrame, radius: int = RADIUS, term_words: int = TERM_WORDS) -> DataFrame:
+    """:func:`fingerprints` of ``docs`` with near_documents, nearest_distance, nearest_id.
+
+    Near are all other rows whose fingerprint is at most ``radius`` bits apart; nearest_id is the smallest id at the
+    least distance, and with equal fingerprints the smallest of them, or the largest for a row that has the smallest
+    itself. Null if there is none. Every row is asked for; distinct fingerprints alone meet.
+    """
+    rows = fingerprints(docs, term_words).withColumn("fp", F.conv("fingerprint", 16, -10).cast("long"))
+    rows = settle(rows, "fingerprints")
+    classes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    classes = settle(classes, "classes")
+    pairs = within_radius(classes, classes, radius).filter("distance > 0")
+    found = pairs.join(classes.select(F.col("fp").alias("found"), "n", "least"), "found").groupBy("query")
+    # ids that are null come last
+    nearest = F.min(F.struct("distance", F.col("least").isNull().alias("no"), "least")).alias("nearest")
+    found = found.agg(F.sum("n").alias("others"), nearest).withColumnRenamed("query", "fp")
+    near = settle(classes.join(found, "fp", "left"), "near")
+    same = F.col("n") > 1
+    other = F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.col("most")).otherwise(F.col("least"))
+    names = [c for c in rows.columns if c != "fp"]
+    return rows.join(near, "fp").select(
+        *names,
+        (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("near_documents"),
+        F.when(same, 0).otherwise(F.col("nearest.distance")).cast("int").alias("nearest_distance"),
+        F.when(same, other).otherwise(F.col("nearest.least")).alias("nearest_id"),
+    )

@@ -351,6 +351,21 @@ def test_within_radius(spark):
     assert got == {(a, b) for a in asked for b in signed if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
 
 
+def test_op4_reports_near_documents(spark, docs, odd):
+    for frame, rows in ((docs, queries.op4_fingerprints(spark, SF).collect()), (odd, fingerprints.with_near(odd).collect())):
+        assert Counter(r[:7] for r in rows) == Counter(map(tuple, fingerprints.fingerprints(frame).collect()))
+        for n, r in enumerate(rows):
+            near = [((int(r["fingerprint"], 16) ^ int(o["fingerprint"], 16)).bit_count(), o) for m, o in enumerate(rows) if m != n]
+            near = [(d, o["doc_id"]) for d, o in near if d <= 3]
+            assert r["near_documents"] == len(near)
+            least = min((d for d, _ in near), default=None)
+            ids = [i for d, i in near if d == least and i is not None]
+            assert r["nearest_distance"] == least
+            small = not ids or r["doc_id"] is None or least or r["doc_id"] > min(ids)
+            assert r["nearest_id"] == ((min(ids) if small else max(ids)) if ids else None)
+    assert sum(r["near_documents"] for r in rows) > 0
+
+
 # 5
 
 
