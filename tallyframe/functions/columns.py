@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,3 +79,15 @@ def is_missing(col: Column, dtype: T.DataType) -> Column:
 def percent_of(part: Column, total: Column) -> Column:
     """``part`` in percent of ``total``; null for an empty total."""
     return F.lit(100.0) * part / F.nullif(total, F.lit(0))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
