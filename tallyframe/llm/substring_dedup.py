@@ -5,16 +5,20 @@ words, so names of all lengths come from the same few steps over a text. A windo
 
 Level 1, half the length asked for: of the half windows inside a full window the first one with the smallest name
 stands for it. Equal full windows have equal representatives, so a full window whose representative occurs once goes.
-Only representatives, about one position in ten, are counted.
+Only representatives, about one position in ten, are counted; the windows that share one follow each other.
 
-Level 2, twice as long: the full windows that are left, named by 128 bits, recur if their name occurs again. The search
-ends when a level leaves no candidates. Longer windows need no level: the words under a longer one that recurs lie under
-windows of the length asked for, which recur too.
+Level 2, up to twice as long: the stretch under all windows of one representative is named by its first and last
+window. If the stretch recurs, so do all windows in it, and one row has settled them all.
 
-Equal texts are one text with a number of copies from level 1 on, so a group of copies, however large, sends one row
-from each task. Of names that hold over one in ``FREQUENT`` rows there are fewer than ``FREQUENT``; only those are
-broadcast. Windows with a frequent representative are counted in parts and then over the parts, so no name, however
-frequent, is one task's work.
+Level 3: windows of the other stretches are counted one by one, by names of 128 bits. Of equal stretches one joins in,
+if its representative stands in another stretch too, so that windows at the edge of a passage find their equals.
+
+The search ends when a level leaves no candidates. Longer windows need no level: the words under a longer one that
+recurs lie under windows of the length asked for, which recur too.
+
+Of names that hold over one in ``FREQUENT`` rows there are fewer than ``FREQUENT``; only those are broadcast.
+Windows with a frequent representative are counted in parts and then over the parts, so no name, however frequent, is
+one task's work. Equal texts are one text after level 2: all their stretches recur, and one of them joins in.
 
 Null and empty texts have no words and lose none, as do texts shorter than the window. Rows with equal texts, repeated
 ids and null ids are rows like any other and get equal results. An empty table gives an empty result. Other columns
@@ -46,7 +50,11 @@ MANY = 1000
 CUT = 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
-_NARROW = "doc_id long, k1 long, k2 long, n_words long, all_sha256 string, names array<long>, places array<int>"
+_NARROW = (
+    "doc_id long, k1 long, k2 long, n_words long, all_sha256 string, "
+    "names array<long>, u1 array<long>, u2 array<int>, first array<int>, many array<int>"
+)
+_STRETCH = ["names", "u1", "u2", "first", "many"]
 _WINDOWS = "h1 long, h2 long, uid long, place int, n long, part int"
 _KEPT = "k1 long, k2 long, n_removed long, kept binary, spans array<struct<first:int,last:int>>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -124,53 +132,84 @@ def _listed(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), kind))
 
 
+def stretches(words: np.ndarray, window: int) -> list[np.ndarray]:
+    """Per stretch: its representative's name, two names of its own, its first window, and how many it has."""
+    half = window_names(words[:, 0], half_length(window))
+    full = [doubled(half, window // 2) if window > 1 else half, window_names(words[:, 1], window)]
+    at, first, many = np.unique(representatives(half, window), return_index=True, return_counts=True)
+    where = ((at - first) * (window + 1) + many).astype(np.uint64)
+    u1, u2 = (mix64(mix64(mix64(f[first] * _ODD) + f[first + many - 1]) + where) for f in full)
+    return [half[at].view(np.int64), u1.view(np.int64), (u2 >> np.uint64(32)).astype(np.uint32).view(np.int32), first, many]
+
+
 def _narrow(docs: DataFrame, window: int) -> DataFrame:
-    """Per row: doc_id, its text's key, number of words, digest of all words, representatives' names and places."""
+    """Per row: doc_id, its text's key, number of words, digest of all words, and its stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in slices(batches):
-            sizes, digests, found, places = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sizes, digests, found = [], [], [[np.empty(0, np.int64)] for _ in kinds]
             for text in batch.column(3).to_pylist():
                 words = names.of(text)
-                half = window_names(words[:, 0], half_length(window))
-                at = np.unique(representatives(half, window))
+                for out, column in zip(found, stretches(words, window)):
+                    out.append(column)
                 digest = hashlib.sha256()
                 for n, part in enumerate(part for part in cuts(text) if part):
                     digest.update((b" " if n else b"") + b" ".join(part))
                 sizes.append(len(words))
                 digests.append(digest.hexdigest())
-                found.append(half[at].view(np.int64))
-                places.append(at)
             columns = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
-            columns += [_listed(found, pa.int64()).slice(1), _listed(places, pa.int32()).slice(1)]
-            yield pa.RecordBatch.from_arrays(
-                columns, ["doc_id", "k1", "k2", "n_words", "all_sha256", "names", "places"]
-            )
+            columns += [_listed(lists, kind).slice(1) for lists, kind in zip(found, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_words", "all_sha256", *_STRETCH])
 
     return docs.select(F.col("doc_id").cast("long"), *_key()).mapInArrow(run, _NARROW)
 
 
+def _with_counts(rows: DataFrame, counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows whose keys ``counts`` has, with its column ``value``; fewer than ``FREQUENT`` of its rows are broadcast."""
+    total = counts.agg(F.sum(value)).first()[0] or 0
+    is_frequent = F.col(value) * FREQUENT > total
+    often = F.broadcast(counts.filter(is_frequent))
+    marked = rows.join(often, keys, "left")
+    rare = marked.filter(F.col(value).isNull()).select(*rows.columns).join(counts.filter(~is_frequent), keys)
+    return rare.unionByName(marked.filter(F.col(value).isNotNull()))
+
+
 def _surviving(narrow: DataFrame) -> DataFrame | None:
-    """Per text its representatives that occur again anywhere, with their counts; None if there are none."""
-    rows = narrow.select(F.explode("names").alias("name"))
-    counts = settle(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "names")
-    total = counts.agg(F.sum("n")).first()[0]
-    if total is None:
+    """Per text its stretches whose representative occurs again; None if there are none.
+
+    ``recurs`` says that the stretch does, ``joins`` that its windows are to be counted.
+    """
+    names = narrow.select(F.explode("names").alias("name"))
+    counts = settle(names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "names")
+    if counts.isEmpty():
         return None
-    is_frequent = F.col("n") * FREQUENT > total
-    frequent = F.broadcast(counts.filter(is_frequent).withColumnRenamed("n", "often"))  # fewer than FREQUENT rows
-    texts = narrow.filter(F.size("names") > 0).groupBy("k1", "k2")
-    texts = texts.agg(F.first(F.arrays_zip("names", "places")).alias("r"))
-    rows = texts.select("k1", "k2", F.inline("r")).withColumnsRenamed({"names": "name", "places": "place"})
-    rows = rows.join(frequent, "name", "left")
-    rare = rows.filter("often is null").join(counts.filter(~is_frequent), "name").select("k1", "k2", "place", "n")
-    rest = rows.filter("often is not null").select("k1", "k2", "place", F.col("often").alias("n"))
-    return rare.unionByName(rest).groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "n")).alias("rivals"))
+    rows = narrow.select("row", F.inline(F.arrays_zip(*_STRETCH))).withColumnRenamed("names", "name")
+    rows = settle(_with_counts(rows, counts, ["name"], "n"), "level-1")
+    stretch = ["name", "u1", "u2"]
+    one = F.min(F.struct("row", "first", "many", "n")).alias("one")
+    equal = settle(rows.groupBy(*stretch).agg(F.count(F.lit(1)).alias("equal"), one), "level-2")
+    chosen = (F.col("one.row") == F.col("row")) & (F.col("one.first") == F.col("first"))
+    recurring = _with_counts(rows, equal.filter("equal > 1"), stretch, "equal")
+    recurring = recurring.withColumns({"recurs": F.lit(True), "joins": chosen & (F.col("n") > F.col("equal"))})
+    single = equal.filter("equal = 1").select("one.*").withColumns({"recurs": F.lit(False), "joins": F.lit(True)})
+    recurring = recurring.select(*single.columns)
+    keyed = recurring.unionByName(single).join(narrow.select("row", "k1", "k2"), "row")
+    once = keyed.groupBy("k1", "k2", "first").agg(
+        F.first("many").alias("many"), F.first("n").alias("n"), F.max("recurs").alias("recurs"), F.max("joins").alias("joins")
+    )
+    return once.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "many", "n", "recurs", "joins")).alias("rivals"))
+
+
+def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """All places of the windows of stretches."""
+    ends = np.cumsum(many)
+    return np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _windows(candidates: DataFrame, window: int) -> DataFrame:
-    """Full windows whose representative recurs, with the number of times they stand for.
+    """Full windows of the stretches that are to be counted, with the number of times they stand for.
 
     Of windows that recur within their text, the first is counted with all; the others, which need no more
     counting, are spread over parts below 0.
@@ -179,27 +218,25 @@ def _windows(candidates: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for batch in slices(batches, 64):
-            rivals = batch.column("rivals")
             for n, text in enumerate(batch.column("text").to_pylist()):
+                uid, rivals = batch.column("uid")[n].as_py(), batch.column("rivals")[n].values
+                joins = rivals.field("joins").to_numpy(zero_copy_only=False)
+                first, many, often, recurs = (
+                    rivals.field(c).to_numpy(zero_copy_only=False)[joins] for c in ("first", "many", "n", "recurs")
+                )
+                at, often = ranges(first, many), np.repeat(often, many)
                 words = names.of(text)
-                half = window_names(words[:, 0], half_length(window))
-                often = np.zeros(len(half), np.int64)
-                found = rivals[n].values
-                often[found.field("place").to_numpy()] = found.field("n").to_numpy()
-                often = often[representatives(half, window)]
-                at = np.flatnonzero(often)
                 h1, h2 = (window_names(words[:, side], window)[at] for side in (0, 1))
-                uid, copies = batch.column("uid")[n].as_py(), batch.column("copies")[n].as_py()
                 order = np.lexsort((at, h2, h1))
                 a, b = h1[order], h2[order]
-                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(at)]
-                times = np.diff(np.append(np.flatnonzero(first), len(at)))
+                is_first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(at)]
+                weight = np.where(np.repeat(recurs, many), 2, 1)[order]
                 count = np.full(len(at), 2)
-                count[first] = times * copies
+                count[is_first] = np.add.reduceat(weight, np.flatnonzero(is_first)) if len(at) else 0
                 spread = mix64(order.astype(np.uint64) + np.uint64(uid))
-                parts = np.where(often[at] >= MANY, np.sqrt(often[at]).astype(np.int64), 0)[order]
+                parts = np.where(often >= MANY, np.sqrt(often).astype(np.int64), 0)[order]
                 part = np.where(parts > 0, 1 + (spread % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
-                part = np.where(first, part, -1 - (spread >> np.uint64(44)).astype(np.int64))
+                part = np.where(is_first, part, -1 - (spread >> np.uint64(44)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(a.view(np.int64)),
@@ -212,7 +249,8 @@ def _windows(candidates: DataFrame, window: int) -> DataFrame:
                     ["h1", "h2", "uid", "place", "n", "part"],
                 )
 
-    return candidates.select("uid", "copies", "text", "rivals").mapInArrow(run, _WINDOWS)
+    joining = candidates.filter(F.exists("rivals", lambda r: r["joins"]))
+    return joining.select("uid", "text", "rivals").mapInArrow(run, _WINDOWS)
 
 
 def _recurring(windows: DataFrame) -> DataFrame:
@@ -240,13 +278,16 @@ def covered(places: np.ndarray, n_words: int, window: int) -> np.ndarray:
 
 def _cut_out(candidates: DataFrame, places: DataFrame, window: int) -> DataFrame:
     per_text = places.groupBy("uid").agg(F.collect_list("place").alias("places"))
+    whole = F.transform(F.filter("rivals", lambda r: r["recurs"]), lambda r: F.struct(r["first"], r["many"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             removed, kept, spans = [], [], []
             for n, text in enumerate(batch.column("text").to_pylist()):
                 n_words = sum(map(len, cuts(text)))
-                gone = covered(batch.column("places")[n].values.to_numpy(), n_words, window)
+                whole, single = (batch.column(c)[n].values for c in ("whole", "places"))
+                known = ranges(*(whole.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
+                gone = covered(np.concatenate([known, single.to_numpy(zero_copy_only=False)]).astype(np.int64), n_words, window)
                 out, at = [], 0
                 for words in cuts(text):
                     left = np.flatnonzero(~gone[at : at + len(words)])
@@ -267,8 +308,10 @@ def _cut_out(candidates: DataFrame, places: DataFrame, window: int) -> DataFrame
                 ["k1", "k2", "n_removed", "kept", "spans"],
             )
 
-    joined = candidates.select("uid", "k1", "k2", "text").join(per_text, "uid")
-    return joined.select("k1", "k2", "text", "places").mapInArrow(run, _KEPT)
+    joined = candidates.select("uid", "k1", "k2", "text", whole.alias("whole")).join(per_text, "uid", "left")
+    joined = joined.withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    joined = joined.filter((F.size("whole") > 0) | (F.size("places") > 0))
+    return joined.select("k1", "k2", "text", "whole", "places").mapInArrow(run, _KEPT)
 
 
 def _texts_with_repeats(docs: DataFrame, narrow: DataFrame, window: int) -> DataFrame:
@@ -276,8 +319,10 @@ def _texts_with_repeats(docs: DataFrame, narrow: DataFrame, window: int) -> Data
     rivals = _surviving(narrow)
     if rivals is None:
         return docs.sparkSession.createDataFrame([], _KEPT)
-    once = docs.select(*_key()).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    candidates = settle(once.join(rivals, ["k1", "k2"]).withColumn("uid", F.monotonically_increasing_id()), "candidates")
+    rivals = settle(rivals, "rivals")
+    texts = docs.select(*_key()).join(rivals.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(rivals, ["k1", "k2"])
+    candidates = settle(once.withColumn("uid", F.monotonically_increasing_id()), "candidates")
     return _cut_out(candidates, _recurring(_windows(candidates, window)), window)
 
 
@@ -286,7 +331,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of ``window`` words covers it whose words also start anywhere else, in any document.
     """
-    narrow = settle(_narrow(docs, window), "narrow")
+    narrow = settle(_narrow(docs, window).withColumn("row", F.monotonically_increasing_id()), "narrow")
     changed = _texts_with_repeats(docs, narrow, window)
     digests = changed.select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "spans")
     joined = narrow.select("doc_id", "k1", "k2", "n_words", "all_sha256").join(digests, ["k1", "k2"], "left")
@@ -301,7 +346,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the words that are kept, joined by one space, as the text of rows that lose any."""
-    narrow = settle(_narrow(docs.select("doc_id", "text"), window), "narrow")
+    narrow = settle(_narrow(docs, window).withColumn("row", F.monotonically_increasing_id()), "narrow")
     changed = _texts_with_repeats(docs, narrow, window).select("k1", "k2", "kept")
     k1, k2, kept = unused(docs, "k1", "k2", "kept")
     changed = changed.withColumnsRenamed({"k1": k1, "k2": k2, "kept": kept})
