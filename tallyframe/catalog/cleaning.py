@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from tallyframe.catalog import Query, big, table
 from tallyframe.operators import clean, derive
-from tallyframe.sources.csv import drop_unnamed, scan_csv
-from tallyframe.sources.tables import head, ingest, write_result
-from tallyframe.workspace import new_path
+from tallyframe.sources.csv import drop_unnamed, scan_checked, scan_csv
+from tallyframe.sources.tables import head, ingest, ingest_again, ingest_checked, write_result
+from tallyframe.workspace import new_path, settle
 
 
 def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,6 +47,58 @@ def _ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _ingest_again(spark: SparkSession, sf: str) -> DataFrame:
+    # All years; one year a second time as it is; another year corrected. Files of the other years stay the same.
+    orders = table(spark, sf, "orders").withColumn("o_year", F.year("o_orderdate"))
+    path = new_path(spark, "orders-again")
+    first = ingest(orders, path, ["o_year"])
+    before = settle(_files(first), "files")
+    ingest_again(orders.filter("o_year = 1995"), path, ["o_year"])
+    corrected = orders.filter("o_year = 1996").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    after = ingest_again(corrected, path, ["o_year"])
+    sums = after.groupBy("o_year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    files = before.join(_files(after).withColumnRenamed("files", "now"), "o_year")
+    untouched = (F.col("files") == F.col("now")).alias("untouched")
+    return sums.join(files, "o_year").select(big("o_year").alias("o_year"), "n", "total", untouched)
+
+
+def _files(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("o_year").agg(F.array_sort(F.collect_set("_metadata.file_name")).alias("files"))
+
+
+def _ingest_checked(infer: bool):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        # Numbers that are none, and lines with a field too many, written into the lines of a file.
+        key = F.col("p_partkey")
+        cells = [
+            F.when(key % 401 == 0, "none").otherwise(key.cast("string")),
+            F.regexp_replace("p_name", ",", " "),
+            F.when(key % 211 == 0, "large").when(key % 10 == 0, "").otherwise(F.col("p_size").cast("string")),
+            F.when(key % 307 == 0, F.lit("1,5")).otherwise(F.col("p_retailprice").cast("string")),
+        ]
+        path = new_path(spark, "part-lines")
+        table(spark, sf, "part").select(F.concat_ws(",", *cells)).write.text(path)
+        types = T.StructType.fromDDL("p_partkey bigint, p_size int, p_retailprice double")
+        names = ["p_partkey", "p_name", "p_size", "p_retailprice"]
+        checked = scan_checked(spark, path, None if infer else types, infer, names)
+        good, bad, counts = ingest_checked(checked, new_path(spark, "part-checked"))
+        totals = good.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("p_size").cast("long")).alias("size"))
+        stored = bad.groupBy("cause").agg(F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("long").alias("size"))
+        rows = totals.select(F.lit("good").alias("cause"), "n_rows", "size").unionByName(stored)
+        bad_rows = sum(n for c, n in counts.items() if c != "rows")
+        seen = {**counts, "good": counts["rows"] - bad_rows}
+        counted = F.coalesce(*[F.when(F.col("cause") == c, F.lit(n).cast("long")) for c, n in seen.items()])
+        return rows.withColumn("counted", counted)
+
+    return run
+
+
+_CHECKED_SQL = """WITH marked AS (SELECT p_size, p_partkey, CASE WHEN p_partkey % 307 = 0 THEN 'line'
+  WHEN p_partkey % 401 = 0 THEN 'p_partkey' WHEN p_partkey % 211 = 0 THEN 'p_size' ELSE 'good' END AS cause FROM part)
+SELECT cause, count(*) AS n_rows, count(*) AS counted,
+  (sum(p_size) FILTER (WHERE cause = 'good' AND p_partkey % 10 <> 0))::BIGINT AS size FROM marked GROUP BY cause"""
+
+
 def _write_result(spark: SparkSession, sf: str) -> DataFrame:
     counts = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     path = write_result(counts, new_path(spark, "priorities"), "json")
@@ -145,6 +197,14 @@ QUERIES: dict[str, Query] = {
         """SELECT year(o_orderdate) AS o_year, count(*) AS n, round(sum(o_totalprice), 2) AS total
         FROM orders GROUP BY ALL""",
     ),
+    "ingest_again": Query(
+        _ingest_again,
+        """WITH o AS (SELECT year(o_orderdate) AS o_year, o_totalprice FROM orders)
+        SELECT o_year, count(*) AS n, o_year NOT IN (1995, 1996) AS untouched,
+        round(sum(CASE WHEN o_year = 1996 THEN 2 * o_totalprice ELSE o_totalprice END), 2) AS total FROM o GROUP BY o_year""",
+    ),
+    "ingest_checked": Query(_ingest_checked(False), _CHECKED_SQL),
+    "ingest_checked_inferred": Query(_ingest_checked(True), _CHECKED_SQL),
     "write_result": Query(_write_result, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL"),
     "head": Query(
         lambda s, d: head(

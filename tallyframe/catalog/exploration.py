@@ -13,8 +13,10 @@ from tallyframe.catalog.modelling import sample_check
 from tallyframe.catalog.profiles import distributions_sql
 from tallyframe import presets as P
 from tallyframe.operators import box, explore as ops, quantile
-from tallyframe.operators.clean import sentinel_to_null
+from tallyframe.operators.clean import drop_incomplete, sentinel_to_null
 from tallyframe.plans.explore import explore, severe
+from tallyframe.sources.tables import bucketed
+from tallyframe.workspace import new_path, settle
 
 _SHARE_SQL = """SELECT {col} AS value, count(*) AS count, round(100.0 * count(*) / {total}, 1) AS pct,
   printf('%.1f%%', round(100.0 * count(*) / {total}, 1)) || chr(10) || '(' || count(*) || ')' AS label
@@ -57,6 +59,19 @@ def _rounded_boxes(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", big("pos")) if "pos" in df.columns else df
 
 
+def _box_stats_approx(spark: SparkSession, sf: str) -> DataFrame:
+    # Estimated quartiles are judged by their exact ranks, whiskers by the values that there are.
+    events = table(spark, sf, "events")
+    boxes = settle(box.box_stats(events, "event_type", "value", approx=True), "boxes")
+    known = drop_incomplete(events.select(F.col("event_type").alias("group"), F.col("value").alias("y"))).join(boxes, "group")
+    near, y = F.lit(True), F.col("y")
+    for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        below, upto = (F.count_if(test) / F.count(F.lit(1)) for test in (y < F.col(c), y <= F.col(c)))
+        near = near & (below <= p + 0.01) & (upto >= p - 0.01)
+    ends = [F.count_if(y == F.col(c)) > 0 for c in ("whisker_lo", "whisker_hi")]
+    return known.groupBy("group", "n").agg(near.alias("near"), (ends[0] & ends[1]).alias("whiskers_inside"))
+
+
 def _ordered_sql(order: list[str]) -> str:
     places = ", ".join(f"({i}::BIGINT, '{g}')" for i, g in enumerate(order))
     return f"""SELECT pos, {_BOX_SELECT} FROM (VALUES {places}) p(pos, "group") LEFT JOIN b USING ("group")"""
@@ -82,14 +97,48 @@ def _region_trend(spark: SparkSession, sf: str) -> DataFrame:
         "r_name",
         "o_orderdate",
         via=[
-            # orders of the other customers are in no region
-            (table(spark, sf, "customer").filter("c_custkey % 3 <> 0"), "o_custkey", "c_custkey"),
+            (table(spark, sf, "customer"), "o_custkey", "c_custkey"),
+            (table(spark, sf, "nation"), "c_nationkey", "n_nationkey"),
+            (table(spark, sf, "region"), "n_regionkey", "r_regionkey"),
+        ],
+    )
+
+
+_TREND_SQL = """SELECT r_name AS region, year(o_orderdate) AS year, count(*) AS count
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+  LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
+_BUCKETS = 8
+
+
+def _region_trend_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    # Both large tables in buckets of the customer: neither counting nor joining them shuffles a row.
+    orders = bucketed(table(spark, sf, "orders"), new_path(spark, "orders-bucketed"), ["o_custkey"], _BUCKETS)
+    customers = bucketed(table(spark, sf, "customer"), new_path(spark, "customers-bucketed"), ["c_custkey"], _BUCKETS)
+    return ops.region_trend(
+        orders,
+        "r_name",
+        "o_orderdate",
+        via=[
+            (customers, "o_custkey", "c_custkey"),
             (table(spark, sf, "nation"), "c_nationkey", "n_nationkey"),
             (table(spark, sf, "region"), "n_regionkey", "r_regionkey"),
         ],
     )
 
 
+_WIDE = 200
+
+
+def _corr_wide(spark: SparkSession, sf: str) -> DataFrame:
+    # Weighted sums of five columns, so that all pairs follow from the covariances of the five.
+    items = table(spark, sf, "lineitem")
+    base = [F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100]
+    base.append(F.col("l_linenumber").cast("double"))
+    sums = [sum((x * ((i * (b + 3) + b * b) % 11 - 5) for b, x in enumerate(base)), F.lit(0.0)) for i in range(_WIDE)]
+    wide = items.select(*[total.alias(f"x{i}") for i, total in enumerate(sums)])
+    return ops.corr_matrix(wide, wide.columns).withColumn("r", rounded("r"))
+
+
 _CORR_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
@@ -164,10 +213,21 @@ QUERIES: dict[str, Query] = {
     ),
     "region_trend": Query(
         _region_trend,
-        """WITH known AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0)
-        SELECT r_name AS region, year(o_orderdate) AS year, count(*) AS count
-        FROM orders LEFT JOIN known ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
-        LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
+        _TREND_SQL,
+    ),
+    "region_trend_bucketed": Query(_region_trend_bucketed, _TREND_SQL),
+    "corr_wide": Query(
+        _corr_wide,
+        f"""WITH base AS (SELECT l_quantity AS x0, l_extendedprice / 1000 AS x1, l_discount * 100 AS x2, l_tax * 100 AS x3,
+          l_linenumber::DOUBLE AS x4 FROM lineitem),
+        cov AS (SELECT unnest([{", ".join(f"{{'b': {b}, 'c': {c}, 'v': covar_samp(x{b}, x{c})}}" for b in range(5) for c in range(5))}],
+          recursive := true) FROM base),
+        weights AS (SELECT i, b, (i * (b + 3) + b * b) % 11 - 5 AS w FROM range({_WIDE}) r(i), range(5) s(b)),
+        half AS (SELECT i, c, sum(w * v) AS v FROM weights JOIN cov USING (b) GROUP BY ALL),
+        pairs AS (SELECT h.i AS i, w.i AS j, sum(h.v * w.w) AS v FROM half h JOIN weights w ON w.b = h.c GROUP BY ALL),
+        own AS (SELECT i, v FROM pairs WHERE i = j)
+        SELECT 'x' || p.i AS a, 'x' || p.j AS b, round(p.v / (sqrt(o.v) * sqrt(q.v)), 6) + 0.0 AS r
+        FROM pairs p JOIN own o ON o.i = p.i JOIN own q ON q.i = p.j""",
     ),
     "geo_centre": Query(
         lambda s, d: _rounded_grid(ops.geo_centre(table(s, d, "customer"), "c_acctbal", "c_nationkey")),
@@ -187,8 +247,11 @@ QUERIES: dict[str, Query] = {
         lambda s, d: _rounded_boxes(box.box_stats(table(s, d, "events"), "event_type", "value", _BOX_ORDER)),
         _box_sql("event_type", "value", "events") + _ordered_sql(_BOX_ORDER),
     ),
-    # Estimates have no SQL twin; the tests compare them with the exact ones.
-    "box_stats_approx": Query(lambda s, d: box.box_stats(table(s, d, "events"), "event_type", "value", approx=True)),
+    "box_stats_approx": Query(
+        _box_stats_approx,
+        """SELECT event_type AS "group", count(*) AS n, true AS near, true AS whiskers_inside FROM events
+        WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type""",
+    ),
     "exact_quantiles": Query(
         _exact_quantiles,
         """SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.01), 6) AS q0,

@@ -11,6 +11,7 @@ from tallyframe.catalog.accidents import CTE, accidents
 from tallyframe import presets as P
 from tallyframe.operators import balance as b
 from tallyframe.operators import evaluate, features
+from tallyframe.operators.dictionary import category_dictionary, index_values
 from tallyframe.operators.clean import sentinel_to_null
 from tallyframe.plans import classify
 from tallyframe.plans.prepare import prepare_model
@@ -63,6 +64,57 @@ def _balance(spark: SparkSession, sf: str) -> DataFrame:
     return before.join(after, "class", "left").select("class", "n", F.coalesce(near, F.lit(False)).alias("near_target"))
 
 
+def _draws_with_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    return b.draws_by_hash(table(spark, sf, "labels").select("doc_id", "quality"), ["doc_id"], "quality", 0)
+
+
+def _draws_of_rare_class(spark: SparkSession, sf: str) -> DataFrame:
+    # Each toxic row is drawn many times, as the sum of several draws; what comes out are the copies themselves.
+    drawn = b.balance_by_draws(table(spark, sf, "labels").select("doc_id", "toxic"), ["doc_id"], "toxic", 0)
+    return drawn.withColumn("copy", big("copy"))
+
+
+def _draws_sql(label: str, target: int) -> str:
+    return f"""WITH counts AS (SELECT {label} AS class, count(*) AS n FROM labels WHERE {label} IS NOT NULL GROUP BY ALL),
+    ratios AS (SELECT class, (SELECT n FROM counts WHERE class = {target})::DOUBLE / n AS ratio FROM counts),
+    parts AS (SELECT *, greatest(ceil(ratio / 8), 1)::BIGINT AS parts FROM ratios),
+    upto AS (SELECT class, parts, sum(exp(-ratio / parts) * pow(ratio / parts, k) / gamma(k + 1))
+        OVER (PARTITION BY class ORDER BY k) AS upto FROM parts, range(41) r(k)),
+    tables AS (SELECT class, any_value(parts) AS parts, list(upto) AS upto FROM upto GROUP BY class),
+    units AS (SELECT doc_id, {label}, upto, unnest(range(1, parts + 1)) AS part FROM labels JOIN tables ON {label} = class),
+    drawn AS (SELECT doc_id, {label}, sum(len(list_filter(upto, lambda x:
+        x <= ('0x' || substr(md5('42:' || doc_id || ':' || part), 9, 8))::BIGINT / 4294967296::DOUBLE)))::BIGINT AS copies
+      FROM units GROUP BY ALL),
+    copied AS (SELECT doc_id, {label}, CASE {label} WHEN {target} THEN 1 ELSE copies END AS copies FROM drawn)"""
+
+
+def _sample_capped(spark: SparkSession, sf: str) -> DataFrame:
+    return b.sample_capped(table(spark, sf, "events").select("event_id", "value"), ["event_id"], 1000)
+
+
+def _sample_capped_large(spark: SparkSession, sf: str) -> DataFrame:
+    # A small bound on what tasks keep in heaps, so that the passes over the digits are taken.
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return b.sample_capped(items, ["l_orderkey", "l_linenumber"], 3000, in_task=100)
+
+
+def _capped_sql(source: str, cols: str, key: list[str], cap: int) -> str:
+    text = " || ':' || ".join(key)
+    return f"""SELECT {cols} FROM {source}
+    ORDER BY ('0x' || substr(md5('42:' || {text}), 17, 15))::BIGINT, {", ".join(key)} LIMIT {cap}"""
+
+
+def _dictionary_index(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return index_values(orders, ["o_custkey", "o_orderpriority"]).select(
+        "o_orderkey", "o_custkey_idx", "o_orderpriority_idx"
+    )
+
+
+def _category_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return category_dictionary(table(spark, sf, "lineitem"), ["l_partkey", "l_returnflag", "l_orderkey"])
+
+
 def _split(parts: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
     train, test = (df.select(key) for df in parts)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -265,6 +317,32 @@ def _tune(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "draws_with_replacement": Query(
+        _draws_with_replacement, _draws_sql("quality", 0) + " SELECT doc_id, quality, copies FROM copied"
+    ),
+    "draws_of_rare_class": Query(
+        _draws_of_rare_class,
+        _draws_sql("toxic", 0) + " SELECT doc_id, toxic, unnest(range(1, copies + 1)) AS copy FROM copied",
+    ),
+    "sample_capped": Query(_sample_capped, _capped_sql("events", "event_id, value", ["event_id"], 1000)),
+    "sample_capped_large": Query(
+        _sample_capped_large,
+        _capped_sql("lineitem", "l_orderkey, l_linenumber, l_extendedprice", ["l_orderkey", "l_linenumber"], 3000),
+    ),
+    "dictionary_index": Query(
+        _dictionary_index,
+        f"""SELECT o_orderkey, c.idx AS o_custkey_idx, p.idx AS o_orderpriority_idx FROM orders
+        JOIN {_frequency_index_sql("orders", "o_custkey")} c ON c.v = o_custkey
+        JOIN {_frequency_index_sql("orders", "o_orderpriority")} p ON p.v = o_orderpriority""",
+    ),
+    "category_dictionary": Query(
+        _category_dictionary,
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", {c}::VARCHAR AS value, count(*) AS count,
+            row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR) - 1 AS "index" FROM lineitem GROUP BY {c}"""
+            for c in ("l_partkey", "l_returnflag", "l_orderkey")
+        ),
+    ),
     "class_counts": Query(_class_counts, "SELECT quality AS class, count(*) AS n FROM labels GROUP BY ALL"),
     "class_ratios": Query(
         _class_ratios,
@@ -379,7 +457,8 @@ QUERIES: dict[str, Query] = {
         WHERE {_DIGEST_SQL.format(start=1)} % 100 >= 70 GROUP BY ALL""",
     ),
     "model_f1": Query(_model_f1, "SELECT true AS as_evaluator, true AS is_share"),
-    "model_report": Query(_model_report),
+    # features: 2 numbers of each row, one slot per category and one for others; classes: those of the training rows
+    "model_report": Query(_model_report, "MODEL_REPORT_SQL"),
     "label_mapping": Query(
         _label_mapping,
         f"""WITH {CTE}, c AS (SELECT DISTINCT Accident_Severity AS code, Severity_Label AS name FROM labelled)

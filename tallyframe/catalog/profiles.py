@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tallyframe.catalog import Query, big, rounded, table
 from tallyframe.catalog.accidents import CTE, accidents
 from tallyframe import presets as P
-from tallyframe.operators import profile
+from tallyframe.operators import profile, sketches
 from tallyframe.operators.clean import sentinel_to_null
 from tallyframe.plans.quality import quality
+from tallyframe.workspace import settle
 
 
 def _null_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,6 +32,67 @@ def _distinct_report_approx(spark: SparkSession, sf: str) -> DataFrame:
     return _distinct_report(spark, sf, approx=True).join(exact, "column").select("column", near.alias("near"))
 
 
+_SKETCHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _distinct_stored(spark: SparkSession, sf: str) -> DataFrame:
+    # One sketch a month, united; beside it the sketch of the whole table, and the exact numbers.
+    orders = table(spark, sf, "orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
+    of_months = settle(sketches.distinct_sketches(orders, _SKETCHED, ["month"]), "monthly")
+    of_all = settle(sketches.distinct_sketches(orders, _SKETCHED, []), "whole")
+    exact = profile.distinct_report(orders, _SKETCHED).select("column", F.col("n_distinct").alias("n"))
+    whole = sketches.distinct_estimates(of_all).select("column", F.col("n_distinct").alias("of_all"))
+    joined = sketches.distinct_estimates(of_months).join(whole, "column").join(exact, "column")
+    near = F.abs(F.col("n_distinct") - F.col("n")) <= 5 * 1.04 / 2 ** (sketches.DISTINCT_LG_K / 2) * F.col("n")
+    same = F.col("n_distinct") == F.col("of_all")
+    return joined.select("column", "n_rows", near.alias("near"), same.alias("same_as_whole"))
+
+
+def _quantiles_stored(spark: SparkSession, sf: str) -> DataFrame:
+    # One sketch a day and type, merged by type; the exact rank of each answer is counted and compared.
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    daily = settle(sketches.quantile_sketches(events, ["day", "event_type"], "value"), "daily")
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    merged = settle(sketches.merged_quantiles(daily, ["event_type"], probs), "merged")
+    known = events.select("event_type", F.col("value").cast("double").alias("y")).filter("y is not null and not isnan(y)")
+    at = [F.get("quantiles", F.lit(i)) for i in range(len(probs))]
+    ranks = known.join(merged, "event_type").groupBy("event_type", "n").agg(
+        *[F.struct(F.count_if(F.col("y") < q), F.count_if(F.col("y") <= q)).alias(f"r{i}") for i, q in enumerate(at)]
+    )
+    error = sketches.RANK_ERROR * F.col("n")
+    near = [
+        F.col(f"r{i}.col1") <= p * F.col("n") + error if right else F.col(f"r{i}.col2") >= p * F.col("n") - error
+        for i, p in enumerate(probs)
+        for right in (True, False)
+    ]
+    inside = near[0]
+    for n in near[1:]:
+        inside = inside & n
+    return ranks.select("event_type", "n", inside.alias("near"))
+
+
+_FREQUENT = ["l_returnflag", "l_linenumber", "l_quantity", "l_suppkey", "l_orderkey"]
+
+
+def _frequent_values(spark: SparkSession, sf: str) -> DataFrame:
+    # Where the summary cannot be sure, the result says so, and the candidates are left out.
+    top = sketches.frequent_values(table(spark, sf, "lineitem"), _FREQUENT)
+    sure = [F.when(F.col("certain"), F.col(c)).alias(c) for c in ("rank", "value", "count")]
+    return top.select("column", "n_rows", *sure, "certain").distinct().withColumn("rank", big("rank"))
+
+
+def _frequent_sql(cols: list[str]) -> str:
+    share = f"(1 / {sketches.TRACKED // 2}::DOUBLE + 7 / {sketches.TRACKED}::DOUBLE)"
+    return f"""WITH pairs AS ({_pairs_sql("lineitem", cols)}),
+    totals AS (SELECT "column", sum(count)::BIGINT AS n_rows, count(*) AS n_distinct FROM pairs GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value NULLS LAST) AS rank FROM pairs),
+    top AS (SELECT *, min(count) OVER w AS last, count(*) OVER w AS found FROM ranked JOIN totals USING ("column")
+      WHERE rank <= 5 WINDOW w AS (PARTITION BY "column")),
+    sure AS (SELECT *, n_distinct <= {sketches.TRACKED // 2} OR found = 5 AND last > n_rows * {share} AS certain FROM top)
+    SELECT DISTINCT "column", n_rows, CASE WHEN certain THEN rank END AS rank, CASE WHEN certain THEN value END AS value,
+      CASE WHEN certain THEN count END AS count, certain FROM sure"""
+
+
 def _categorical_profile(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     cols = ["p_brand", "p_type", "p_name", "p_size"]
@@ -116,6 +178,18 @@ _LINE_COLUMNS = [
 _ACCIDENT_COLUMNS = ["Date", "Day_of_Week", "Accident_Severity", "Time", "Year", *_PROFILE_PRESENT[:1]]
 
 QUERIES: dict[str, Query] = {
+    "distinct_stored": Query(
+        _distinct_stored,
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(*) AS n_rows, true AS near, true AS same_as_whole FROM orders"""
+            for c in _SKETCHED
+        ),
+    ),
+    "quantiles_stored": Query(
+        _quantiles_stored,
+        """SELECT event_type, count(*) AS n, true AS near FROM events
+        WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type""",
+    ),
     "row_count": Query(
         lambda s, d: profile.row_count(table(s, d, "lineitem")), "SELECT count(*) AS n_rows FROM lineitem"
     ),
@@ -135,6 +209,7 @@ QUERIES: dict[str, Query] = {
         lambda s, d: profile.top_k(table(s, d, "part"), "p_brand", 5),
         "SELECT p_brand AS value, count(*) AS count FROM part GROUP BY ALL ORDER BY count DESC, value LIMIT 5",
     ),
+    "frequent_values": Query(_frequent_values, _frequent_sql(_FREQUENT)),
     "distinct_report": Query(
         _distinct_report,
         " UNION ALL ".join(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,35 +115,25 @@ def _complete_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair of numeric columns; null if one of them is constant.
 
-    Two passes over all complete rows: the means, then the sums of products of deviations. In the second a row
-    is taken once per column, so that one short aggregate per *column* does for all pairs: one aggregate per
-    pair makes code too long to be compiled. Only one row of sums per column leaves a task.
+    All complete rows are read as one vector each: once for the bounds of the columns, once for their means, and once
+    for the products of deviations, which each task adds up in one matrix of
+    (columns x columns) numbers. Matrices of tasks are merged in a tree; one of them is all that the driver sees.
     """
     _numeric_columns(df, cols)
-    numbers = _complete_numbers(df, cols)
-    bounds = [
-        F.struct(F.min(named(c)).alias("lo"), F.max(named(c)).alias("hi"), F.avg(named(c)).alias("mean")).alias(c)
-        for c in cols
-    ]
-    known = numbers.agg(*bounds).first()
-    # By value, not by variance: the rounding of a constant's mean must not pass for variance.
-    varying = [c for c in cols if known[c]["lo"] is not None and known[c]["lo"] < known[c]["hi"]]
-    sums = _products(numbers, varying, [known[c]["mean"] for c in varying]) if varying else {}
-    rows = []
-    for a in cols:
-        for b in cols:
-            spread = math.sqrt(sums[a, a]) * math.sqrt(sums[b, b]) if a in varying and b in varying else 0.0
-            rows.append((a, b, sums[a, b] / spread if spread else None))
+    vectors = _vectors(_complete_numbers(df, cols), cols)
+    rows = [(a, b, None) for a in cols for b in cols]
+    if len(vectors.take(2)) == 2:
+        known = vectors.select(Summarizer.metrics("min", "max").summary(F.col("row")).alias("s")).first()["s"]
+        r = Correlation.corr(vectors, "row").first()[0].toArray()
+        # By value, not by variance: the rounding of a constant's mean must not pass for variance.
+        varies = known["max"].toArray() > known["min"].toArray()
+        rows = [
+            (a, b, float(r[i, j]) if varies[i] and varies[j] else None)
+            for i, a in enumerate(cols)
+            for j, b in enumerate(cols)
+        ]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
-def _products(numbers: DataFrame, cols: Sequence[str], means: Sequence[float]) -> dict[tuple[str, str], float]:
-    """Sum of the products of deviations for every pair of columns: as many numbers as the result has rows."""
-    names = [f"d{i}" for i in range(len(cols))]
-    deviations = numbers.select(*[(named(c) - F.lit(m)).alias(d) for c, m, d in zip(cols, means, names, strict=True)])
-    per_column = (
-        deviations.select(*names, F.posexplode(F.array(*names)).alias("i", "d"))
-        .groupBy("i")
-        .agg(*[F.sum(F.col("d") * F.col(d)).alias(d) for d in names])
-    )
-    return {(cols[r["i"]], b): r[d] for r in per_column.collect() for b, d in zip(cols, names, strict=True)}
+def _vectors(numbers: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return numbers.select(array_to_vector(F.array(*[named(c) for c in cols])).alias("row"))
