@@ -16,9 +16,11 @@ from typing import IO
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.columns import unused
+from tallyframe.llm.common import slices
 from tallyframe.workspace import settle
 
 #: Bytes of distinct contents that a table holds before its records are split further.
@@ -133,7 +135,7 @@ def _fold_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> Iterator[tuple]:
         table = ContentTable()
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 content = normalised(text)
                 table.add(xxhash.xxh3_64_intdigest(content), content, doc_id, 1, 1)
@@ -148,7 +150,7 @@ def _fold_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _class_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[Record]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 yield key & 0xFFFFFFFFFFFFFFFF, *rest
 
@@ -157,7 +159,7 @@ def _class_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         digests = [hashlib.sha256(normalised(t)).hexdigest() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["doc_id", "text_sha256"])
 
@@ -201,17 +203,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id with an equal text one stays.
     """
+    of, at = unused(docs, "keep", "digest")
     kept = settle(classes(docs), "classes").select(
-        F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha256"), "keep_rows"
+        F.col("keep_id").alias("keep"), F.col("text_sha256").alias("sha256"), "keep_rows"
     )
-    digest = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _UPPER.lower()), 256)
-    rows = docs.withColumn("_digest", digest)
-    same = (rows["_digest"] == kept["_sha256"]) & rows["doc_id"].cast("long").eqNullSafe(kept["_keep"])
-    once = rows.join(kept.filter("keep_rows = 1"), same, "left_semi").drop("_digest")
+    rows = docs.withColumns({of: F.col("doc_id").cast("long"), at: _digest()})
+    same = (rows[at] == kept["sha256"]) & rows[of].eqNullSafe(kept["keep"])
+    once = rows.join(kept.filter("keep_rows = 1"), same, "left_semi").drop(of, at)
     if kept.filter("keep_rows > 1").isEmpty():
         return once
-    repeated = rows.join(kept.filter("keep_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return once.unionByName(repeated.drop("_digest"))
+    repeated = rows.join(kept.filter("keep_rows > 1"), same, "left_semi").dropDuplicates([of, at])
+    return once.unionByName(repeated.drop(of, at))
+
+
+def _digest() -> Column:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.sha2(F.translate(text, _UPPER, _UPPER.lower()), 256)
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import fold
+from tallyframe.functions.columns import unused
+from tallyframe.llm.common import fold, slices
+from tallyframe.operators.rank import with_position
+from tallyframe.workspace import settle
 
 #: Length of a profile.
 PROFILE = 400
 #: Documents that a profile is learned from, at most about so many a language; a documented bound.
 LEARN_FROM = 4000
-#: Languages, at most: profiles are sent to every task, PROFILE n-grams each.
-MOST_LANGUAGES = 512
+#: Languages whose profiles a task holds at a time, PROFILE n-grams each; more of them take more passes.
+LANGUAGES = 128
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,37 +69,33 @@ def ranked(grams: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
     return grams[np.lexsort((grams, -times))[:n]]
 
 
-def learn(labelled: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM) -> dict[str, list[int]]:
-    """Profiles of the languages in ``labelled`` (doc_id, text, lang), from about ``learn_from`` documents each.
+def learn(labelled: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM) -> DataFrame:
+    """Profiles of the languages in ``labelled`` (doc_id, text, lang): lang, place (of the language), rank, gram.
 
-    Documents are chosen by a hash of the id, so reruns agree. Rows without text or lang teach nothing.
+    A language is learned from about ``learn_from`` documents, chosen by a hash of the id, so reruns agree. Rows
+    without text or lang teach nothing. Languages are numbered by code point; there may be any number of them.
     """
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return {}
-    spark = labelled.sparkSession
-    share = spark.createDataFrame([(r["lang"], min(1.0, learn_from / r["count"])) for r in sizes], "lang string, share double")
+    sizes = with_position(settle(rows.groupBy("lang").count(), "languages"), [F.asc("lang")], "place")
+    shares = settle(sizes.select("lang", "place", (F.lit(float(learn_from)) / F.col("count")).alias("share")), "shares")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")
+    chosen = rows.join(shares, "lang").filter(draw < F.col("share")).select("place", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, held, n = Grams(), {}, 0
 
         def out() -> pa.RecordBatch:
-            langs, found, times = [], [_NONE], [_NONE]
+            langs, found, times = [_NONE], [_NONE], [_NONE]
             for lang, parts in held.items():
                 of, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 found.append(of)
                 times.append(np.bincount(back, np.concatenate([p[1] for p in parts]), len(of)).astype(np.int64))
-                langs += [lang] * len(of)
+                langs.append(np.full(len(of), lang, np.int64))
             held.clear()
-            arrays = [pa.array(langs, pa.string()), pa.array(np.concatenate(found)), pa.array(np.concatenate(times))]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "n"])
+            arrays = [pa.array(np.concatenate(x)) for x in (langs, found, times)]
+            return pa.RecordBatch.from_arrays(arrays, names=["place", "gram", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = grams.count(text)
                 held.setdefault(lang, []).append(counts)
@@ -106,13 +105,10 @@ def learn(labelled: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM
                     n = 0
         yield out()
 
-    counts = chosen.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    counts = chosen.mapInArrow(task, "place long, gram long, n long").groupBy("place", "gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("place").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
-    profiles: dict[str, list[int]] = {r["lang"]: [] for r in sizes}
-    for row in best.orderBy("lang", "rank").collect():  # at most MOST_LANGUAGES * size rows
-        profiles[row["lang"]].append(row["gram"])
-    return {lang: grams for lang, grams in profiles.items() if grams}
+    return settle(best.join(shares.select("lang", "place"), "place").select("lang", "place", "rank", "gram"), "profiles")
 
 
 class Ranker:
@@ -137,27 +133,62 @@ class Ranker:
         return self.langs[best], float(1.0 - distance[best] / (self.size * len(own)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (doc_id alone by default), with lang_pred and score (0 to 1).
+def _held(profiles: DataFrame, first: int) -> dict[str, list[int]]:
+    """The profiles of ``LANGUAGES`` languages, from the one at place ``first`` on."""
+    some = profiles.filter(F.col("place").between(first, first + LANGUAGES - 1)).orderBy("place", "rank")
+    found: dict[str, list[int]] = {}
+    for row in some.select("lang", "gram").collect():  # LANGUAGES * size rows at most
+        found.setdefault(row["lang"], []).append(row["gram"])
+    return found
 
-    A text that is null or without a letter is ``und`` with score 0, as is every text when nothing was learned.
-    Equal distances give the first language by code point. Rows that repeat stay; only text is looked at. If
-    ``docs`` has a column named lang_pred or score, leave it out of ``keep``.
-    """
-    keep = ["doc_id"] if keep is None else keep
-    kinds = docs.select(*keep).schema
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["lang_pred string", "score double"])
-    seen = docs.select(*keep, F.col("text").cast("string").alias("_text_to_read"))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranking(profiles: dict[str, list[int]], size: int):
+    """A function of texts: the nearest of the profiles, the score, and whether the text has a letter."""
+
+    @F.arrow_udf("struct<lang:string,score:double,letters:boolean>")
+    def rank(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams, ranker = Grams(), Ranker(profiles, size)
-        for batch in batches:
-            found = [ranker.predict(*grams.count(t)) for t in batch.column(len(keep)).to_pylist()]
-            langs, scores = zip(*found) if found else ((), ())
-            arrays = [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
+        for whole in texts:
+            parts = []
+            for at in range(0, len(whole), 256):
+                counts = [grams.count(t) for t in whole.slice(at, 256).to_pylist()]
+                langs, scores = zip(*(ranker.predict(*c) for c in counts))
+                arrays = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([len(c[0]) > 0 for c in counts])]
+                parts.append(pa.StructArray.from_arrays(arrays, ["lang", "score", "letters"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("score", pa.float64()), ("letters", pa.bool_())]))
+
+    return rank
+
 
-    return seen.mapInArrow(task, ddl)
+def predicted(docs: DataFrame, profiles: DataFrame, out: str, size: int = PROFILE) -> DataFrame:
+    """``docs`` with a column ``out``: the language predicted, its score (0 to 1), and whether the text has a letter.
+
+    A text that is null or without a letter is ``und`` with score 0, as is every text when nothing was learned.
+    Equal distances give the first language by code point. Only texts go to the Python workers. More than
+    ``LANGUAGES`` languages are ranked in several passes, each written, so that no task holds more of them.
+    """
+    read = F.col("text").cast("string")
+    most = profiles.agg(F.max("place")).first()[0] or 1
+    found = docs.withColumn(out, _ranking(_held(profiles, 1), size)(read))
+    for first in range(1 + LANGUAGES, most + 1, LANGUAGES):
+        found = settle(found, "ranked")
+        more = unused(found, "more")[0]
+        found = found.withColumn(more, _ranking(_held(profiles, first), size)(read))
+        better = F.col(f"{more}.score") > F.col(f"{out}.score")
+        found = found.withColumn(out, F.when(better, F.col(more)).otherwise(F.col(out))).drop(more)
+    return found
+
+
+def predict(docs: DataFrame, profiles: DataFrame, size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (doc_id alone by default), with lang_pred and score; see ``predicted``.
+
+    Rows that repeat stay; only text is looked at. If ``docs`` has a column named lang_pred or score, leave it out of
+    ``keep``.
+    """
+    out = unused(docs, "found")[0]
+    kept = [F.col(f"`{c}`") for c in (["doc_id"] if keep is None else keep)]
+    found = predicted(docs, profiles, out, size)
+    return found.select(*kept, F.col(f"{out}.lang").alias("lang_pred"), F.col(f"{out}.score").alias("score"))
 
 
 def held_out() -> F.Column:
@@ -175,9 +206,13 @@ def identify(docs: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM)
 
 
 def known_language(docs: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; texts that are null or have no letter go. Columns as in ``docs``."""
+    """The rows of ``docs`` whose text has a language; texts that are null or have no letter go.
+
+    Columns are those of ``docs``; where ``lang`` is null it becomes the language predicted. When no row has a label,
+    nothing is learned, and texts with a letter stay as they are.
+    """
     profiles = learn(docs.filter(fold("doc_id", 3) != 1), size, learn_from)
-    clear = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    if len(clear) < len(docs.columns):
-        raise ValueError("docs has a column named lang_pred or score")
-    return predict(docs, profiles, size, clear).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    out = unused(docs, "found")[0]
+    found = predicted(docs, profiles, out, size).filter(f"{out}.letters")
+    lang = F.coalesce(F.col("lang"), F.nullif(F.col(f"{out}.lang"), F.lit(UNKNOWN))).alias("lang")
+    return found.select(*[lang if c.lower() == "lang" else F.col(f"`{c}`") for c in docs.columns])

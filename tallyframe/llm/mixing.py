@@ -9,6 +9,7 @@ block is taken a third time before all were taken twice. Blocks are joined to sl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.columns import unused
 from tallyframe.llm.common import slices
+from tallyframe.operators.rank import with_position, with_running_total
 from tallyframe.workspace import settle
 
 #: Words of a block, slots of a shard, shards that one row of the drawing is about.
@@ -27,8 +30,8 @@ SHARDS_A_ROW = 64
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_TIMES = 2
-#: Sources are a closed set: their totals and counts pass through the driver.
-MOST_SOURCES = 100_000
+#: Groups of sources that shards are drawn for. A source is its own group, unless there are more sources than that.
+GROUPS = 100_000
 #: Documents of one piece of a stream, about; a piece is summed in one task.
 PIECE = 500
 SEED = 20_240_617
@@ -41,7 +44,8 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 def targets(sizes: list[int], weights: list[float], total: float, most_times: float = MOST_TIMES) -> list[float]:
     """Shares of ``total`` by weight, none above ``most_times`` its size; what is above is shared out by weight.
 
-    Sources that reach their limit are final. Each round stops one at least or is the last.
+    Sources that reach their limit are final. Each round stops one at least or is the last. ``with_targets`` does the
+    same for a table.
     """
     result = [float(most_times * size) for size in sizes]
     going = set(range(len(sizes)))
@@ -80,19 +84,21 @@ def permuted(index: np.ndarray, sizes: np.ndarray, keys: np.ndarray, back: bool
     return out.astype(np.int64)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_uid", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    uid = unused(docs, "uid")[0]
+    return docs.withColumn(uid, F.monotonically_increasing_id()), uid
 
 
-def _stream(rows: DataFrame) -> DataFrame:
-    """uid, doc_id, source, size, start: where a document begins in its source's stream of words.
+def _stream(rows: DataFrame, uid: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (uid, doc_id, source, number, size, start) in their streams, and sources (source, number, source_size).
 
     A stream is ordered by a hash of the id, in pieces of about PIECE documents: positions are summed within pieces,
-    and pieces within a source, so that a large source is many tasks' work.
+    and pieces in one running total over all sources, so that a large source is many tasks' work. Sources are
+    numbered by code point, null last.
     """
     sized = settle(
         rows.select(
-            F.col("_uid").alias("uid"),
+            F.col(uid).alias("uid"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORDS)).cast("long"), F.lit(0)).alias("size"),
@@ -104,16 +110,21 @@ def _stream(rows: DataFrame) -> DataFrame:
     place = F.xxhash64(F.coalesce("doc_id", F.col("uid")), F.lit(SEED))
     placed = sized.withColumn("place", place).withColumn("piece", F.pmod("place", F.lit(pieces)))
     totals = placed.groupBy("source", "piece").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        F.col("source").alias("_source"),
-        F.col("piece").alias("_piece"),
-        F.coalesce(F.sum("words").over(order), F.lit(0)).alias("before"),
+    order = [F.asc_nulls_last("source"), F.asc("piece")]
+    totals = settle(with_running_total(totals, order, "words", "before"), "pieces")
+    sources = totals.groupBy("source").agg(F.sum("words").alias("source_size"), F.min("before").alias("begin"))
+    sources = settle(with_position(sources, [F.asc_nulls_last("source")], "place"), "sources")
+    sources = sources.withColumn("number", F.col("place") - 1).drop("place")
+    begins = sources.select(F.col("source").alias("_source"), "number", "begin")
+    before = totals.join(begins, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "_source", F.col("piece").alias("_piece"), "number", (F.col("before") - F.col("begin")).alias("before")
     )
     within = Window.partitionBy("source", "piece").orderBy("place", "doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
     inner = placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = inner["source"].eqNullSafe(before["_source"]) & (inner["piece"] == before["_piece"])
-    return inner.join(before, same).select("uid", "doc_id", "source", "size", (F.col("before") + F.col("inner")).alias("start"))
+    start = (F.col("before") + F.col("inner")).alias("start")
+    stream = inner.join(before, same).select("uid", "doc_id", "source", "number", "size", start)
+    return settle(stream, "stream"), sources.drop("begin")
 
 
 def slots_for(words: int, number: int, size: int, block: int) -> tuple[int, int]:
@@ -143,24 +154,48 @@ def _key(number):
     return number * 1_000_003 + SEED
 
 
-def _sources(stream: DataFrame, weights: tuple, share: float, most_times: float, block: int) -> DataFrame:
+def with_targets(sources: DataFrame, weights: tuple, share: float, most_times: float) -> DataFrame:
+    """Sources (number, source_size) with their ``target``, found like that of ``targets`` by rounds of aggregates.
+
+    What one word of weight gets only grows from round to round, so the sources at their limit follow from it alone.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    rows = sources.withColumn("weight", weight)
+    limit = F.col("source_size") * F.lit(float(most_times))
+    left, weighing, stopped = 0.0, 1.0, -1
+    while True:
+        over = F.lit(left) * F.col("weight") / F.lit(weighing) > limit
+        found = rows.agg(
+            F.sum("source_size").alias("all"),
+            F.sum(F.when(over, F.col("source_size"))).alias("of_over"),
+            F.sum(F.when(~over, F.col("weight"))).alias("weighing"),
+            F.count_if(over).alias("n"),
+        ).first()
+        if found["n"] == stopped or not found["weighing"]:
+            break
+        left = share * (found["all"] or 0) - most_times * (found["of_over"] or 0)
+        weighing, stopped = found["weighing"], found["n"]
+    over = over | F.lit(not found["weighing"])
+    return rows.withColumn("target", F.when(over, limit).otherwise(F.lit(left) * F.col("weight") / F.lit(weighing)))
+
+
+def _sources(sources: DataFrame, weights: tuple, share: float, most_times: float, block: int) -> DataFrame:
     """Each source's numbers: source, number, source_size, target, blocks, slots, last (words of the last slot).
 
     Sources go by code point, null last, and get the weights in turn.
     """
-    found = stream.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] for r in found]
-    wanted = targets(sizes, [weights[n % len(weights)] for n in range(len(found))], share * sum(sizes), most_times)
-    rows = []
-    for n, (row, size, target) in enumerate(zip(found, sizes, wanted)):
-        blocks = -(-size // block)
-        slots = slots_for(min(round(target), int(most_times * size)), n, size, block)
-        rows.append((row["source"], n, size, float(target), blocks, *slots))
-    ddl = "source string, number long, source_size long, target double, blocks long, slots long, last long"
-    return stream.sparkSession.createDataFrame(rows, ddl)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for number, size, target in zip(frame["number"], frame["source_size"], frame["target"]):
+                words = min(round(target), int(most_times * size))
+                rows.append((number, -(-size // block), *slots_for(words, number, size, block)))
+            yield pd.DataFrame(rows, columns=["number", "blocks", "slots", "last"])
+
+    wanted = settle(with_targets(sources, weights, share, most_times), "targets")
+    counts = wanted.mapInPandas(count, "number long, blocks long, slots long, last long")
+    return settle(wanted.drop("weight").join(settle(counts, "slots"), "number"), "sources")
 
 
 def _halved(slots: np.ndarray, n: int, low: int, high: int) -> np.ndarray:
@@ -170,11 +205,14 @@ def _halved(slots: np.ndarray, n: int, low: int, high: int) -> np.ndarray:
         return slots.copy()
     if total < _MOST_DRAWN:
         return np.random.default_rng([SEED, low, high]).multivariate_hypergeometric(slots, n, method="marginals")
-    # so many that chance moves a share by less than 1 in 30,000: shares in proportion, the rest to the largest
-    exact = slots.astype(object) * n
-    drawn = np.array([int(x // total) for x in exact], np.int64)
-    for source in sorted(range(len(slots)), key=lambda s: -(exact[s] % total))[: n - int(drawn.sum())]:
-        drawn[source] += 1
+    # numpy draws from fewer only: one source after the other, with the mean and variance of such a draw
+    rng, drawn = np.random.default_rng([SEED, low, high]), np.zeros(len(slots), np.int64)
+    for source in np.flatnonzero(slots).tolist():
+        own = int(slots[source])
+        mean = own * n / total
+        off = (int(rng.binomial(own, n / total)) - mean) * math.sqrt((total - own) / total)
+        drawn[source] = min(max(round(mean + off), n - (total - own), 0), own, n)
+        n, total = n - int(drawn[source]), total - own
     return drawn
 
 
@@ -204,33 +242,50 @@ def shard_counts(slots: list[int], shard: int, first_shard: int, end_shard: int)
         yield from walk(0, shards, np.array(slots, np.int64), np.zeros(len(slots), np.int64))
 
 
-def slot_table(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+def slot_table(sources: DataFrame, shard: int = SHARD, groups: int = GROUPS) -> DataFrame:
     """One row per slot of the mix: shard, number (of the source), slot (of the source), round, block, words.
 
     ``words`` is how many words of the block a source's last slot takes, and null for its other slots: all of them.
+    Shards are drawn for ``groups`` groups of consecutive sources at most; only those groups' slots pass through the
+    driver. Within a group of several sources, a pseudorandom permutation of the group's slots says whose turn it is.
     """
     spark = sources.sparkSession
-    held = sources.orderBy("number").collect()  # MOST_SOURCES rows at most
-    slots, blocks, last = ([r[k] for r in held] for k in ("slots", "blocks", "last"))
-    shards = -(-sum(slots) // shard)
+    n_sources = sources.count()
+    group = F.col("number") if n_sources <= groups else F.floor(F.col("number") * groups / F.lit(n_sources)).cast("long")
+    totals = sources.groupBy(group.alias("group")).agg(F.sum("slots").alias("slots")).orderBy("group").collect()
+    names, slots = [r["group"] for r in totals], [r["slots"] for r in totals]
+    rows = -(-(-(-sum(slots) // shard)) // SHARDS_A_ROW)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, ends, cut = (np.array(x, np.int64) for x in (blocks, slots, last))
+        of = np.array(names, np.int64)
         for frame in frames:
             for row in frame["id"].tolist():
                 for counts in _in_shards(shard_counts(slots, shard, row * SHARDS_A_ROW, (row + 1) * SHARDS_A_ROW)):
-                    number = np.repeat([c[1] for c in counts], [c[2] for c in counts])
-                    slot = np.concatenate([np.arange(c[3], c[3] + c[2]) for c in counts])
-                    size = of[number]
-                    block = permuted(slot % size, size, _key(number))
-                    words = pd.Series(cut[number], dtype="Int64").where(slot == ends[number] - 1)
-                    yield pd.DataFrame(
-                        {"shard": counts[0][0], "number": number, "slot": slot, "round": slot // size, "block": block, "words": words}
-                    )
-
-    rows = -(-shards // SHARDS_A_ROW)
+                    at = np.array(counts, np.int64)
+                    yield pd.DataFrame({"shard": at[:, 0], "group": of[at[:, 1]], "n": at[:, 2], "first": at[:, 3]})
+
+    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, group, n, first, members in zip(*(frame[c] for c in ("shard", "group", "n", "first", "members"))):
+                number, blocks, ends, cut = (np.array([m[c] for m in members], np.int64) for c in ("number", "blocks", "slots", "last"))
+                turn = np.arange(first, first + n)
+                upto = np.cumsum(ends)
+                if len(number) > 1:
+                    turn = permuted(turn, np.full(n, upto[-1]), np.full(n, _key(-1 - group)))
+                which = np.searchsorted(upto, turn, "right")
+                slot, size = turn - (upto - ends)[which], blocks[which]
+                block = permuted(slot % size, size, _key(number[which]))
+                words = pd.Series(cut[which], dtype="Int64").where(slot == ends[which] - 1)
+                yield pd.DataFrame(
+                    {"shard": at, "number": number[which], "slot": slot, "round": slot // size, "block": block, "words": words}
+                )
+
     parts = max(1, min(rows, 100_000))
-    return spark.range(0, rows, 1, parts).mapInPandas(draw, "shard long, number long, slot long, round long, block long, words long")
+    counts = spark.range(0, rows, 1, parts).mapInPandas(draw, "shard long, group long, n long, first long")
+    member = F.struct("number", "blocks", "slots", "last")
+    members = sources.groupBy(group.alias("group")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    joined = counts.join(settle(members, "groups"), "group")
+    return joined.mapInPandas(expand, "shard long, number long, slot long, round long, block long, words long")
 
 
 def _in_shards(counts: Iterator[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -245,17 +300,15 @@ def _in_shards(counts: Iterator[tuple[int, int, int, int]]) -> Iterator[list[tup
 
 
 def mix(
-    rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES, block: int = BLOCK
+    rows: DataFrame, uid: str, weights: tuple = WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as spans of documents, the documents in their streams, and the sources.
 
-    ``rows`` are documents with a row number ``_uid``. Spans: shard, slot, round, number (of the source), block, uid,
+    ``rows`` are documents with a row number in the column ``uid``. Spans: shard, slot, round, number (of the source), block, uid,
     doc_id, from, to (words of the document, ``to`` excluded).
     """
-    stream = settle(_stream(rows), "stream")
-    sources = _sources(stream, weights, share, most_times, block)
-    names = sources.select(F.col("source").alias("_source"), "number")
-    stream = stream.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    stream, sources = _stream(rows, uid)
+    sources = _sources(sources, weights, share, most_times, block)
     blocks = stream.filter("size > 0").withColumn(
         "block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))
     )
@@ -288,12 +341,12 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     are documents of their own, and so are rows with a null id. Other columns are not looked at. Order and
     permutations come from ids and the seed, so reruns agree. An empty table gives an empty result.
     """
-    spans, stream, sources = mix(_numbered(docs.select("doc_id", "source", "text")), **options)
+    spans, stream, sources = mix(*_numbered(docs.select("doc_id", "source", "text")), **options)
     taken = spans.groupBy("uid").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
     numbers = sources.select("number", "source_size", "target")
     return (
         stream.join(taken, "uid", "left")
-        .join(F.broadcast(numbers), "number")
+        .join(numbers, "number")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )
 
@@ -314,12 +367,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     document: its text is then unchanged. ``n_chars``, if there, is that of the new text. Documents without a word
     are in no mix.
     """
-    rows = settle(_numbered(docs), "mixed")
-    spans, _, _ = mix(rows, **options)
-    parts = spans.groupBy("uid", "round").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
-    held = rows.join(parts.withColumnRenamed("uid", "_uid").drop("round"), "_uid").select("_spans", *docs.columns)
-    schema, names = held.schema, list(docs.columns)
-    text_at = held.columns.index("text")
+    rows, uid = _numbered(docs)
+    rows = settle(rows, "mixed")
+    spans, _, _ = mix(rows, uid, **options)
+    held, turn = unused(rows, "spans", "round")
+    parts = spans.groupBy(F.col("uid").alias(uid), F.col("round").alias(turn)).agg(F.collect_list(F.struct("from", "to")).alias(held))
+    joined = rows.join(parts, uid).select(held, *[F.col(f"`{c}`") for c in docs.columns])
+    names = list(docs.columns)
+    text_at = 1 + [c.lower() for c in names].index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -328,6 +383,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             arrays[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays[1:], names=names)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "_spans")
-    out = held.mapInArrow(task, ddl)
+    out = joined.mapInArrow(task, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WordHashes, components, mix64
+from tallyframe.llm.common import WordHashes, components, mix64, slices
 from tallyframe.workspace import settle
 
 #: Words of a shingle, and the least overlap in hundredths of the union.
@@ -164,7 +164,7 @@ def _order(texts: DataFrame, words: int) -> Order:
             both = np.concatenate(held) if held else np.empty(0, np.int64)
             total[:] += np.bincount(both, minlength=2 * size)
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 hashes = memo.of(text) if text else np.empty(0, np.uint64)
                 for part, first in ((hashes, 0), (np.unique(_runs(hashes, words)), size)):
@@ -193,35 +193,33 @@ def _profiles(texts: DataFrame, order: Order, percent: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         uid = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sizes, bands, keys, bits, firsts = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    found, rarest = order.of(memo.of(text) if text else np.empty(0, np.uint64))
-                    n = len(found)
-                    sizes.append(n)
-                    bands.append(_band(n, percent) if n else -1)
-                    keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    bits.append(_bitmap(found) if n else b"")
-                    firsts.append(rarest[: n - least_overlap(n, percent) + 1] if n else found)
-                offsets = np.cumsum([0, *map(len, firsts)])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64) if firsts else [], pa.int64())
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(range(uid, uid + len(sizes)), pa.int64()),
-                        batch.column(0),
-                        pa.array(sizes, pa.int32()),
-                        pa.array(bands, pa.int32()),
-                        pa.array(keys, pa.binary()),
-                        pa.array(bits, pa.binary()),
-                        lists,
-                    ],
-                    names=["uid", "doc_id", "n", "band", "key", "bits", "prefix"],
-                )
-                uid += len(sizes)
+        for batch in slices(batches):
+            sizes, bands, keys, bits, firsts = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                found, rarest = order.of(memo.of(text) if text else np.empty(0, np.uint64))
+                n = len(found)
+                sizes.append(n)
+                bands.append(_band(n, percent) if n else -1)
+                keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+                bits.append(_bitmap(found) if n else b"")
+                firsts.append(rarest[: n - least_overlap(n, percent) + 1] if n else found)
+            offsets = np.cumsum([0, *map(len, firsts)])
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64) if firsts else [], pa.int64())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(uid, uid + len(sizes)), pa.int64()),
+                    batch.column(0),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(bands, pa.int32()),
+                    pa.array(keys, pa.binary()),
+                    pa.array(bits, pa.binary()),
+                    lists,
+                ],
+                names=["uid", "doc_id", "n", "band", "key", "bits", "prefix"],
+            )
+            uid += len(sizes)
 
     return settle(texts.select("doc_id", "text").mapInArrow(task, _PROFILE), "profiles")
 
@@ -259,7 +257,7 @@ class _Join:
         sides = [self.small.select(F.col("uid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, 2000):
                 _, _, n_a, n_b, bits_a, bits_b = (c.to_pylist() for c in batch.columns)
                 fits = [
                     _may_link(int.from_bytes(x, "little"), 8 * len(x), n, int.from_bytes(y, "little"), 8 * len(y), m, percent)
@@ -286,13 +284,11 @@ class _Join:
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = WordHashes()
-            for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    batch = whole.slice(at, 500)
-                    found = [shingles(t, memo, words) for t in batch.column(1).to_pylist()]
-                    keys = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
-                    arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "found"])
+            for batch in slices(batches):
+                found = [shingles(t, memo, words) for t in batch.column(1).to_pylist()]
+                keys = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
+                arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "found"])
 
         made = texts.select("doc_id", "text").mapInArrow(task, "doc_id long, key binary, found binary")
         same = made["doc_id"].eqNullSafe(keys["doc_id"]) & (made["key"] == keys["key"])
@@ -300,7 +296,7 @@ class _Join:
         sets = settle(made.join(keys, same).select("uid", "found"), "sets")
 
         def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 fits = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -74,7 +74,7 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removals(documents(spark, sf_dir)).drop("spans")
+    return substring_dedup.removals(documents(spark, sf_dir))
 
 
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,23 +327,37 @@ def _texts_with_repeats(docs: DataFrame, narrow: DataFrame, window: int) -> Data
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, the digest of the words that are kept, and the spans that go.
+    """Per document: doc_id, n_words, n_removed, and the digest of the words that are kept.
 
     A word goes if a window of ``window`` words covers it whose words also start anywhere else, in any document.
     """
     narrow = settle(_narrow(docs, window).withColumn("row", F.monotonically_increasing_id()), "narrow")
+    key, found = ["k1", "k2"], ["n_removed", "kept_sha256"]
     changed = _texts_with_repeats(docs, narrow, window)
-    digests = changed.select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "spans")
-    joined = narrow.select("doc_id", "k1", "k2", "n_words", "all_sha256").join(digests, ["k1", "k2"], "left")
-    return joined.select(
+    changed = settle(changed.select(*key, "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "changed")
+    rows = narrow.select("doc_id", *key, "n_words", "all_sha256")
+    copies = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    # fewer than FREQUENT texts, two numbers and a digest each
+    frequent = copies.filter(F.col("copies") * FREQUENT > rows.count()).join(changed, key, "left")
+    marked = rows.join(F.broadcast(settle(frequent, "frequent")), key, "left")
+    rest = marked.filter("copies is null").drop("copies", *found).join(changed, key, "left")
+    columns = ["doc_id", "n_words", "all_sha256", *found]
+    both = rest.select(*columns).unionByName(marked.filter("copies is not null").select(*columns))
+    return both.select(
         "doc_id",
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"),
-        "spans",
     )
 
 
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id and the spans of words that go (first and last, counted from 0), for documents that lose any."""
+    narrow = settle(_narrow(docs, window).withColumn("row", F.monotonically_increasing_id()), "narrow")
+    changed = settle(_texts_with_repeats(docs, narrow, window).select("k1", "k2", "spans"), "changed")
+    return narrow.select("doc_id", "k1", "k2").join(changed, ["k1", "k2"]).select("doc_id", "spans")
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the words that are kept, joined by one space, as the text of rows that lose any."""
     narrow = settle(_narrow(docs, window).withColumn("row", F.monotonically_increasing_id()), "narrow")

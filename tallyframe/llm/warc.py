@@ -1,8 +1,9 @@
 """WARC archives: a writer, and a PySpark Python data source that reads them.
 
 An archive is a folder of ``part-*.warc.gz`` files, each record a gzip member of its own, as the format asks for, and
-beside each file an index ``.cdx`` of where its members begin. The reader plans partitions of about equal size from
-the indexes, so a large file is many tasks' work; filters on record type, id, digest and reference reach it and are
+beside each file an index ``.cdx`` of where its members begin. A manifest, written last, names the files that count, so
+what a lost or repeated task has left behind is not read. The reader plans ranges of bytes from the files' sizes; each
+task finds the members that begin in its range in the index, so a large file is many tasks' work; filters on record type, id, digest and reference reach it and are
 decided on a record's headers; a payload is decoded only for records that pass and only if its column is asked for.
 """
 
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 from pyspark.sql.types import StructType
 
+from tallyframe.llm.common import slices
 from tallyframe.workspace import new_path, settle
 
 #: Compressed bytes of a partition, and of a gzip member's headers to decode at first.
 SPLIT_BYTES = 16 << 20
 HEAD_BYTES = 2048
+MANIFEST = "_manifest"
 
 _HEADERS = {
     "record_type": "warc-type",
@@ -84,31 +87,30 @@ def _page_record(page_id: int | None, url: str | None, payload: bytes, digest: s
 def write_archive(records: DataFrame, path: str) -> int:
     """Write ``records`` (page_id, url, html, digest, record_type, refers_to) as an archive; the number of records.
 
-    A task writes its file under a name of its own attempt and renames it at the end, so a task that ran twice leaves
-    one file. ``path`` is any folder that pyarrow's file systems reach: file, hdfs, s3, gs.
+    A task writes its file and the file's index under names of its own attempt. The attempts whose results Spark takes
+    are named in the manifest: one line per task. ``path`` is any folder that pyarrow's file systems reach: file, hdfs,
+    s3, gs.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         context = TaskContext.get()
-        name = f"{root}/part-{context.partitionId():06d}"
-        draft = f"{root}/_draft-{context.taskAttemptId()}"
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         store.create_dir(root, recursive=True)
         starts, at, n = [], 0, 0
-        with store.open_output_stream(draft, compression=None) as out:
-            for batch in batches:
+        with store.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as out:
+            for batch in slices(batches):
                 for page_id, url, html, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns)):
                     data = member(_page_record(page_id, url, html, digest, kind, refers))
                     starts.append(at)
                     out.write(data)
                     at, n = at + len(data), n + 1
         if n:
-            with store.open_output_stream(f"{name}.cdx", compression=None) as out:
+            with store.open_output_stream(f"{root}/{name}.cdx", compression=None) as out:
                 out.write("\n".join(map(str, [*starts, at])).encode())
-            store.move(draft, f"{name}.warc.gz")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n"])
         else:
-            store.delete_file(draft)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+            store.delete_file(f"{root}/{name}.warc.gz")
 
     rows = records.select(
         F.col("page_id").cast("long"),
@@ -118,7 +120,12 @@ def write_archive(records: DataFrame, path: str) -> int:
         "record_type",
         F.col("refers_to").cast("long"),
     )
-    return rows.mapInArrow(task, "n long").agg(F.sum("n")).first()[0] or 0
+    written = rows.mapInArrow(task, "name string, n long").collect()  # one row per task
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        out.write("\n".join(sorted(r["name"] for r in written)).encode())
+    return sum(r["n"] for r in written)
 
 
 class Split(InputPartition):
@@ -158,21 +165,18 @@ class WarcReader(DataSourceReader):
         splits = []
         files = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
         indexed = {f.path for f in files if f.path.endswith(".cdx")}
-        for file in sorted((f for f in files if f.path.endswith((".warc.gz", ".warc"))), key=lambda f: f.path):
+        archives = [f for f in files if f.path.endswith((".warc.gz", ".warc"))]
+        if any(f.base_name == MANIFEST for f in files):
+            with store.open_input_stream(f"{root}/{MANIFEST}") as held:
+                named = {f"{name}.warc.gz" for name in held.read().decode().split()}
+            archives = [f for f in archives if f.base_name in named]
+        for file in sorted(archives, key=lambda f: f.path):
             index = file.path.removesuffix(".warc.gz") + ".cdx"
             if index not in indexed:
                 splits.append(Split(file.path, 0, file.size))
                 continue
-            if file.size <= self.split_bytes:
-                splits.append(Split(file.path, 0, file.size, index))
-                continue
-            with store.open_input_stream(index) as held:
-                starts = list(map(int, held.read().split()))
-            begin = 0
-            for at, after in zip(starts[1:], [*starts[2:], None]):
-                if at - begin >= self.split_bytes or after is None:
-                    splits.append(Split(file.path, begin, at, index))
-                    begin = at
+            for start in range(0, file.size, self.split_bytes):
+                splits.append(Split(file.path, start, min(start + self.split_bytes, file.size), index))
         return splits or [Split("", 0, 0)]
 
     def _passes(self, row: dict) -> bool:
@@ -198,8 +202,9 @@ class WarcReader(DataSourceReader):
                 members = _plain(file)
             elif partition.index:
                 with store.open_input_stream(partition.index) as held_index:
-                    starts = [n for n in map(int, held_index.read().split()) if partition.start <= n <= partition.end]
-                members = _indexed(file, starts)
+                    starts = list(map(int, held_index.read().split()))
+                mine = [(a, b) for a, b in zip(starts, starts[1:]) if partition.start <= a < partition.end]
+                members = _indexed(file, mine)
             else:
                 members = _members(file, partition.start, partition.end)
             for lines, block in members:
@@ -235,12 +240,12 @@ def _row(head: bytes) -> dict:
     return row
 
 
-def _indexed(file: pa.NativeFile, starts: list[int]):
-    """Headers of each gzip member that begins at ``starts`` (the last is an end), and a function that decodes its block.
+def _indexed(file: pa.NativeFile, members: list[tuple[int, int]]):
+    """Headers of each gzip member, given by its start and end, and a function that decodes its block.
 
     Of a member whose block is not asked for only the first bytes are read and unpacked.
     """
-    for start, end in zip(starts, starts[1:]):
+    for start, end in members:
         file.seek(start)
         unpack = zlib.decompressobj(31)
         head, data = b"", b""
@@ -402,7 +407,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, smallest: int = 0)
     responses = read_archive(spark, path).filter("record_type = 'response'")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             payloads = batch.column(1).to_pylist()
             arrays = [
                 batch.column(0),
