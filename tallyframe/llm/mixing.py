@@ -38,6 +38,7 @@ SEED = 20_240_617
 #: numpy draws without replacement from fewer than this.
 _MOST_DRAWN = 10**9
 
+_MEMBER = ("number", "blocks", "slots", "last")
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -265,24 +266,32 @@ def slot_table(sources: DataFrame, shard: int = SHARD, groups: int = GROUPS) ->
                     yield pd.DataFrame({"shard": at[:, 0], "group": of[at[:, 1]], "n": at[:, 2], "first": at[:, 3]})
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def table(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+            at, number, slot, size, end, cut = (np.concatenate(c) for c in zip(*held))
+            block = permuted(slot % size, size, _key(number))
+            words = pd.Series(cut, dtype="Int64").where(slot == end - 1)
+            return pd.DataFrame({"shard": at, "number": number, "slot": slot, "round": slot // size, "block": block, "words": words})
+
+        held, n_held = [], 0
         for frame in frames:
             for at, group, n, first, members in zip(*(frame[c] for c in ("shard", "group", "n", "first", "members"))):
-                number, blocks, ends, cut = (np.array([m[c] for m in members], np.int64) for c in ("number", "blocks", "slots", "last"))
+                number, blocks, ends, cut = np.array([[m[c] for m in members] for c in _MEMBER], np.int64)
                 turn = np.arange(first, first + n)
                 upto = np.cumsum(ends)
                 if len(number) > 1:
                     turn = permuted(turn, np.full(n, upto[-1]), np.full(n, _key(-1 - group)))
                 which = np.searchsorted(upto, turn, "right")
-                slot, size = turn - (upto - ends)[which], blocks[which]
-                block = permuted(slot % size, size, _key(number[which]))
-                words = pd.Series(cut[which], dtype="Int64").where(slot == ends[which] - 1)
-                yield pd.DataFrame(
-                    {"shard": at, "number": number[which], "slot": slot, "round": slot // size, "block": block, "words": words}
-                )
+                held.append((np.full(n, at), number[which], turn - (upto - ends)[which], blocks[which], ends[which], cut[which]))
+                n_held += n
+                if n_held >= 200_000:
+                    yield table(held)
+                    held, n_held = [], 0
+        if held:
+            yield table(held)
 
     parts = max(1, min(rows, 100_000))
     counts = spark.range(0, rows, 1, parts).mapInPandas(draw, "shard long, group long, n long, first long")
-    member = F.struct("number", "blocks", "slots", "last")
+    member = F.struct(*_MEMBER)
     members = sources.groupBy(group.alias("group")).agg(F.array_sort(F.collect_list(member)).alias("members"))
     joined = counts.join(settle(members, "groups"), "group")
     return joined.mapInPandas(expand, "shard long, number long, slot long, round long, block long, words long")
