@@ -118,9 +118,9 @@ class EliasFano:
         zeros = len(self.high) * 8 - int(self.ones_before[-1])
         inside = high < zeros
         low, end = np.zeros(len(values), np.int64), np.full(len(values), self.n)
-        begin = inside & (high > 0)
+        begin = (high > 0) & (high <= zeros)  # the last numbers may have no zero behind them
         low[begin] = self._select(high[begin] - 1, False) - (high[begin] - 1)
-        low[~inside] = self.n
+        low[high > zeros] = self.n
         end[inside] = self._select(high[inside], False) - high[inside]
         low, end = np.minimum(low, self.n), np.minimum(end, self.n)
         wanted = values & np.uint64((1 << self.low_bits) - 1)
