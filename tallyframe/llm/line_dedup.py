@@ -8,6 +8,8 @@ enough words are constant. Lines with a template that occurs in many documents a
 Lines meet by word and place, and by template, never a whole leaf: a word is a number that has its leaf and place in it.
 Leaves that too few documents reach are pruned before any line moves.
 
+Lines too short for that, of four or five words, recur if all of their words but one do, in its place, in many documents.
+
 Equal lines need no tree: a line that is in two documents is dropped in all, one of a word or two if it is in many.
 """
 
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import slices
 from tallyframe.workspace import settle
 
 #: Leading words that lead to a leaf.
@@ -37,6 +40,9 @@ SHORT_DOCS = 20
 #: Words without a digit that make lines equal which differ in variable words only, and that a template has after the
 #: leading words.
 MIN_EQUAL = 3
+#: Lines with fewer words than MIN_EQUAL after the leading ones have a template for each of their words: the others, if
+#: they are MIN_EQUAL or more. So little is recurring only from so many documents on.
+SHORT_TEMPLATE_DOCS = 50
 #: Slots of the filter that keeps lines of rare leaves from moving.
 SLOTS = 1 << 20
 
@@ -98,6 +104,13 @@ def places(words: list[str], leaf: int) -> list[int]:
     return [_signed(f"{leaf} {at} {w}") for at, w in enumerate(words[DEPTH:]) if w != VARIABLE]
 
 
+def but_one(words: list[str]) -> list[int]:
+    """Templates of a short line: all words but one, which may be any; lines with a variable word need none."""
+    if not MIN_EQUAL < len(words) < DEPTH + MIN_EQUAL or VARIABLE in words:
+        return []
+    return [_signed(" ".join([VARIABLE, str(at), *words[:at], *words[at + 1 :]])) for at in range(len(words))]
+
+
 def _in_templates(met: DataFrame, docs: int, similarity: float) -> DataFrame:
     """uid and number of the lines ``met`` (uid, number, line, places) with a template that ``docs`` documents have."""
     words = met.select("uid", F.explode("places").alias("place")).distinct().groupBy("place").agg(F.count("*").alias("n"))
@@ -129,7 +142,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     """uid and the numbers of the lines of that document that recur; documents without any are not there."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen = {None}
@@ -138,21 +151,30 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
                     if not words:
                         continue
                     leaf = leaf_of(words) if len(words) >= MIN_WORDS else None
-                    found.append((uid, number, _signed(_form(line, words)), len(words) < MIN_WORDS, None if leaf in seen else leaf))
+                    form = _signed(_form(line, words))
+                    found.append((uid, number, form, len(words) < MIN_WORDS, None if leaf in seen else leaf, but_one(words)))
                     seen.add(leaf)
-            columns = list(zip(*found)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64())
-            names = ["uid", "number", "form", "short", "leaf"]
+            columns = list(zip(*found)) or [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+            names = ["uid", "number", "form", "short", "leaf", "but_one"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = _identified(docs)
-    spelled = rows.select("uid", "text").mapInArrow(spell, "uid long, number int, form long, short boolean, leaf long")
+    spelled = rows.select("uid", "text").mapInArrow(spell, "uid long, number int, form long, short boolean, leaf long, but_one array<long>")
     spelled = settle(spelled, "spelled")
     docs_of = spelled.select("form", "short", "uid").distinct().groupBy("form", "short").agg(F.count("*").alias("docs"))
     least = F.when(F.col("short"), F.lit(max(min_docs, SHORT_DOCS))).otherwise(F.lit(min_docs))
     equal = settle(docs_of.filter(F.col("docs") >= least).select("form", "short"), "equal")
     dropped = spelled.join(equal, ["form", "short"]).select("uid", "number")
 
+    near = settle(spelled.select("uid", "number", "form", F.explode("but_one").alias("key")), "near")
+    many = near.groupBy("key").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count("*").alias("n"))
+    many = settle(many.filter((F.col("n") >= max(min_docs, SHORT_TEMPLATE_DOCS)) & (F.col("lo") < F.col("hi"))).select("key"), "many")
+    of_many = settle(near.join(many, "key").select("key", "uid", "number"), "of-many")
+    docs_of = of_many.select("key", "uid").distinct().groupBy("key").agg(F.count("*").alias("docs"))
+    docs_of = settle(docs_of.filter(F.col("docs") >= max(min_docs, SHORT_TEMPLATE_DOCS)).select("key"), "near-recurring")
+    dropped = dropped.unionByName(of_many.join(docs_of, "key").select("uid", "number"))
+
     template_docs = max(min_docs, TEMPLATE_DOCS)
     # a document has a leaf once here; rows that repeat count as documents of their own, so none is pruned wrongly
     leaves = spelled.filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"))
@@ -164,7 +186,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     mask = bytes(mask)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for number, line in enumerate((text or "").split("\n")):
@@ -192,8 +214,8 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarit
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, text (without the dropped lines), kept_sha256.
 
     A line ends at a line feed. Lines with the same :func:`equal_form` recur from ``min_docs`` distinct documents on,
-    those with fewer than MIN_WORDS words from SHORT_DOCS on, and templates from TEMPLATE_DOCS on (or ``min_docs``, if
-    that is more); lines without a word stay. What recurs is dropped in every document, so copies of a document leave
+    those with fewer than MIN_WORDS words from SHORT_DOCS on, templates from TEMPLATE_DOCS on, and those of lines of four
+    or five words from SHORT_TEMPLATE_DOCS on (or ``min_docs``, if that is more); lines without a word stay. What recurs is dropped in every document, so copies of a document leave
     nothing of each other: they are better deduplicated before. A null text stays null, has no line and the digest of an empty one. Rows with equal id and
     text count as one document. Other columns are not looked at; an empty table gives an empty result.
     """
@@ -201,7 +223,7 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarit
     joined = _identified(docs).join(dropped, "uid", "left").select("doc_id", "text", "numbers")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             totals, gone, texts = [], [], []
             for text, numbers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 parts = text.split("\n") if text is not None else []
