@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: every link between documents whose word shingles overlap enough, and the groups they make.
+"""N-gram Jaccard join: links between documents whose word shingles overlap enough, and the groups that all links make.
 
 A document's shingles are ordered rarest first, by counters that are the same for all documents. Two documents that
 link share one of their first shingles (as many as may be missing, and one), and their sizes are in the same or in
@@ -10,7 +10,8 @@ Before bitmaps are fetched, places bound the overlap: in the tile of the first s
 shingle before it is common. So a document goes to the tile of the larger band only if enough of its shingles come
 after, and two documents that are both there for their smaller band are not compared, as they meet in their own tile.
 
-Only what can change the groups is compared. Documents with equal shingles are one class from the start. Each tile's
+Only what can change the groups is compared: within a group of m near copies, which may have m * m / 2 links, about m of
+them are found. Documents with equal shingles are one class from the start. Each tile's
 documents are compared with a few hubs first, then with the one that has most links so far; after that, pairs of
 documents of the tile are compared only where they are in different groups still. So a tile of near copies costs a
 few comparisons for each of its documents, and no tile is expanded into all its pairs.
@@ -274,12 +275,20 @@ class _Join:
         """Pairs (a, b) that link, by intersecting the sorted arrays of their shingles, made anew from their texts."""
         words, percent = self.words, self.percent
         pairs = settle(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        keys = settle(self.profiles.select("uid", "doc_id", "key").join(wanted, "uid"), "wanted")
+        # the end that is in more pairs is b, so the sets of few documents meet those of many
+        ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))
+        wanted = settle(ends.groupBy("uid").agg(F.count("*").alias("pairs")), "ends")
+        sides = [wanted.select(F.col("uid").alias(s), F.col("pairs").alias(f"of_{s}")) for s in "ab"]
+        turned = F.col("of_a") > F.col("of_b")
+        pairs = pairs.join(sides[0], "a").join(sides[1], "b").select(
+            F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")
+        )
+        pairs = settle(pairs, "turned")
+        keys = settle(self.profiles.select("uid", "doc_id", "key").join(wanted.select("uid"), "uid"), "wanted")
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
         slots = keys.select(slot.alias("slot")).distinct()  # SLOTS rows at most
         texts = self.texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-        ids = keys.select("doc_id").distinct()
+        ids = settle(keys.select("doc_id").distinct(), "ids")
         texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,9 +313,11 @@ class _Join:
                     fits.append(linked(common, len(x), len(y), percent))
                 yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-        one = pairs.join(sets.select(F.col("uid").alias("b"), F.col("found").alias("y")), "b")
-        two = one.join(sets.select(F.col("uid").alias("a"), F.col("found").alias("x")), "a")
-        return two.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
+        hubs = settle(pairs.select(F.col("b").alias("uid")).distinct(), "hubs-of")
+        one = pairs.join(sets.select(F.col("uid").alias("a"), F.col("found").alias("x")), "a")
+        two = one.join(sets.join(hubs, "uid", "left_semi").select(F.col("uid").alias("b"), F.col("found").alias("y")), "b")
+        found = two.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def pairs_with(self, tiles: DataFrame, hubs: DataFrame) -> DataFrame:
         """Distinct pairs of a tile's documents with its hubs that places leave room for; the smaller number is a."""
@@ -323,9 +334,11 @@ class _Join:
         known = tiles.join(found, "uid", "left").withColumn("group", F.coalesce("component", "uid")).drop("component")
         known = settle(known, "grouped")
         split = known.groupBy("token", "tile").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
-        return known.join(split.select("token", "tile"), ["token", "tile"])
+        # settled, as other sides of joins by tile, so that rows of a tile in many documents can be split over tasks
+        return known.join(settle(split.select("token", "tile"), "split"), ["token", "tile"])
 
     def links(self) -> DataFrame:
+        """Links (a, b) between class representatives that make the same groups as all links would."""
         one, order = F.struct("uid", "place"), F.struct(F.xxhash64("uid").alias("h"), "uid", "place")
         ends = [F.struct(x["uid"].alias("uid"), x["place"].alias("place")) for x in (F.min(order), F.max(order))]
         hubs = F.array_distinct(F.array(F.min(one), F.max(one), *ends))
@@ -336,14 +349,14 @@ class _Join:
         links = settle(self.exact(self.passed(self.pairs_with(self.tiles, hubs.drop("c")))).distinct(), "links")
 
         # where at most one document is no hub, all pairs have been compared
-        larger = hubs.filter("c - size(hubs) >= 2").select("token", "tile")
+        larger = settle(hubs.filter("c - size(hubs) >= 2").select("token", "tile"), "larger")
         larger = settle(self.tiles.join(larger, ["token", "tile"]), "larger")
         # a document that most of a tile's hubs link with is a better hub
         ends = links.select(F.col("a").alias("uid")).unionByName(links.select(F.col("b").alias("uid")))
         degree = ends.groupBy("uid").agg(F.count("*").alias("degree"))
         tiles = settle(self.divided(larger, links).join(degree, "uid", "left").fillna(0, ["degree"]), "divided")
         best = tiles.groupBy("token", "tile").agg(F.max(F.struct("degree", "uid", "place")).alias("m"))
-        best = best.select("token", "tile", F.array(F.struct("m.uid", "m.place")).alias("hubs"))
+        best = settle(best.select("token", "tile", F.array(F.struct("m.uid", "m.place")).alias("hubs")), "best")
         more = self.exact(self.passed(self.pairs_with(tiles, best)))
         links = settle(links.unionByName(more).distinct(), "links")
 
@@ -362,6 +375,7 @@ class _Join:
         main = main.groupBy("token", "tile").agg(
             F.max(F.struct("in_group", "group")).alias("m"), F.sum("in_group").alias("rows")
         ).select("token", "tile", F.col("m.group").alias("main"), "rows", (F.col("rows") - F.col("m.in_group")).alias("few"))
+        main = settle(main, "main")
         rows = tiles.join(main, ["token", "tile"]).withColumn("is_few", F.col("group") != F.col("main"))
         many_blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
         few_blocks = F.ceil(F.col("few") / BLOCK).cast("int")
