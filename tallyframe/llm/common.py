@@ -23,10 +23,14 @@ def words(data: bytes) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows`` at most: Python objects are made for so many texts at a time."""
+    """The same rows in batches of ``rows`` at most: Python objects are made for so many texts at a time.
+
+    At the end of a task, memory that Arrow keeps for later goes back, as the worker waits for other tasks.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
@@ -41,7 +45,7 @@ class WordHashes(dict):
         found = words(data)
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
-    def trim(self, most: int = 400_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.clear()
 

@@ -24,7 +24,7 @@ from tallyframe.llm.common import slices
 from tallyframe.workspace import settle
 
 #: Bytes of distinct contents that a table holds before its records are split further.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 16 << 20
 #: Spill files that one level of splitting writes.
 FAN_OUT = 16
 #: Bytes of a batch that a task hands on.

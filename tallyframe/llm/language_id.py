@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,37 +29,60 @@ LEARN_FROM = 4000
 LANGUAGES = 128
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters of a text that are looked at together.
+CUT = 1 << 20
+
+_WORDS = re.compile(r"[^\W\d_]+")
+_BETWEEN = re.compile(r"[\W\d_]")
 _BORDER = 0x5F  # "_" stands for the border of a word
-_MOST_WORDS = 100_000
-
-
-class Grams(dict):
-    """N-grams of one to three characters of a word, each as one number of 63 bits; remembered by word."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        letters = [ord(c) for c in word if c.isalpha()]
-        grams: list[int] = []
-        if letters:
-            padded = [_BORDER, *letters, _BORDER]
-            grams = [*letters, *(a << 21 | b for a, b in zip(padded, padded[1:]))]
-            grams += [a << 42 | b << 21 | c for a, b, c in zip(padded, padded[1:], padded[2:])]
-        found = np.array(grams, np.int64)
-        if len(self) >= _MOST_WORDS:
-            self.clear()
-        if len(word) <= 40:
-            self[word] = found
-        return found
-
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct n-grams of a text, sorted, and how often each occurs."""
-        words = _WORD.findall(text.lower()) if text else []
-        if not words:
-            return _NONE, _NONE
-        return np.unique(np.concatenate(list(map(self.__getitem__, words))), return_counts=True)
+_NONE = np.empty(0, np.int64)
 
 
-_NONE = np.empty(0, np.int64)
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point 2 if it is a letter, 1 if it is another character that words may hold, else 0."""
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every = "".join(map(chr, points))
+    kinds = np.zeros(len(points), np.uint8)
+    for word in _WORDS.finditer(every):
+        kinds[word.start() : word.end()] = 1
+    letters = np.fromiter(map(str.isalpha, every), bool, len(points))
+    kinds[letters & (kinds == 1)] = 2
+    out = np.zeros(0x110000, np.uint8)
+    out[points] = kinds
+    return out
+
+
+def _grams(text: str) -> np.ndarray:
+    """N-grams of one to three letters of all words of a text, each as one number of 63 bits; borders count as letters."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds = _kinds()[points]
+    at = np.flatnonzero(kinds)
+    word = np.cumsum(np.diff(at, prepend=-2) > 1)
+    letter = kinds[at] == 2
+    own, word = points[at[letter]].astype(np.int64), word[letter]
+    if not len(own):
+        return _NONE
+    new = word[1:] != word[:-1]
+    first, last = np.append(True, new), np.append(new, True)
+    before, after = np.roll(own, 1), np.roll(own, -1)
+    before[first] = after[last] = _BORDER
+    pairs = before << 21 | own
+    return np.concatenate([own, pairs, own[last] << 21 | _BORDER, pairs << 21 | after])
+
+
+def count_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, sorted, and how often each occurs. Long texts are cut between words."""
+    lowered, at, parts = (text or "").lower(), 0, []
+    while at < len(lowered):
+        found = _BETWEEN.search(lowered, at + CUT)
+        end = found.end() if found else len(lowered)
+        parts.append(np.unique(_grams(lowered[at:end]), return_counts=True))
+        at = end
+    if len(parts) < 2:
+        return parts[0] if parts else (_NONE, _NONE)
+    grams, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return grams, np.bincount(of, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
 
 
 def ranked(grams: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
@@ -82,7 +106,7 @@ def learn(labelled: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM
     chosen = rows.join(shares, "lang").filter(draw < F.col("share")).select("place", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, n = Grams(), {}, 0
+        held, n = {}, 0
 
         def out() -> pa.RecordBatch:
             langs, found, times = [_NONE], [_NONE], [_NONE]
@@ -97,7 +121,7 @@ def learn(labelled: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM
 
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = grams.count(text)
+                counts = count_grams(text)
                 held.setdefault(lang, []).append(counts)
                 n += len(counts[0])
                 if n > 1_000_000:
@@ -147,11 +171,11 @@ def _ranking(profiles: dict[str, list[int]], size: int):
 
     @F.arrow_udf("struct<lang:string,score:double,letters:boolean>")
     def rank(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        grams, ranker = Grams(), Ranker(profiles, size)
+        ranker = Ranker(profiles, size)
         for whole in texts:
             parts = []
             for at in range(0, len(whole), 256):
-                counts = [grams.count(t) for t in whole.slice(at, 256).to_pylist()]
+                counts = [count_grams(t) for t in whole.slice(at, 256).to_pylist()]
                 langs, scores = zip(*(ranker.predict(*c) for c in counts))
                 arrays = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([len(c[0]) > 0 for c in counts])]
                 parts.append(pa.StructArray.from_arrays(arrays, ["lang", "score", "letters"]))

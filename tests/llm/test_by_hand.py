@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyframe.llm import exact_dedup, fingerprints, language_id, mixing, substring_dedup, token_counts, warc
+from tallyframe.llm import exact_dedup, fingerprints, language_id, line_dedup, lm_scoring, mixing, substring_dedup, token_counts, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -338,3 +338,61 @@ def test_last_stages_by_hand(spark, docs, monkeypatch):
     encoded = pieces(spark, mixed, SF).collect()
     want = Counter((r["doc_id"], tuple(model.encode(r["text"], add_eos=True))) for r in mixed.collect())
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded) == want
+
+
+# 2
+
+
+def test_short_lines_with_one_variable_word(spark):
+    """Four words of which one is any word recur; with two variable words, or in few documents, they do not."""
+    names = ["".join(chr(97 + (n * k) % 26) for k in (3, 7, 11, 17)) + "x" * (n % 5) for n in range(300)]
+    rows = [(n, f"user {name} logged in\nin the end {name} {name}ed\nown {name} line") for n, name in enumerate(names)]
+    rows += [(300 + n, f"only {name} few documents") for n, name in enumerate(names[:40])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.without_recurring_lines(frame).collect()}
+    equal = Counter(line for _, t in rows for line in t.split("\n"))
+    for n, text in rows:
+        lines = [x for x in text.split("\n") if equal[x] == 1 and not x.startswith("user ")]
+        assert got[n]["text"] == "\n".join(lines)
+
+
+# 3
+
+
+def test_scores_do_not_depend_on_shards_and_buckets(docs, monkeypatch):
+    def scored():
+        return {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
+
+    whole = scored()
+    monkeypatch.setattr(lm_scoring, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 5000)
+    cut = scored()
+    assert whole.keys() == cut.keys()
+    for i, r in whole.items():
+        assert r[:5] == cut[i][:5] and r["base_score"] == pytest.approx(cut[i]["base_score"])
+        assert abs(r["score"] - cut[i]["score"]) < 0.02 * r["n_tokens"]  # each shard has a codebook of its own
+
+
+def test_elias_fano_finds_the_last_numbers():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 9, 10, 100, 1000):
+        for top in (2, 8, 40, 46, 56, 62):
+            for _ in range(8):
+                values = np.unique(rng.integers(0, 1 << top, n).astype(np.uint64))
+                low_bits, size, low, high = lm_scoring.EliasFano.pack(values)
+                found = lm_scoring.EliasFano(low_bits, size, *(np.frombuffer(x or b"\0", np.uint8) for x in (low, high)))
+                assert (found.get(np.arange(size)) == values).all()
+                asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 1 << top, 50).astype(np.uint64)])
+                assert (found.successor(asked) == np.searchsorted(values, asked)).all()
+
+
+def test_trie_finds_every_bigram():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 10, 100, 1000):
+        for _ in range(10):
+            pairs = np.unique(np.stack([rng.integers(0, 40, n) * 7919 << 18, rng.integers(0, 1 << 36, n)], 1), axis=0)
+            context, successor = pairs[:, 0].astype(np.uint64), pairs[:, 1].astype(np.uint64)
+            codes = rng.integers(1, 256, len(pairs)).astype(np.uint8)
+            trie = lm_scoring.Trie(lm_scoring.mapped(lm_scoring.Trie.build(context, successor, codes)))
+            assert (trie.find(context, successor) == codes).all()
+            assert not trie.find(context, successor ^ np.uint64(1 << 35)).any() or n > 100
