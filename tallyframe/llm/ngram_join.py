@@ -235,7 +235,7 @@ class _Join:
         self.classes = settle(
             some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("size")), "classes"
         )
-        nodes = self.classes.filter("size > 1").select(F.col("key").alias("_key"), F.col("node").alias("_node"))
+        nodes = settle(self.classes.filter("size > 1").select(F.col("key").alias("_key"), F.col("node").alias("_node")), "nodes")
         # of classes of one document nothing needs to be looked up: the class is the document
         others = some.join(nodes, (some["key"] == nodes["_key"]) & (some["uid"] != nodes["_node"]), "left_anti")
         self.nodes = others.select("uid", "n", "band", "bits", "prefix")
