@@ -293,7 +293,8 @@ def slot_table(sources: DataFrame, shard: int = SHARD, groups: int = GROUPS) ->
     counts = spark.range(0, rows, 1, parts).mapInPandas(draw, "shard long, group long, n long, first long")
     member = F.struct(*_MEMBER)
     members = sources.groupBy(group.alias("group")).agg(F.array_sort(F.collect_list(member)).alias("members"))
-    joined = counts.join(settle(members, "groups"), "group")
+    # settled, so that no task has two Python workers
+    joined = settle(counts, "shards").join(settle(members, "groups"), "group")
     return joined.mapInPandas(expand, "shard long, number long, slot long, round long, block long, words long")
 
 
