@@ -181,7 +181,7 @@ def _ranking(profiles: dict[str, list[int]], size: int):
                 parts.append(pa.StructArray.from_arrays(arrays, ["lang", "score", "letters"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("score", pa.float64()), ("letters", pa.bool_())]))
 
-    return rank
+    return rank.asNondeterministic()  # else the planner runs it once for a filter and again for the result
 
 
 def predicted(docs: DataFrame, profiles: DataFrame, out: str, size: int = PROFILE) -> DataFrame:
