@@ -293,7 +293,30 @@ _TRAIN_TEST_SQL = f"""WITH {CTE},
 
 
 def _model_report(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.model_report(spark, _trained(spark, sf).model)
+    return evaluate.model_report(spark, _trained(spark, sf).model).withColumn("value", big("value"))
+
+
+def _categories_sql(present: list[str]) -> str:
+    # One slot per known value of the training rows, and one for all others.
+    known = [f"""nullif("{c}"::VARCHAR, '{P.MISSING_CODE}')""" if c in P.MISSING_CODE_COLUMNS else f'"{c}"' for c in present]
+    return " + ".join(f"count(DISTINCT {k}) + 1" for k in known)
+
+
+_CATEGORIES = [
+    "Day_of_Week", "Road_Type", "Light_Conditions", "Weather_Conditions", "Road_Surface_Conditions", "Urban_or_Rural_Area",
+    "1st_Road_Class", "Carriageway_Hazards", "Police_Force",
+]
+_REPORT_SQL = f"""WITH {CTE},
+  placed AS (SELECT *, {_DIGEST_SQL.format(start=1)} % 100 AS percent,
+    {_DIGEST_SQL.format(start=9)} / 4294967296::DOUBLE AS unit FROM accidents),
+  counts AS (SELECT Accident_Severity, count(*) AS n FROM placed WHERE percent < 70 GROUP BY ALL),
+  ratios AS (SELECT Accident_Severity,
+    (SELECT n FROM counts WHERE Accident_Severity = 2)::DOUBLE / n AS ratio FROM counts),
+  train AS (SELECT * FROM placed JOIN ratios USING (Accident_Severity) WHERE percent < 70 AND (ratio >= 1 OR unit < ratio))
+  SELECT 'numTrees' AS param, {_SMALL.num_trees}::BIGINT AS value
+  UNION ALL SELECT 'maxDepth', {_SMALL.max_depth}
+  UNION ALL SELECT 'numFeatures', {len(P.MODEL_NUMERIC)} + {_categories_sql(_CATEGORIES)} FROM train
+  UNION ALL SELECT 'numClasses', count(DISTINCT Accident_Severity) FROM train"""
 
 
 def _label_mapping(spark: SparkSession, sf: str) -> DataFrame:
@@ -456,13 +479,12 @@ QUERIES: dict[str, Query] = {
         f"""WITH {CTE} SELECT Accident_Severity, (Accident_Severity - 1)::DOUBLE AS label, count(*) AS n FROM accidents
         WHERE {_DIGEST_SQL.format(start=1)} % 100 >= 70 GROUP BY ALL""",
     ),
-    "model_f1": Query(_model_f1, "SELECT true AS as_evaluator, true AS is_share"),
-    # features: 2 numbers of each row, one slot per category and one for others; classes: those of the training rows
-    "model_report": Query(_model_report, "MODEL_REPORT_SQL"),
+    "model_f1": Query(_model_f1, "SELECT count(*) > 0 AS as_evaluator, count(*) > 0 AS is_share FROM lineitem"),
+    "model_report": Query(_model_report, _REPORT_SQL),
     "label_mapping": Query(
         _label_mapping,
         f"""WITH {CTE}, c AS (SELECT DISTINCT Accident_Severity AS code, Severity_Label AS name FROM labelled)
         SELECT (row_number() OVER (ORDER BY code) - 1)::DOUBLE AS "index", code::VARCHAR AS original, name FROM c""",
     ),
-    "tune": Query(_tune, "SELECT d AS max_depth, true AS is_share FROM (VALUES (2), (4)) v(d)"),
+    "tune": Query(_tune, "SELECT d AS max_depth, count(*) > 0 AS is_share FROM orders, (VALUES (2), (4)) v(d) GROUP BY d"),
 }

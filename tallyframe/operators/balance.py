@@ -130,16 +130,25 @@ def _draws(key: Sequence[str], seed: int, parts: Column, table: Column) -> Colum
     return F.aggregate(F.sequence(F.lit(1).cast("bigint"), parts), F.lit(0).cast("bigint"), add)
 
 
-def _with_draws(df: DataFrame, key: Sequence[str], ratios: DataFrame, label: str, kept: Any, seed: int) -> DataFrame:
-    group, parts, table = unused(df, "class", "parts", "table")
+def _with_draws(
+    df: DataFrame, key: Sequence[str], ratios: DataFrame, label: str, kept: Any, seed: int, thin: bool = False
+) -> DataFrame:
+    group, parts, table, ratio = unused(df, "class", "parts", "table", "ratio")
     in_parts = F.greatest(F.ceil(F.col("ratio") / _MEAN_OF_DRAW), F.lit(1).cast("bigint"))
     per_class = ratios.select(
-        F.col("class").alias(group), in_parts.alias(parts), _poisson_table(F.col("ratio") / in_parts).alias(table)
+        F.col("class").alias(group),
+        F.col("ratio").alias(ratio),
+        in_parts.alias(parts),
+        _poisson_table(F.col("ratio") / in_parts).alias(table),
     )
     per_class = settle(per_class, "draws")
     drawn = _draws(key, seed, F.col(parts), F.col(table))
-    copies = F.when(F.col(group) == F.lit(kept), F.lit(1).cast("bigint")).otherwise(drawn)
-    return df.join(per_class, named(label) == F.col(group)).withColumn("copies", copies).drop(group, parts, table)
+    copies = F.when(F.col(group) == F.lit(kept), F.lit(1).cast("bigint"))
+    if thin:
+        once = hash_unit_of_part(key, seed, F.lit(1)) < F.col(ratio)
+        copies = copies.when(F.col(ratio) < 1, once.cast("bigint"))
+    joined = df.join(per_class, named(label) == F.col(group))
+    return joined.withColumn("copies", copies.otherwise(drawn)).drop(group, parts, table, ratio)
 
 
 def draws_by_hash(df: DataFrame, key: Sequence[str], label: str, target: Any, seed: int = 42) -> DataFrame:
@@ -152,13 +161,16 @@ def draws_by_hash(df: DataFrame, key: Sequence[str], label: str, target: Any, se
     return _with_draws(df, key, class_ratios(df, label, target), label, target, seed)
 
 
-def balance_by_draws(df: DataFrame, key: Sequence[str], label: str, target: Any, seed: int = 42) -> DataFrame:
+def balance_by_draws(
+    df: DataFrame, key: Sequence[str], label: str, target: Any, seed: int = 42, thin: bool = False
+) -> DataFrame:
     """Bring every class to about the size of ``target`` by drawing with replacement; ``copy`` numbers a row's copies.
 
-    Repeatable like ``balance_by_hash``, which spreads the copies evenly instead.
+    Repeatable like ``balance_by_hash``, which spreads the copies evenly instead. With ``thin`` only classes that have to
+    grow are drawn from with replacement; of larger classes no row comes twice.
     """
     ratios = class_ratios(df, label, target)
-    counted = _with_draws(df, key, ratios, label, target, seed)
+    counted = _with_draws(df, key, ratios, label, target, seed, thin)
     return _repeated(counted, ratios, _MEAN_OF_DRAW * (_COPIES_IN_TASK // _MOST_DRAWN))
 
 

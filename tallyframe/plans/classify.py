@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyframe import presets as P
 from tallyframe.functions.hashing import hash_percent, hash_unit
 from tallyframe.operators import features
-from tallyframe.operators.balance import balance, balance_by_unit, class_ratios, split_random
+from tallyframe.operators.balance import balance_by_draws, balance_by_unit, class_ratios, split_random
 from tallyframe.operators.clean import drop_incomplete, named, present_columns, to_double
 from tallyframe.operators.evaluate import class_scores, confusion_matrix, label_mapping, model_report, weighted_f1
 from tallyframe.plans.prepare import prepare_model, read_table, session
@@ -34,7 +34,7 @@ class ModelConfig:
 
     ``key`` names the columns that identify a row for the split; without it all columns used do, so equal
     rows stay on one side. ``reference_order`` drops every incomplete row and balances *before* a random
-    split: then copies of one row are in both parts and the score is too good. By default the split comes
+    split, drawing rows of small classes with replacement: then copies of one row are in both parts and the score is too good. By default the split comes
     first, only the training part is balanced, and only rows without a label are dropped. ``forest_params``
     are further parameters of the forest, such as ``maxMemoryInMB`` or ``subsamplingRate`` for large tables.
     """
@@ -83,8 +83,9 @@ def train_test(df: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, DataFrame]:
     """
     rows = model_rows(df, cfg)
     if cfg.reference_order:
-        rows = settle(rows.hint("rebalance"), "rows")
-        return split_random(balance(rows, cfg.label, cfg.target, cfg.seed), cfg.train_percent, cfg.seed)
+        rows = settle(rows.hint("rebalance").withColumn("_row", F.monotonically_increasing_id()), "rows")
+        balanced = balance_by_draws(rows, ["_row"], cfg.label, cfg.target, cfg.seed, thin=True).drop("_row", "copy")
+        return split_random(balanced, cfg.train_percent, cfg.seed)
     key = _model_columns(df, cfg)[2]
     placed = rows.withColumns({"_percent": hash_percent(key, cfg.seed), "_unit": hash_unit(key, cfg.seed)})
     placed = settle(placed.hint("rebalance", "_unit"), "rows")

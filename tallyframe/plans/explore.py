@@ -73,7 +73,7 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "severity_by_speed": severity_by_speed,
     "severe_density": lambda df: geo_density(severe(df), "Latitude", "Longitude", P.GRID_STEP),
     "severe_sample": lambda df: sample_points(
-        severe(df), ["Latitude", "Longitude"], P.SAMPLE_FRACTION, P.SEED
+        severe(df), ["Latitude", "Longitude"], P.SAMPLE_FRACTION, P.SEED, P.SAMPLE_CAP
     ),
     "severe_centre": lambda df: geo_centre(severe(df), "Latitude", "Longitude"),
     "hours": lambda df: df.groupBy("Hour").count().orderBy(F.asc_nulls_last("Hour")),

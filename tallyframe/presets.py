@@ -158,6 +158,7 @@ TRAIN_PERCENT = 70
 NUM_TREES = 50
 MAX_DEPTH = 10
 SAMPLE_FRACTION = 0.1
+SAMPLE_CAP = 50_000
 TOP_VALUES = 5
 HEAD_ROWS = 5
 # --- End of fixed values. ---

@@ -25,14 +25,17 @@ def scan_csv(
 
     Columns are matched to ``types`` by their name in the header, so their order does not matter and
     columns may lack or be added; a column without a declared type is text. Only the header line is read
-    for that. ``infer`` reads all rows once more to find types. Rows that do not fit have null in the bad
+    for that. ``infer`` reads all rows once more to find types (see ``scan_checked`` for types that some rows do not fit). Rows that do not fit have null in the bad
     field; with ``corrupt`` their whole line is kept in a column of that name. A missing file raises. Of a
     folder the first header counts, and any file with another one raises; without ``same_header`` such a file is read by
     the position of its columns. A ``.gz`` file is read by one task.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
     if infer:
-        return reader.option("inferSchema", True).csv(path)
+        inferred = reader.option("inferSchema", True).csv(path)
+        if not corrupt:
+            return inferred
+        types = inferred.schema
     declared = {f.name: f.dataType for f in types.fields} if types else {}
     header = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
