@@ -185,7 +185,7 @@ def _order(texts: DataFrame, words: int) -> Order:
     return Order(counts[:size], counts[size:], words)
 
 
-_PROFILE = "uid long, doc_id long, n int, band int, key binary, bits binary, prefix array<long>"
+_PROFILE = "uid long, doc_id long, text_hash long, n int, band int, key binary, bits binary, prefix array<long>"
 
 
 def _profiles(texts: DataFrame, order: Order, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def _profiles(texts: DataFrame, order: Order, percent: int) -> DataFrame:
         uid = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             sizes, bands, keys, bits, firsts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found, rarest = order.of(memo.of(text) if text else np.empty(0, np.uint64))
                 n = len(found)
                 sizes.append(n)
@@ -211,24 +211,25 @@ def _profiles(texts: DataFrame, order: Order, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(uid, uid + len(sizes)), pa.int64()),
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array(sizes, pa.int32()),
                     pa.array(bands, pa.int32()),
                     pa.array(keys, pa.binary()),
                     pa.array(bits, pa.binary()),
                     lists,
                 ],
-                names=["uid", "doc_id", "n", "band", "key", "bits", "prefix"],
+                names=["uid", "doc_id", "text_hash", "n", "band", "key", "bits", "prefix"],
             )
             uid += len(sizes)
 
-    return settle(texts.select("doc_id", "text").mapInArrow(task, _PROFILE), "profiles")
+    return settle(texts.select("doc_id", "text_hash", "text").mapInArrow(task, _PROFILE), "profiles")
 
 
 class _Join:
     """The state of one join: documents that stand for their class, shared first shingles, and links found so far."""
 
     def __init__(self, texts: DataFrame, words: int, percent: int):
+        texts = texts.withColumn("text_hash", F.xxhash64("text"))
         self.texts, self.words, self.percent = texts, words, percent
         self.profiles = _profiles(texts, _order(texts, words), percent)
         some = self.profiles.filter("n > 0")
@@ -237,8 +238,8 @@ class _Join:
         )
         nodes = settle(self.classes.filter("size > 1").select(F.col("key").alias("_key"), F.col("node").alias("_node")), "nodes")
         # of classes of one document nothing needs to be looked up: the class is the document
-        others = some.join(nodes, (some["key"] == nodes["_key"]) & (some["uid"] != nodes["_node"]), "left_anti")
-        self.nodes = others.select("uid", "n", "band", "bits", "prefix")
+        members = some.select("uid", "key").join(nodes, F.col("key") == F.col("_key")).filter("uid <> _node")
+        self.nodes = some.join(settle(members.select("uid"), "members"), "uid", "left_anti").select("uid", "n", "band", "bits", "prefix")
         first = self.nodes.select("uid", F.posexplode("prefix").alias("at", "token"))
         shared = first.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
         shared = settle(first.join(shared, "token"), "shared")
@@ -284,25 +285,28 @@ class _Join:
             F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")
         )
         pairs = settle(pairs, "turned")
-        keys = settle(self.profiles.select("uid", "doc_id", "key").join(wanted.select("uid"), "uid"), "wanted")
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-        slots = keys.select(slot.alias("slot")).distinct()  # SLOTS rows at most
-        texts = self.texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-        ids = settle(keys.select("doc_id").distinct(), "ids")
-        texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        keys = self.profiles.select("uid", "doc_id", "text_hash", "key").join(wanted.select("uid"), "uid")
+        keys = settle(keys.withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"}), "wanted")
+
+        def slot(text_hash: str) -> Column:
+            return F.pmod(F.col(text_hash), F.lit(SLOTS)).alias("slot")
+
+        slots = settle(keys.select(slot("of_hash")).distinct(), "slots")  # SLOTS rows at most
+        texts = self.texts.withColumn("slot", slot("text_hash")).join(F.broadcast(slots), "slot", "left_semi")
+        # an id and a hash of the text: no id that many documents have makes many rows meet
+        same = texts["doc_id"].eqNullSafe(keys["of_id"]) & (texts["text_hash"] == keys["of_hash"])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = WordHashes()
             for batch in slices(batches):
-                found = [shingles(t, memo, words) for t in batch.column(1).to_pylist()]
-                keys = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
-                arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "found"])
+                found = [shingles(t, memo, words) for t in batch.column(2).to_pylist()]
+                fits = [xxhash.xxh3_128_digest(f.tobytes()) == key for f, key in zip(found, batch.column(1).to_pylist())]
+                arrays = [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["uid", "found"]).filter(pa.array(fits, pa.bool_()))
 
-        made = texts.select("doc_id", "text").mapInArrow(task, "doc_id long, key binary, found binary")
-        same = made["doc_id"].eqNullSafe(keys["doc_id"]) & (made["key"] == keys["key"])
         # rows that repeat give a node twice: links are made distinct in the end
-        sets = settle(made.join(keys, same).select("uid", "found"), "sets")
+        sets = texts.join(keys, same).select("uid", "key", "text").mapInArrow(task, "uid long, found binary")
+        sets = settle(sets, "sets")
 
         def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
