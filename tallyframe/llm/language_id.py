@@ -41,16 +41,14 @@ _NONE = np.empty(0, np.int64)
 @cache
 def _kinds() -> np.ndarray:
     """For each code point 2 if it is a letter, 1 if it is another character that words may hold, else 0."""
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every = "".join(map(chr, points))
-    kinds = np.zeros(len(points), np.uint8)
-    for word in _WORDS.finditer(every):
-        kinds[word.start() : word.end()] = 1
-    letters = np.fromiter(map(str.isalpha, every), bool, len(points))
-    kinds[letters & (kinds == 1)] = 2
-    out = np.zeros(0x110000, np.uint8)
-    out[points] = kinds
-    return out
+    kinds = np.zeros(0x110000, np.uint8)
+    for first in range(0, len(kinds), 1 << 12):  # few characters at a time: what is made here stays with the worker
+        some = "".join(map(chr, range(first, first + (1 << 12))))
+        for word in _WORDS.finditer(some):
+            kinds[first + word.start() : first + word.end()] = 1
+        letters = first + np.flatnonzero(np.fromiter(map(str.isalpha, some), bool, len(some)))
+        kinds[letters] *= 2
+    return kinds
 
 
 def _grams(text: str) -> np.ndarray:
