@@ -45,7 +45,7 @@ class WordHashes(dict):
         found = words(data)
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
-    def trim(self, most: int = 200_000) -> None:
+    def trim(self, most: int = 100_000) -> None:
         if len(self) > most:
             self.clear()
 

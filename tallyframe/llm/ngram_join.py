@@ -428,7 +428,7 @@ class _Join:
             found: set[tuple[int, int]] = set()
             for rows in tiles():
                 found.update(compare(rows))
-                if len(found) > 200_000:
+                if len(found) > 50_000:
                     yield _pairs(found)
                     found.clear()
             yield _pairs(found)
