@@ -314,14 +314,26 @@ def _cut_out(candidates: DataFrame, places: DataFrame, window: int) -> DataFrame
     return joined.select("k1", "k2", "text", "whole", "places").mapInArrow(run, _KEPT)
 
 
+def _frequent(narrow: DataFrame) -> DataFrame:
+    """k1, k2 and copies of texts that over one in FREQUENT documents have, so fewer than FREQUENT of them."""
+    copies = narrow.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    return settle(copies.filter(F.col("copies") * FREQUENT > narrow.count()), "frequent")
+
+
 def _texts_with_repeats(docs: DataFrame, narrow: DataFrame, window: int) -> DataFrame:
     """One row for each different text that loses words: its key, what is kept, and the spans of words that go."""
     rivals = _surviving(narrow)
     if rivals is None:
         return docs.sparkSession.createDataFrame([], _KEPT)
-    rivals = settle(rivals, "rivals")
-    texts = docs.select(*_key()).join(rivals.select("k1", "k2"), ["k1", "k2"], "left_semi")
-    once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(rivals, ["k1", "k2"])
+    rivals, key = settle(rivals, "rivals"), ["k1", "k2"]
+    texts, wanted, frequent = docs.select(*_key()), rivals.select(*key), F.broadcast(_frequent(narrow).select(*key))
+
+    def one_each(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(F.first("text").alias("text"))
+
+    # a text that many documents have is made one in each task before it moves; of others, only those wanted move
+    rest = one_each(texts.join(frequent, key, "left_anti").join(wanted, key, "left_semi"))
+    once = rest.unionByName(one_each(texts.join(frequent, key, "left_semi"))).join(rivals, key)
     candidates = settle(once.withColumn("uid", F.monotonically_increasing_id()), "candidates")
     return _cut_out(candidates, _recurring(_windows(candidates, window)), window)
 
@@ -336,9 +348,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     changed = _texts_with_repeats(docs, narrow, window)
     changed = settle(changed.select(*key, "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "changed")
     rows = narrow.select("doc_id", *key, "n_words", "all_sha256")
-    copies = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
-    # fewer than FREQUENT texts, two numbers and a digest each
-    frequent = copies.filter(F.col("copies") * FREQUENT > rows.count()).join(changed, key, "left")
+    # two numbers and a digest for each
+    frequent = _frequent(narrow).join(changed, key, "left")
     marked = rows.join(F.broadcast(settle(frequent, "frequent")), key, "left")
     rest = marked.filter("copies is null").drop("copies", *found).join(changed, key, "left")
     columns = ["doc_id", "n_words", "all_sha256", *found]
