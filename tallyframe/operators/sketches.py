@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import columns as C
-from tallyframe.operators.clean import drop_incomplete, dtype_of, named
+from tallyframe.operators.clean import dtype_of, named
 from tallyframe.operators.profile import top_per_group
 from tallyframe.workspace import settle
 
@@ -28,9 +28,9 @@ TRACKED = 4096
 
 def quantile_sketches(df: DataFrame, by: Sequence[str], value: str, k: int = QUANTILE_K) -> DataFrame:
     """(by..., sketch): one sketch of the known values for each group of ``by``."""
-    numbers = df.withColumn("_y", named(value).cast("double"))
-    known = numbers.filter(F.col("_y").isNotNull() & ~F.isnan("_y"))
-    return known.groupBy(*[named(b) for b in by]).agg(F.kll_sketch_agg_double("_y", F.lit(k)).alias("sketch"))
+    y = named(value).cast("double")
+    known = df.filter(y.isNotNull() & ~F.isnan(y))
+    return known.groupBy(*[named(b) for b in by]).agg(F.kll_sketch_agg_double(y, F.lit(k)).alias("sketch"))
 
 
 def merged_quantiles(sketches: DataFrame, by: Sequence[str], probs: Sequence[float], k: int = QUANTILE_K) -> DataFrame:
