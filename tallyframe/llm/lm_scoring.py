@@ -16,7 +16,6 @@ A context with many occurrences is spread over several shards by its successors.
 
 from __future__ import annotations
 
-import math
 import mmap
 from collections.abc import Iterator
 
