@@ -107,11 +107,6 @@ def _numeric_columns(df: DataFrame, cols: Sequence[str]) -> None:
         raise TypeError(f"not numeric: {', '.join(text)}")
 
 
-def _complete_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    # Rows with any gap are left out of all pairs, so every pair is measured on the same rows.
-    return drop_incomplete(df.select(*[named(c).cast("double").alias(c) for c in cols]))
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair of numeric columns; null if one of them is constant.
 
@@ -120,7 +115,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     (columns x columns) numbers. Matrices of tasks are merged in a tree; one of them is all that the driver sees.
     """
     _numeric_columns(df, cols)
-    vectors = _vectors(_complete_numbers(df, cols), cols)
+    vectors = _complete_vectors(df, cols)
     rows = [(a, b, None) for a in cols for b in cols]
     if len(vectors.take(2)) == 2:
         known = vectors.select(Summarizer.metrics("min", "max").summary(F.col("row")).alias("s")).first()["s"]
@@ -135,5 +130,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
-def _vectors(numbers: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return numbers.select(array_to_vector(F.array(*[named(c) for c in cols])).alias("row"))
+def _complete_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    # Rows with any gap are left out of all pairs, so every pair is measured on the same rows. A filter on the columns
+    # would derive them a second time; none is pushed below an explode, so each cell is made once in each pass.
+    cells = F.array(*[named(c).cast("double") for c in cols])
+    complete = F.forall("row", lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = df.select(F.explode(F.array(cells)).alias("row")).filter(complete)
+    return rows.select(array_to_vector("row").alias("row"))

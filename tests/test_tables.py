@@ -2,12 +2,14 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.catalog import exploration
 from tallyframe.functions.columns import unused
 from tallyframe.functions.hashing import hash_order
 from tallyframe.operators import balance as b
@@ -19,6 +21,7 @@ from tallyframe.operators.profile import categorical_profile
 from tallyframe.operators.rank import with_position, with_running_total
 from tallyframe.sources.csv import scan_checked
 from tallyframe.sources.tables import bucketed, ingest, ingest_again, ingest_checked, open_bucketed
+from tallyframe.workspace import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -297,3 +300,21 @@ def test_checked_scan_of_no_bad_rows(spark, tmp_path):
     (tmp_path / "none.csv").write_text("k,t\n")
     good, bad, counts = ingest_checked(scan_checked(spark, str(tmp_path / "none.csv"), infer=True), str(tmp_path / "out2"))
     assert good.collect() == [] and bad.collect() == [] and counts == {"rows": 0}
+
+
+def test_wide_correlation_writes_no_table(spark):
+    folder = Path(shared_dir(spark))
+    before = {p for p in folder.rglob("*") if p.is_file()}
+    assert exploration.QUERIES["corr_wide"].run(spark, SF).count() == 200 * 200
+    written = sum(p.stat().st_size for p in folder.rglob("*") if p.is_file() and p not in before)
+    assert written < Path(f"{SF}/lineitem.parquet").stat().st_size
+
+
+def test_gaps_of_derived_columns_leave_their_rows_out(spark):
+    frame = spark.range(6).select(
+        F.col("id").cast("double").alias("x"),
+        F.when(F.col("id") != 2, F.when(F.col("id") == 3, float("nan")).otherwise(-2.0 * F.col("id"))).alias("y"),
+        F.expr("CASE id WHEN 2 THEN 100 WHEN 3 THEN -100 ELSE id END").alias("z"),
+    )
+    got = {(r["a"], r["b"]): r["r"] for r in corr_matrix(frame, frame.columns).collect()}
+    assert got["x", "z"] == pytest.approx(1.0) and got["y", "z"] == pytest.approx(-1.0)
