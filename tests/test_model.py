@@ -94,6 +94,20 @@ def test_saved_model(trained, tmp_path):
     assert n[0] == n[1]
 
 
+def test_training_rows_are_spread_by_number(rows, monkeypatch):
+    fitted = []
+
+    class Seen(classify.Pipeline):
+        def fit(self, dataset, params=None):
+            fitted.extend(r["n"] for r in dataset.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(classify, "Pipeline", Seen)
+    monkeypatch.setattr(classify, "_ROWS_IN_TASK", 100, raising=False)
+    again = classify.train(rows, SMALL)
+    assert sum(fitted) == again.train.count() > 2000 and max(fitted) < 120
+
+
 def test_tuning(rows):
     search = classify.tune(rows, ModelConfig(num_trees=2), {"maxDepth": [1, 3]}, folds=2)
     assert len(search.avgMetrics) == 2 and all(0 < m < 1 for m in search.avgMetrics)
