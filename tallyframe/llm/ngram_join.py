@@ -13,8 +13,9 @@ after, and two documents that are both there for their smaller band are not comp
 Only what can change the groups is compared: within a group of m near copies, which may have m * m / 2 links, about m of
 them are found. Documents with equal shingles are one class from the start. Each tile's
 documents are compared with a few hubs first, then with the one that has most links so far; after that, pairs of
-documents of the tile are compared only where they are in different groups still. So a tile of near copies costs a
-few comparisons for each of its documents, and no tile is expanded into all its pairs.
+documents of the tile are compared only where they are in different groups still. Of those, so many are intersected
+first as tie all groups together a few times over, if they link; others only where groups are still apart then. So a
+tile of near copies costs a few comparisons for each of its documents, and no tile is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SKETCH_BITS = 18
 SLOTS = 1 << 20
 #: Documents of a tile that are compared with each other in one piece.
 BLOCK = 512
+#: Times that the first pairs across groups tie the groups of a block together.
+TIES = 3
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -99,7 +102,7 @@ def _band(n: int, percent: int) -> int:
 
 def _bitmap(found: np.ndarray) -> bytes:
     width = 64
-    while width < 4 * len(found):
+    while width < 2 * len(found):
         width *= 2
     bits = np.zeros(width, bool)
     bits[found & np.uint64(width - 1)] = True
@@ -240,7 +243,8 @@ class _Join:
         # of classes of one document nothing needs to be looked up: the class is the document
         members = some.select("uid", "key").join(nodes, F.col("key") == F.col("_key")).filter("uid <> _node")
         self.nodes = some.join(settle(members.select("uid"), "members"), "uid", "left_anti").select("uid", "n", "band", "bits", "prefix")
-        first = self.nodes.select("uid", F.posexplode("prefix").alias("at", "token"))
+        # dealt once: the count and the join read the same files
+        first = self.nodes.select("uid", F.posexplode("prefix").alias("at", "token")).repartition("token")
         shared = first.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
         shared = settle(first.join(shared, "token"), "shared")
         self.small = settle(shared.select("uid").distinct().join(self.nodes.drop("prefix"), "uid"), "small")
@@ -364,14 +368,23 @@ class _Join:
         more = self.exact(self.passed(self.pairs_with(tiles, best)))
         links = settle(links.unionByName(more).distinct(), "links")
 
-        rest = self.exact(self.across(self.divided(larger, links)))
+        first = settle(self.across(self.divided(larger, links), TIES), "first")
+        pairs = settle(first.filter("NOT more").select("a", "b"), "pairs")
+        links = settle(links.unionByName(self.exact(pairs)).distinct(), "links")
+        more = settle(first.filter("more").select(F.col("a").alias("token"), F.col("b").alias("tile")), "more")
+        if more.isEmpty():
+            return links
+        rest = self.across(self.divided(settle(larger.join(more, ["token", "tile"]), "larger"), links))
+        rest = self.exact(rest.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
         return settle(links.unionByName(rest).distinct(), "links")
 
-    def across(self, tiles: DataFrame) -> DataFrame:
-        """Distinct pairs of documents of a tile in different groups, for which bit counts leave room for a link.
+    def across(self, tiles: DataFrame, ties: int | None = None) -> DataFrame:
+        """Pairs (a, b) of documents of a tile in different groups, for which bit counts leave room for a link.
 
         Documents outside of a tile's main group are its few; a pair has one of them at least. Both the few and all
-        documents of a tile are dealt to blocks, and each block of the few meets each block of all.
+        documents of a tile are dealt to blocks, and each block of the few meets each block of all. With ``ties`` a
+        block gives that many forests of its groups at most, each of pairs that the ones before it leave out; rows with
+        ``more`` are the tiles (a: token, b: tile) that have further pairs.
         """
         percent = self.percent
         tiles = settle(tiles, "across")
@@ -404,14 +417,23 @@ class _Join:
                     out.append((uid, group, place & 1, n, n - at, int.from_bytes(bits, "little"), 8 * len(bits)))
             return out
 
-        def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            every = side(rows, False)
+        def compare(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+            every, forests, more = side(rows, False), [{} for _ in range(ties or 0)], False
             for uid, group, own, n, rest, bits, width in side(rows, True):
                 for uid_2, group_2, own_2, n_2, rest_2, bits_2, width_2 in every:
                     if group == group_2 or not (own or own_2) or min(rest, rest_2) * (100 + percent) < (n + n_2) * percent:
                         continue
-                    if _may_link(bits, width, n, bits_2, width_2, n_2, percent):
-                        yield min(uid, uid_2), max(uid, uid_2)
+                    ends = next((e for f in forests if (e := (f, _root(f, group), _root(f, group_2)))[1] != e[2]), None)
+                    if ends is None and more or not _may_link(bits, width, n, bits_2, width_2, n_2, percent):
+                        continue
+                    if ends is None and ties is not None:
+                        more = True
+                        continue
+                    if ends is not None:
+                        ends[0][ends[1]] = ends[2]
+                    yield min(uid, uid_2), max(uid, uid_2), False
+            if more:
+                yield rows[0][0], rows[0][1], True
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def tiles() -> Iterator[list[tuple]]:
@@ -425,7 +447,7 @@ class _Join:
                 if held:
                     yield held
 
-            found: set[tuple[int, int]] = set()
+            found: set[tuple[int, int, bool]] = set()
             for rows in tiles():
                 found.update(compare(rows))
                 if len(found) > 50_000:
@@ -433,13 +455,20 @@ class _Join:
                     found.clear()
             yield _pairs(found)
 
-        out = dealt.select(*keys, "uid", "place", "group", "few_side", "bits").mapInArrow(task, "a long, b long")
+        out = dealt.select(*keys, "uid", "place", "group", "few_side", "bits").mapInArrow(task, "a long, b long, more boolean")
         return out.distinct()
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _root(parents: dict[int, int], group: int) -> int:
+    while (above := parents.get(group, group)) != group:
+        parents[group] = group = parents.get(above, above)
+    return group
+
+
+def _pairs(found: set[tuple[int, int, bool]]) -> pa.RecordBatch:
+    columns = zip(*found) if found else ((), (), ())
+    arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "more"])
 
 
 def shingle_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

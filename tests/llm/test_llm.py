@@ -578,3 +578,20 @@ def test_pipeline(spark, docs):
     want = {i for i, n, least in groups_by_hand(left, 5, 80) if least == i}
     assert {r["doc_id"] for r in rows.collect()} == want
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_a_large_group_of_near_copies_is_not_compared_in_all_pairs(spark, monkeypatch):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(m, " ".join(f"x{m}" if k == m + 20 else w for k, w in enumerate(base))) for m in range(150)]
+    hubs, exact, seen = ngram_join._Join.pairs_with, ngram_join._Join.exact, []
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        return exact(self, pairs)
+
+    # without the pairs with hubs, all is left to the comparison across groups
+    monkeypatch.setattr(ngram_join._Join, "pairs_with", lambda *args: hubs(*args).limit(0))
+    monkeypatch.setattr(ngram_join._Join, "exact", counted)
+    found = ngram_join.shingle_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [tuple(r) for r in found.select("component_id").distinct().collect()] == [(0,)]
+    assert sum(seen) < 150 * 149 / 4
