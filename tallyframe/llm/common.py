@@ -33,6 +33,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     pa.default_memory_pool().release_unused()
 
 
+#: Of a record batch that goes to a Python worker, about. Spark's own is 64 MB, which a JVM and a worker hold a few times over.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python workers have about BATCH_BYTES, unless the session says how large they are.
+
+    The setting is read when a query runs, so it stays set.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; ``trim`` bounds what is remembered."""
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -340,6 +341,26 @@ def test_last_stages_by_hand(spark, docs, monkeypatch):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded) == want
 
 
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_stages_have_small_batches(spark, docs, number):
+    """Of 24 MB of texts in one task, no batch for a Python worker is much above four, whichever stage comes first."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    corpus_pipeline.STAGES[number][1](spark, docs.limit(20), SF)
+    long = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("eight by"), 1000).alias("text"))
+    found = long.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r["rows"] for r in found) == 3000 and max(r["size"] for r in found) < 6_000_000
+    spark.conf.set(key, "1m")  # what a session says holds
+    corpus_pipeline.STAGES[number][1](spark, docs.limit(20), SF)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
 # 2
 
 
