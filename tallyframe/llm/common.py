@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.workspace import settle
+from tallyframe.workspace import passing, settle
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,28 +75,32 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
+def stars(groups: DataFrame) -> DataFrame:
+    """Links (a, b) that make the components (node, component)."""
+    return groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): columns node, component (smallest node that is reachable).
 
-    Rounds of large and small stars, each written to the shared folder. Minima are taken by aggregates with
+    Rounds of large and small stars, each written to the shared folder, until each node but the least of its component
+    has that one as its only neighbour; links that are so already take no round. Minima are taken by aggregates with
     map-side combining and joined back by unique keys, so a node with many links is no single task's work.
     The number of rounds grows with the logarithm of the longest path. Empty links give an empty result.
     """
-    edges = settle(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: neighbours above a node are tied to the least of its neighbourhood
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        # small star: a node and its lower neighbours are tied to the least of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a")
-        tied = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        new = settle(tied.filter("a <> b").distinct(), "edges")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
-        edges = new
-    roots = new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    with passing(links.sparkSession):
+        edges = settle(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
+        while True:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max("b").alias("most"))
+            least = settle(least, "least")
+            if least.filter("m < a AND m < most").isEmpty():
+                break
+            # large star: neighbours above a node are tied to the least of its neighbourhood
+            large = both.join(least.drop("most"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            # small star: a node and its lower neighbours are tied to the least of them
+            lower = settle(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+            tied = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            tied = tied.unionByName(lower.select("a", F.col("m").alias("b")))
+            edges = settle(tied.filter("a <> b").distinct(), "edges")
+        return settle(least.select(F.col("a").alias("node"), F.col("m").alias("component")), "components", keep=True)

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WordHashes, components, mix64, slices
-from tallyframe.workspace import settle
+from tallyframe.llm.common import WordHashes, components, mix64, slices, stars
+from tallyframe.workspace import passing, settle
 
 #: Words of a shingle, and the least overlap in hundredths of the union.
 WORDS = 4
@@ -225,11 +225,11 @@ def _profiles(texts: DataFrame, order: Order, percent: int) -> DataFrame:
             )
             uid += len(sizes)
 
-    return settle(texts.select("doc_id", "text_hash", "text").mapInArrow(task, _PROFILE), "profiles")
+    return settle(texts.select("doc_id", "text_hash", "text").mapInArrow(task, _PROFILE), "profiles", keep=True)
 
 
 class _Join:
-    """The state of one join: documents that stand for their class, shared first shingles, and links found so far."""
+    """The state of one join: documents that stand for their class, their shared first shingles, and tiles of these."""
 
     def __init__(self, texts: DataFrame, words: int, percent: int):
         texts = texts.withColumn("text_hash", F.xxhash64("text"))
@@ -336,17 +336,17 @@ class _Join:
         met = met.filter(_enough(rest, _size_of(here), _size_of(there), self.percent))
         return met.select(F.least("uid", "hub.uid").alias("a"), F.greatest("uid", "hub.uid").alias("b")).distinct()
 
-    def divided(self, tiles: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows (token, tile, uid, place, group) of tiles whose documents are in more than one group by the links."""
-        found = components(links).select(F.col("node").alias("uid"), "component")
+    def divided(self, tiles: DataFrame, groups: DataFrame) -> DataFrame:
+        """Rows (token, tile, uid, place, group) of tiles whose documents are in more than one group."""
+        found = groups.select(F.col("node").alias("uid"), "component")
         known = tiles.join(found, "uid", "left").withColumn("group", F.coalesce("component", "uid")).drop("component")
         known = settle(known, "grouped")
         split = known.groupBy("token", "tile").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
         # settled, as other sides of joins by tile, so that rows of a tile in many documents can be split over tasks
         return known.join(settle(split.select("token", "tile"), "split"), ["token", "tile"])
 
-    def links(self) -> DataFrame:
-        """Links (a, b) between class representatives that make the same groups as all links would."""
+    def groups(self) -> DataFrame:
+        """Groups (node, component) of class representatives that all links between them make."""
         one, order = F.struct("uid", "place"), F.struct(F.xxhash64("uid").alias("h"), "uid", "place")
         ends = [F.struct(x["uid"].alias("uid"), x["place"].alias("place")) for x in (F.min(order), F.max(order))]
         hubs = F.array_distinct(F.array(F.min(one), F.max(one), *ends))
@@ -355,6 +355,7 @@ class _Join:
         hubs = hubs.filter("c > 1 and own = 1").drop("own")
         hubs = settle(hubs, "hubs")
         links = settle(self.exact(self.passed(self.pairs_with(self.tiles, hubs.drop("c")))).distinct(), "links")
+        groups = components(links)
 
         # where at most one document is no hub, all pairs have been compared
         larger = settle(hubs.filter("c - size(hubs) >= 2").select("token", "tile"), "larger")
@@ -362,21 +363,22 @@ class _Join:
         # a document that most of a tile's hubs link with is a better hub
         ends = links.select(F.col("a").alias("uid")).unionByName(links.select(F.col("b").alias("uid")))
         degree = ends.groupBy("uid").agg(F.count("*").alias("degree"))
-        tiles = settle(self.divided(larger, links).join(degree, "uid", "left").fillna(0, ["degree"]), "divided")
+        tiles = settle(self.divided(larger, groups).join(degree, "uid", "left").fillna(0, ["degree"]), "divided")
         best = tiles.groupBy("token", "tile").agg(F.max(F.struct("degree", "uid", "place")).alias("m"))
         best = settle(best.select("token", "tile", F.array(F.struct("m.uid", "m.place")).alias("hubs")), "best")
         more = self.exact(self.passed(self.pairs_with(tiles, best)))
-        links = settle(links.unionByName(more).distinct(), "links")
+        # further links are added to the groups that there are, not to all links again
+        groups = components(stars(groups).unionByName(more))
 
-        first = settle(self.across(self.divided(larger, links), TIES), "first")
+        first = settle(self.across(self.divided(larger, groups), TIES), "first")
         pairs = settle(first.filter("NOT more").select("a", "b"), "pairs")
-        links = settle(links.unionByName(self.exact(pairs)).distinct(), "links")
+        groups = components(stars(groups).unionByName(self.exact(pairs)))
         more = settle(first.filter("more").select(F.col("a").alias("token"), F.col("b").alias("tile")), "more")
         if more.isEmpty():
-            return links
-        rest = self.across(self.divided(settle(larger.join(more, ["token", "tile"]), "larger"), links))
+            return groups
+        rest = self.across(self.divided(settle(larger.join(more, ["token", "tile"]), "larger"), groups))
         rest = self.exact(rest.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
-        return settle(links.unionByName(rest).distinct(), "links")
+        return components(stars(groups).unionByName(rest))
 
     def across(self, tiles: DataFrame, ties: int | None = None) -> DataFrame:
         """Pairs (a, b) of documents of a tile in different groups, for which bit counts leave room for a link.
@@ -481,11 +483,11 @@ def shingle_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     hashes, and whole sets by 128-bit ones.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
-    join = _Join(docs.select(*columns), words, percent)
-    groups = components(join.links())
-    of_class = join.classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = settle(of_class.join(least, "component").select("key", "component_id"), "named")
+    with passing(docs.sparkSession):
+        join = _Join(docs.select(*columns), words, percent)
+        of_class = join.classes.join(join.groups(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = settle(of_class.join(least, "component").select("key", "component_id"), "named", keep=True)
     empty = join.profiles.filter("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     some = join.profiles.filter("n > 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key")
     return some.join(named, "key").drop("key").unionByName(empty)
@@ -493,5 +495,7 @@ def shingle_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group; rows without a shingle stay. Ids are to be unique."""
-    kept = shingle_groups(docs, words, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    with passing(docs.sparkSession):
+        kept = shingle_groups(docs, words, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
+        kept = settle(kept.distinct(), "kept", keep=True)
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
