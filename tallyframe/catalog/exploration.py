@@ -135,7 +135,7 @@ def _corr_wide(spark: SparkSession, sf: str) -> DataFrame:
     base = [F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100]
     base.append(F.col("l_linenumber").cast("double"))
     sums = [sum((x * ((i * (b + 3) + b * b) % 11 - 5) for b, x in enumerate(base)), F.lit(0.0)) for i in range(_WIDE)]
-    # not written: 200 doubles a row are many times the table, and three passes make them as they read
+    # not written: 200 doubles a row are many times the table, and the one pass makes them as it reads
     wide = items.select(*[total.alias(f"x{i}") for i, total in enumerate(sums)])
     return ops.corr_matrix(wide, wide.columns).withColumn("r", rounded("r"))
 

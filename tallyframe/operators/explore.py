@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,21 +107,36 @@ def _numeric_columns(df: DataFrame, cols: Sequence[str]) -> None:
         raise TypeError(f"not numeric: {', '.join(text)}")
 
 
+#: What is known of complete rows: their number; per column its mean, least and greatest value, and its products with each
+#: column, of deviations from the means, as doubles.
+_MOMENTS = "n long, moments binary"
+_Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair of numeric columns; null if one of them is constant.
 
-    All complete rows are read as one vector each: once for the bounds of the columns, once for their means, and once
-    for the products of deviations, which each task adds up in one matrix of
-    (columns x columns) numbers. Matrices of tasks are merged in a tree; one of them is all that the driver sees.
+    Rows are read once, in blocks that are multiplied by themselves as matrices: each task adds up one matrix of
+    (columns x columns) products of deviations. Those of tasks are merged in a tree; one of them is all that the driver
+    sees. Rows with any gap are left out of all pairs, so every pair is measured on the same rows.
     """
     _numeric_columns(df, cols)
-    vectors = _complete_vectors(df, cols)
+    # One array a row: of many columns, Spark adds up the sizes anew for every row that it hands over.
+    cells = df.select(F.array(*[named(c).cast("double") for c in cols]).alias("row"))
+    of_rows, of_tasks = _moment_tasks(len(cols))
+    found = cells.mapInArrow(of_rows, _MOMENTS)
+    for tasks in (df.sparkSession.sparkContext.defaultParallelism, 1):
+        found = found.repartition(tasks).mapInArrow(of_tasks, _MOMENTS)
+    whole = found.first()
     rows = [(a, b, None) for a in cols for b in cols]
-    if len(vectors.take(2)) == 2:
-        known = vectors.select(Summarizer.metrics("min", "max").summary(F.col("row")).alias("s")).first()["s"]
-        r = Correlation.corr(vectors, "row").first()[0].toArray()
+    if whole and whole["n"] > 1:
+        _, least, greatest, *products = np.frombuffer(whole["moments"]).reshape(-1, len(cols))
+        spread = np.sqrt(np.diag(products))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = np.array(products) / np.outer(spread, spread)
+        np.fill_diagonal(r, 1.0)
         # By value, not by variance: the rounding of a constant's mean must not pass for variance.
-        varies = known["max"].toArray() > known["min"].toArray()
+        varies = greatest > least
         rows = [
             (a, b, float(r[i, j]) if varies[i] and varies[j] else None)
             for i, a in enumerate(cols)
@@ -130,10 +145,48 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
-def _complete_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    # Rows with any gap are left out of all pairs, so every pair is measured on the same rows. A filter on the columns
-    # would derive them a second time; none is pushed below an explode, so each cell is made once in each pass.
-    cells = F.array(*[named(c).cast("double") for c in cols])
-    complete = F.forall("row", lambda x: x.isNotNull() & ~F.isnan(x))
-    rows = df.select(F.explode(F.array(cells)).alias("row")).filter(complete)
-    return rows.select(array_to_vector("row").alias("row"))
+def _moment_tasks(cols: int) -> tuple[_Task, _Task]:
+    """What a task does with rows of ``cols`` cells, and with what other tasks found.
+
+    Made here and not in the module, so that workers need not have it.
+    """
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, cols)  # a null is NaN
+                gaps = np.isnan(rows).any(axis=1)
+                rows = rows[~gaps] if gaps.any() else rows
+                if n := len(rows):
+                    mean = rows.mean(axis=0)
+                    apart = rows - mean
+                    yield n, np.vstack([mean, rows.min(axis=0), rows.max(axis=0), apart.T @ apart])
+
+        return merged(blocks())
+
+    def of_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tasks() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                for n, moments in zip(*batch.columns):
+                    yield n.as_py(), np.frombuffer(moments.as_buffer()).reshape(-1, cols)
+
+        return merged(tasks())
+
+    def merged(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        # One part at a time. Deviations are from the mean of their part and are moved to the common mean, so sums of
+        # squares of large numbers lose no digits.
+        total, whole = 0, None
+        with np.errstate(invalid="ignore"):
+            for n, part in parts:
+                if whole is None:
+                    total, whole = n, part.copy()
+                    continue
+                apart = part[0] - whole[0]
+                whole[3:] += part[3:] + np.outer(apart, apart) * (n / (total + n) * total)
+                total += n
+                whole[0] += apart * (n / total)
+                whole[1], whole[2] = np.minimum(whole[1], part[1]), np.maximum(whole[2], part[2])
+        if whole is not None:
+            yield pa.RecordBatch.from_pydict({"n": [total], "moments": [whole.tobytes()]})
+
+    return of_rows, of_tasks

@@ -227,6 +227,36 @@ def test_correlation_of_no_rows(spark):
     assert [r["r"] for r in corr_matrix(one, ["x", "y"]).collect()] == [None] * 4
 
 
+def test_correlation_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(0, 5000, 1, 7).selectExpr("id + 1e6D AS x", "-2e0D * id AS y").mapInArrow(count, "x double, y double")
+    got = {(r["a"], r["b"]): r["r"] for r in corr_matrix(frame, frame.columns).collect()}
+    assert got["x", "y"] == pytest.approx(-1.0) and seen.value == 5000
+
+
+def test_correlation_over_tasks_that_differ(spark):
+    # Sorted, so that no task has the common mean; in other columns little spread, gaps, and one value without a bound.
+    frame = spark.range(0, 4000, 1, 16).select(
+        (F.col("id") + 1e6).alias("far"),
+        (F.sin("id") * 1e-8).alias("small"),
+        F.when(F.col("id") % 100 < 99, F.col("id") % 13).alias("gaps"),
+        F.when(F.col("id") == 5, F.lit(math.inf)).otherwise(F.col("id")).alias("endless"),
+    )
+    frame = frame.filter("far < 1001000 OR far > 1003000")  # some tasks have no rows
+    got = {(r["a"], r["b"]): r["r"] for r in corr_matrix(frame, frame.columns).collect()}
+    data = np.array(frame.dropna().collect(), dtype=float)
+    want = np.corrcoef(data[:, :3].T)
+    for i, a in enumerate(frame.columns[:3]):
+        assert [got[a, b] for b in frame.columns[:3]] == pytest.approx(list(want[i]), abs=1e-9)
+        assert math.isnan(got[a, "endless"]) and math.isnan(got["endless", a])
+
+
 # storage
 
 
