@@ -110,6 +110,8 @@ def _numeric_columns(df: DataFrame, cols: Sequence[str]) -> None:
 #: What is known of complete rows: their number; per column its mean, least and greatest value, and its products with each
 #: column, of deviations from the means, as doubles.
 _MOMENTS = "n long, moments binary"
+#: Rows that are multiplied at a time: a few columns or a few hundred, they stay in a core's cache.
+_BLOCK = 1000
 _Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -154,13 +156,15 @@ def _moment_tasks(cols: int) -> tuple[_Task, _Task]:
     def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[tuple[int, np.ndarray]]:
             for batch in batches:
-                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, cols)  # a null is NaN
-                gaps = np.isnan(rows).any(axis=1)
-                rows = rows[~gaps] if gaps.any() else rows
-                if n := len(rows):
-                    mean = rows.mean(axis=0)
-                    apart = rows - mean
-                    yield n, np.vstack([mean, rows.min(axis=0), rows.max(axis=0), apart.T @ apart])
+                cells = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, cols)  # a null is NaN
+                for at in range(0, len(cells), _BLOCK):
+                    rows = cells[at : at + _BLOCK]
+                    gaps = np.isnan(rows).any(axis=1)
+                    rows = rows[~gaps] if gaps.any() else rows
+                    if n := len(rows):
+                        mean = rows.mean(axis=0)
+                        apart = rows - mean
+                        yield n, np.vstack([mean, rows.min(axis=0), rows.max(axis=0), apart.T @ apart])
 
         return merged(blocks())
 
