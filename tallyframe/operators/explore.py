@@ -129,7 +129,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     found = cells.mapInArrow(of_rows, _MOMENTS)
     for tasks in (df.sparkSession.sparkContext.defaultParallelism, 1):
         found = found.repartition(tasks).mapInArrow(of_tasks, _MOMENTS)
-    whole = found.first()
+    whole = next(iter(found.collect()), None)  # a row of one task; read to its end, or its worker would complain
     rows = [(a, b, None) for a in cols for b in cols]
     if whole and whole["n"] > 1:
         _, least, greatest, *products = np.frombuffer(whole["moments"]).reshape(-1, len(cols))

@@ -29,7 +29,6 @@ from tallyframe.operators.explore import (
 from tallyframe.operators.profile import distributions
 from tallyframe.plans.prepare import prepare_exploration, read_table, session
 from tallyframe.sources.tables import write_result
-from tallyframe.workspace import settle
 
 
 def severity_by_speed(df: DataFrame) -> DataFrame:
@@ -51,8 +50,7 @@ def correlation(df: DataFrame) -> DataFrame:
     words = _columns_with_words(df, [c for c in found if isinstance(dtype_of(df, c), T.StringType)])
     coded = [c for c in found if c not in words]
     numbers = df.select(*[named(c).try_cast("double").alias(c) for c in coded])
-    # Two passes follow; hour and month would be parsed from text in each of them.
-    return corr_matrix(settle(numbers, "numbers"), coded)
+    return corr_matrix(numbers, coded)  # one pass, so hour and month are parsed from text once without a table
 
 
 def _columns_with_words(df: DataFrame, cols: Sequence[str]) -> list[str]:
